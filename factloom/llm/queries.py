@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_duplicates, quality, token_count, token_output
+from . import decontamination, language, mixing, near_duplicates, neighbours, quality, secrets, token_count, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_output.read_documents(manifest)
@@ -27,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     banding = near_duplicates.Banding(similarity=(85, 100), k=3)
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), banding).select("doc_id", "n_shingles", "component_id", "kept")
@@ -36,6 +44,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_token_count, op4_quality, op6_near_duplicates, op7_mixing)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours)
+}
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op7_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
