@@ -47,20 +47,39 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dict that fills itself by ``make`` and empties itself when full, so
-    that a worker's memory stays bounded on an unbounded vocabulary."""
+    """A dict that fills itself by ``make``. At ``limit`` entries it becomes
+    the old generation, from which what is asked for again moves back, so that
+    memory stays bounded and frequent keys stay known on any vocabulary."""
 
-    def __init__(self, make, limit: int = 300_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+
+
+def head_and_tail(piece: bytes) -> tuple[bytes, bytes]:
+    """``piece`` without and as its closing punctuation, where an ASCII letter
+    stands before that: there every pre-tokeniser used here, which matches
+    runs of letters and runs of other signs apart, has a boundary."""
+    head = piece.rstrip(PUNCTUATION)
+    if head and len(head) < len(piece) and head[-1:].isalpha():
+        return head, piece[len(head) :]
+    return piece, b""
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit lanes (murmur3's)."""
     x = x ^ (x >> np.uint64(33))

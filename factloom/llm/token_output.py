@@ -19,6 +19,8 @@ import json
 import posixpath
 import uuid
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import Memo, materialize, parallelism, shared_dir, utf8
+from .common import Memo, head_and_tail, materialize, parallelism, shared_dir, utf8
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -39,25 +42,47 @@ class WordEncoder:
 
     That is exact where the tokenizer drops white space: its normaliser works
     character by character or on combining sequences, none of which reaches
-    over white space, and its pre-tokeniser gives pieces without any. Any
-    other tokenizer gets whole texts.
+    over white space, and its pre-tokeniser gives pieces without any. Closing
+    punctuation is known apart from its word, and ASCII words in lower case.
+    Pieces that hold an added token's string, and any text for another
+    tokenizer, are encoded as they are.
     """
 
-    def __init__(self, path: str, dtype: np.dtype):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.by_word = drops_white_space(json.loads(self.tokenizer.to_str()))
-        self.memo = Memo(self._one)
-
-    def _one(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = drops_white_space(spec)
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.pieces, self.words = Memo(self._piece), Memo(self._word, 400_000)
+
+    def _encode(self, text: bytes) -> bytes:
+        return array(self.dtype.char, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        """A lower-case ASCII word is one pre-token that normaliser and byte
+        map leave as it is, so it goes to the library's model at once."""
+        if word.isalpha() and word.islower():
+            return array(self.dtype.char, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        return self._encode(word)
+
+    def _piece(self, piece: bytes) -> bytes:
+        if any(a in piece for a in self.added):
+            return self._encode(piece)
+        head, tail = head_and_tail(piece)
+        ids = self.words[head.lower() if head.isascii() else head]
+        return ids + self.words[tail] if tail else ids
 
     def __call__(self, text: bytes) -> bytes:
         if not self.by_word:
-            return self._one(text)
-        return b"".join(map(self.memo.__getitem__, text.split()))
+            return self._encode(text)
+        return b"".join(map(self.pieces.__getitem__, text.split()))
+
+
+#: One per Python worker, so that its memo outlives a task.
+@cache
+def encoder(path: str, dtype: str) -> WordEncoder:
+    return WordEncoder(path, dtype)
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -128,12 +153,11 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-sequences")
     shards = shards or parallelism(spark)
+    dtype = "uint16" if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else "uint32"
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        dtype = np.uint16 if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else np.uint32
-        encode, end = WordEncoder(tokenizer, dtype), np.array([end_id], dtype).tobytes()
+        encode = encoder(tokenizer, dtype)
+        end = np.array([end_id], dtype).tobytes()
         shard = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
