@@ -9,9 +9,13 @@ then independent and match with probability J each.
 Equal sets form a class, and one node stands for it. Nodes that share a band
 are candidates, and a candidate is a link only if the full sets say so. A
 bucket is not expanded into pairs: first every member is compared with one
-representative, which joins large groups at a cost linear in their size; only
-pairs of the same bucket that then still lie in different components are
-compared one by one, as those alone can change a component.
+representative, which joins large groups at a cost linear in their size. Then
+only pairs across components can change one. Members of buckets that still
+hold several components are compared across them under an exact prefix
+filter: in a fixed order of all shingles, similar sets must share one of their
+first few. Shingles that a single component holds come first in that order,
+rare ones next, so a text with more shingles of its own than a link allows is
+compared with nothing, however many others surround it.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, materialize, mix64, shingle_set, utf8
@@ -141,17 +145,32 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
     return common.where(F.col("common") * den >= (F.col("both") - F.col("common")) * num).select("a", "b").distinct()
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Of (band, node, label): buckets that hold more than one label, with
-    the node of the smallest (salted) hash as representative."""
-    return rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("rep")).where("lo < hi").select("band", "rep")
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All pairs (a, b) of ``nodes`` (node, label) with different labels that
+    may be similar enough; every similar one is among them."""
+    num, den = similarity
+    tokens = nodes.join(sets.dropDuplicates(["node"]), "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = materialize(tokens, "near-tokens")
+    across = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "df")
+    ordered = tokens.join(across, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # Places before ``free`` hold shingles of one component only.
+    free = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    kept = ordered.withColumn("free", free).select("node", "label", "n", "free", F.posexplode(F.slice("shared", 1, F.greatest(F.lit(0), length - F.col("free")).cast("int"))).alias("i", "t"))
+    prefix = materialize(kept.select(F.col("t.token").alias("token"), "node", "label", "n", (F.col("n") - F.col("free") - F.col("i")).alias("left")), "near-prefixes")
+    a, b = (prefix.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "left"))) for x in "ab")
+    # A link has so many shingles in common at least: more than are left in
+    # either set from its first common one on cannot be.
+    enough = F.least("left_a", "left_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    return a.join(b, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & enough & sizes).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def components_of(docs: DataFrame, signed: DataFrame, banding: Banding, sweeps: int = 3) -> DataFrame:
     """node, label: the component of each node that has a link.
 
     ``sweeps`` passes compare bucket members with one representative, another
-    in each pass; the pass after them compares all that is left.
+    in each pass; the pass after them does the rest, see prefix_pairs.
     """
     nodes = signed.where("n_shingles > 0").select("node", "bands").dropDuplicates(["node"])
     bands = nodes.select(F.explode("bands").alias("band"), "node")
@@ -172,9 +191,7 @@ def components_of(docs: DataFrame, signed: DataFrame, banding: Banding, sweeps:
             reps = labelled.join(mixed, "band").where("order = first").select("band", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
             pairs = labelled.join(reps, "band").where("label <> rep_label").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
         else:
-            left = labelled.join(mixed, "band").select("band", F.col("node").alias("a"), F.col("label").alias("la"))
-            right = left.select("band", F.col("a").alias("b"), F.col("la").alias("lb"))
-            pairs = left.join(right, "band").where("a < b and la <> lb").select("a", "b")
+            pairs = prefix_pairs(labelled.join(mixed, "band").select("node", "label").distinct(), sets, banding.similarity)
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = materialize(confirm(pairs, sets, banding.similarity), "near-links")
         if not pairs.isEmpty():
@@ -192,17 +209,15 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), signed: DataF
     component_id is the smallest doc_id reachable by links; kept says whether
     it is the document's own. Null, empty or wordless text has no shingle, is
     linked with nothing and kept. Rows that repeat an id and text are linked
-    and get a row each. A null doc_id is never a component's id unless all of
-    the component's are null (then null), and is kept only without a link.
-    Other columns are ignored; an empty table gives no rows.
+    and get a row each. A null doc_id is a component's id only if all of its
+    are null, of which then the text with the smallest hash is kept. Other
+    columns are ignored; an empty table gives no rows.
     """
     signed = materialize(sign(docs, banding), "near-signed") if signed is None else signed
     labels = materialize(components_of(docs, signed, banding), "near-components")
     narrow = signed.select("doc_id", "text_hash", "n_shingles", "node")
     labelled = narrow.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    smallest = labelled.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     component = F.coalesce(F.col("smallest"), F.col("doc_id"))
-    return (
-        labelled.join(smallest, "label", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("n").isNull()).alias("kept"), "text_hash")
-    )
+    kept = F.when(F.col("n").isNull(), True).when(F.col("smallest").isNull(), F.col("text_hash") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(False)))
+    return labelled.join(smallest, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
