@@ -221,3 +221,22 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), signed: DataF
     component = F.coalesce(F.col("smallest"), F.col("doc_id"))
     kept = F.when(F.col("n").isNull(), True).when(F.col("smallest").isNull(), F.col("text_hash") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(False)))
     return labelled.join(smallest, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+
+
+def unique_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, columns as they are;
+    of rows equal in id and text with a shingle, one."""
+    found = materialize(near_duplicates(docs, banding), "near-decisions")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+
+    def same(rows: DataFrame) -> Column:
+        return docs["doc_id"].cast("long").eqNullSafe(rows["_d"]) & (text_hash == rows["_t"])
+
+    named = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "kept", "n_shingles")
+    dropped = named.where("not kept").select("_d", "_t").distinct()
+    repeated = materialize(named.where("kept and n_shingles > 0").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"), "near-repeated")
+    kept = docs.join(dropped, same(dropped), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same(repeated), "left_semi").withColumn("_t", text_hash).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(once)
