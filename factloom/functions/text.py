@@ -118,7 +118,7 @@ def start_of(text: Column, pattern: str) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of a text: split behind . ! ? before a capital or digit,
     eight characters at least."""
-    parts = F.transform(F.split(clean(text), r"(?<=[.!?]) (?=[A-Z0-9])"), F.trim)
+    parts = F.transform(F.split(clean(text), r"(?<=[.!?]) (?=[A-Z0-9])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) >= 8)
 
 

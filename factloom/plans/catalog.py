@@ -534,4 +534,4 @@ def word_clusters(spark, sf_dir):
     word = F.struct(F.col("l_partkey").cast("string").alias("text"), (F.col("l_quantity") * 4).alias("x0"), (F.col("l_quantity") * 4 + 3).alias("x1"), (F.col("l_discount") * 100 + F.col("l_linenumber") * 0.7).alias("top"), (F.col("l_discount") * 100 + 9).alias("bottom"))
     pages = li.groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))
     lines: Column = layout.word_lines(F.col("words"))
-    return pages.select("l_orderkey", F.posexplode(F.transform(lines, layout.line_cells)).alias("line", "cells"))
+    return pages.select("l_orderkey", F.posexplode(F.transform(lines, lambda line: layout.line_cells(line))).alias("line", "cells"))

@@ -244,7 +244,10 @@ def table_box(mention: Column, edges: Column, width: Column, height: Column) ->
         lambda e: (e["span"] >= least) & (e["top"] >= mention["top"] - 8) & (e["top"] <= mention["bottom"] + 125) & (mention["x0"] >= e["x0"] - 20) & (mention["x0"] <= e["x1"] + 20),
     )
     below = F.filter(near, lambda e: e["top"] >= mention["bottom"] - 1)
-    ranked = lambda es: F.array_min(F.transform(es, lambda e: F.struct(F.abs(e["top"] - mention["bottom"]).alias("d"), e["top"].alias("top"), e["x0"].alias("x0"), e["x1"].alias("x1"), e["span"].alias("span"))))
+
+    def ranked(es: Column) -> Column:
+        named = {"d": lambda e: F.abs(e["top"] - mention["bottom"]), **{c: (lambda e, c=c: e[c]) for c in ("top", "x0", "x1", "span")}}
+        return F.array_min(F.transform(es, lambda e: F.named_struct(*(x for name, f in named.items() for x in (F.lit(name), f(e))))))
 
     def box(head: Column) -> Column:
         aligned = F.filter(
@@ -271,7 +274,8 @@ def coordinate_tables(pages: DataFrame) -> DataFrame:
     page counts once, by its first mention.
     """
     lines = word_lines(F.col("words"))
-    found = pages.select("article_id", "page", "width", "height", "words", edge_spans(F.col("edges")).alias("edges"), F.posexplode(lines).alias("line_seq", "line"))
+    spanned = pages.select("article_id", "page", "width", "height", "words", edge_spans(F.col("edges")).alias("edges"))
+    found = spanned.select("*", F.posexplode(lines).alias("line_seq", "line"))
     boxed = found.select("*", F.posexplode(mentions(F.col("line"))).alias("mention_seq", "mention")).withColumn("box", table_box(F.col("mention"), F.col("edges"), F.col("width"), F.col("height"))).where("box is not null")
     key = F.struct(*(F.round(F.col(f"box.{c}"), 1).alias(c) for c in ("x0", "top", "x1", "bottom")))
     from pyspark.sql import Window
@@ -279,7 +283,7 @@ def coordinate_tables(pages: DataFrame) -> DataFrame:
     first = Window.partitionBy("article_id", "page", key).orderBy("line_seq", "mention_seq")
     once = boxed.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     inside = F.filter("words", lambda w: (w["x0"] >= F.col("box.x0")) & (w["x1"] <= F.col("box.x1")) & (w["top"] >= F.col("box.top") + 0.5) & (w["bottom"] <= F.col("box.bottom") - 0.5))
-    rows = F.filter(F.transform(word_lines(F.col("inside")), line_cells), lambda r: F.size(r) > 0)
+    rows = F.filter(F.transform(word_lines(F.col("inside")), lambda line: line_cells(line)), lambda r: F.size(r) > 0)
     gridded = once.withColumn("inside", inside).withColumn("rows", rows)
     good = (F.size("rows") >= 2) & (F.size(F.filter("rows", lambda r: F.size(r) >= 2)) >= 2) & F.exists("rows", lambda r: F.exists(r, lambda c: c.rlike(r"(?U)\d")))
     wide = F.array_max(F.transform("rows", F.size))

@@ -41,6 +41,7 @@ def test_substrings_are_not(value):
 
 def test_sentences(value):
     assert value(T.sentences(L("One here. Two there!  3 more? ok no. End"))) == ["One here.", "Two there!", "3 more? ok no."]
+    assert value(T.sentences(L("0 patients here. 1 patient seen 1"))) == ["0 patients here.", "1 patient seen 1"]
     assert value(T.sentences(L(None).cast("string"))) == []
 
 
