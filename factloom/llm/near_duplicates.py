@@ -238,5 +238,6 @@ def unique_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame
     kept = docs.join(dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = docs.join(repeated, same(repeated), "left_semi").withColumn("_t", text_hash).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = docs.join(repeated, same(repeated), "left_semi").select(whole.alias("row"), F.col("doc_id").alias("id"), text_hash.alias("hash")).dropDuplicates(["id", "hash"]).select("row.*")
     return kept.join(repeated, same(repeated), "left_anti").unionByName(once)

@@ -30,6 +30,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ("passw", "secret", "token", "api")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 GRAMMAR = "grammar"
+#: log2 likelihood per character with all of RUN's characters alike.
+UNIFORM = -6.0
+#: Fewer unclaimed tokens make no background.
+LEAST_BACKGROUND = 20
 FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,value:string,label:int>>"
 
 
@@ -75,8 +79,8 @@ class Formats:
         character. A token without a digit is never taken for a secret."""
         if not any(c.isdigit() for c in value):
             return False
-        least = self.background.score(value) if self.background else -8.0
-        return max((a.score(value) for a in self.by_kind if a), default=-99.0) >= max(least + self.margin, -6.0)
+        least = self.background.score(value) if self.background else UNIFORM
+        return max((a.score(value) for a in self.by_kind if a), default=-99.0) >= max(least, UNIFORM) + self.margin
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -102,8 +106,8 @@ def learn(found: DataFrame, sample: int = 300, alpha: float = 0.05) -> Formats:
     tokens = found.select(F.explode("candidates").alias("c")).select("c.label", "c.value").where("length(value) <= 200").groupBy("label", "value").count()
     order = Window.partitionBy("label").orderBy(F.xxhash64("value"), "value")
     rows = tokens.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("label", "value").collect()
-    inferred = {k: infer([r.value for r in rows if r.label == k], alpha) for k in (-1, 0, 1, 2)}
-    return Formats([inferred[k] for k in (0, 1, 2)], inferred[-1])
+    values = {k: [r.value for r in rows if r.label == k] for k in (-1, 0, 1, 2)}
+    return Formats([infer(values[k], alpha) for k in (0, 1, 2)], infer(values[-1], alpha) if len(values[-1]) >= LEAST_BACKGROUND else None)
 
 
 def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
