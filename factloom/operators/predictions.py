@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.written import written
 from factloom.sources.rules import Rules
 
 #: Internal name -> name in sinks, in the order of sinks.
@@ -59,9 +60,11 @@ def numbered(records: DataFrame, prefix: str = "AH12", order: tuple[str, ...] =
     """prediction_id: the prefix and each record's place, four digits or more.
 
     Places come from counts of the range partitions of the order, one row per
-    partition, not from a sort of all records in one task.
+    partition, not from a sort of all records in one task. The partitions are
+    written first, so that counts and records see the same ones.
     """
     parts = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    parts = written(parts, "numbered")
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = counts.select("_part", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift"))
