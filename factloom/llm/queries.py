@@ -61,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op7_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op6_near_duplicates": near_duplicates.ORACLE, "op7_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
