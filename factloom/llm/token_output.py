@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .common import Memo, head_and_tail, materialize, parallelism, shared_dir, utf8
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
-READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WordEncoder:
@@ -205,10 +205,11 @@ def sequence(path: str, row: int, rows: int = 256) -> tuple[np.ndarray, np.ndarr
     return batch.column("ids").values.to_numpy()[at], batch.column("mask").values.to_numpy(zero_copy_only=False)[at]
 
 
-def _documents_of(shard: int, path: str):
-    """The shard's documents with the crc32 of their ids, batch by batch."""
+def _documents_of(path: str, start: int):
+    """The shard's documents from global place ``start`` on, with the crc32
+    of their ids, batch by batch."""
     sequences, index = open_shard(path)
-    at, part, left, start = 0, np.empty(0, np.uint16), 0, 0
+    at, part, left = 0, np.empty(0, np.uint16), 0
     for i in range(index.num_record_batches):
         docs = index.get_batch(i)
         counts = docs.column("n_tokens").to_numpy()
@@ -226,21 +227,18 @@ def _documents_of(shard: int, path: str):
             crcs[d] = crc
         starts = start + np.cumsum(counts) - counts
         start += int(counts.sum())
-        yield pa.record_batch([pa.array(np.full(len(counts), shard, np.int32)), docs.column("doc_id"), pa.array(starts), docs.column("n_tokens"), pa.array(crcs)], names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+        yield pa.record_batch([docs.column("doc_id"), pa.array(starts), docs.column("n_tokens"), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """One row per document, read back from the files: doc_id, start,
-    n_tokens, ids_crc32. One task per shard; the only value that crosses
-    shards is a running sum with one row per shard."""
+    n_tokens, ids_crc32. One task per shard; what crosses shards is a running
+    sum over the manifest, which has one row per shard."""
 
     def run(batches):
         for batch in batches:
-            for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist()):
-                yield from _documents_of(shard, path)
-
-    offsets = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("offset"))
-    spread = manifest.select("shard", "path").repartition(parallelism(manifest.sparkSession), "shard")
-    docs = spread.mapInArrow(run, READ)
-    # One row per shard file: small beside the documents whatever their number.
-    return docs.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                yield from _documents_of(path, start)
+
+    placed = manifest.select("shard", "path", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("start"))
+    return placed.repartition(parallelism(manifest.sparkSession), "shard").select("path", "start").mapInArrow(run, READ)
