@@ -106,13 +106,7 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
 
 def search(text: Column, pattern: str, group: int = 0) -> Column:
     """A group of the first match ignoring case; null if there is none."""
-    whole = f"(?iU)^[\\s\\S]*?({pattern})"
-    return F.when(text.rlike(f"(?iU){pattern}"), F.regexp_extract(text, whole, group + 1))
-
-
-def start_of(text: Column, pattern: str) -> Column:
-    """Where the first match begins; null if there is none."""
-    return F.when(text.rlike(f"(?iU){pattern}"), F.length(F.regexp_extract(text, f"(?iU)^([\\s\\S]*?)(?:{pattern})", 1)))
+    return F.when(text.rlike(f"(?iU){pattern}"), F.regexp_extract(text, f"(?iU){pattern}", group))
 
 
 def sentences(text: Column) -> Column:
@@ -127,11 +121,18 @@ def sentences(text: Column) -> Column:
 
 def first_time(text: Column, patterns: Sequence[str]) -> Column:
     """The earliest match of any pattern, the earlier pattern on a tie; null
-    if none matches."""
-    found = [F.struct(start_of(text, p).alias("at"), F.lit(i).alias("i"), search(text, p).alias("match")) for i, p in enumerate(patterns)]
-    if not found:
+    if none matches. Places only order the matches, so UTF-16 ones will do."""
+    if not patterns:
         return F.lit(None).cast("string")
-    return clean_or_null(F.array_min(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))["match"])
+
+    def earliest(at: Column) -> Column:
+        least = F.array_min(F.filter(at, lambda i: i > 0))
+        found = F.when(F.get(at, F.lit(0)) == least, F.regexp_extract(text, f"(?iU){patterns[0]}", 0))
+        for i, p in enumerate(patterns[1:], 1):
+            found = found.when(F.get(at, F.lit(i)) == least, F.regexp_extract(text, f"(?iU){p}", 0))
+        return clean_or_null(found)
+
+    return let(F.array(*(F.regexp_instr(text, F.lit(f"(?iU){p}")) for p in patterns)), earliest)
 
 
 def clean_or_null(text: Column) -> Column:
@@ -322,7 +323,12 @@ def term_similarity(a: Column, b: Column) -> Column:
 
 
 def _term_similarity(x: Column, y: Column) -> Column:
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.85).otherwise(jaccard(x, y))
+    return similarity_of(x, y, jaccard(x, y))
+
+
+def similarity_of(x: Column, y: Column, words: Column) -> Column:
+    """term_similarity of two normal forms whose words' Jaccard is known."""
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.85).otherwise(words)
 
 
 def numeric_equal(a: Column, b: Column) -> Column:

@@ -21,15 +21,23 @@ def edges(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     gold: event_id, article_id, evidence_quote_raw, event_term_raw,
     category_canonical. predicted: prediction_id, article_id, evidence_quote,
-    raw_event_term, predicted_category. Word sets are made once per record,
-    before the join.
+    raw_event_term, predicted_category. Normal forms and word sets are made
+    once per record, before the join.
     """
-    g = gold.select("article_id", F.col("event_id").cast("string").alias("event_id"), T.tokens(F.col("evidence_quote_raw")).alias("g_quote"), F.col("event_term_raw").alias("g_term"), T.norm(F.col("category_canonical")).alias("g_category"))
-    p = predicted.select("article_id", F.col("prediction_id").cast("string").alias("prediction_id"), T.tokens(F.col("evidence_quote")).alias("p_quote"), F.col("raw_event_term").alias("p_term"), T.norm(F.col("predicted_category")).alias("p_category"))
+
+    def side(rows: DataFrame, key: str, quote: str, term: str, category: str, x: str) -> DataFrame:
+        return rows.select(
+            "article_id", F.col(key).cast("string").alias(key), T.tokens(F.col(quote)).alias(f"{x}_quote"), T.norm(F.col(term)).alias(f"{x}_term"),
+            T.tokens(F.col(term)).alias(f"{x}_words"), T.norm(F.col(category)).alias(f"{x}_category"),
+        )
+
+    g = side(gold, "event_id", "evidence_quote_raw", "event_term_raw", "category_canonical", "g")
+    p = side(predicted, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p")
     quote, term, same = F.col("quote_jaccard"), F.col("term_similarity"), F.col("category_exact")
     first, second = (quote >= 0.5) & ((term >= 0.5) | same), (term >= 0.85) & (quote >= 0.15)
-    pairs = g.join(p, "article_id").select("article_id", "event_id", "prediction_id", T.set_jaccard(F.col("g_quote"), F.col("p_quote")).alias("quote_jaccard"), "g_term", "p_term", (F.col("g_category") == F.col("p_category")).alias("category_exact"))
-    scored = pairs.where("quote_jaccard >= 0.15").withColumn("term_similarity", T.term_similarity(F.col("g_term"), F.col("p_term"))).where(first | second)
+    near = g.join(p, "article_id").withColumn("quote_jaccard", T.set_jaccard(F.col("g_quote"), F.col("p_quote"))).where(quote >= 0.15)
+    similar = T.similarity_of(F.col("g_term"), F.col("p_term"), T.set_jaccard(F.col("g_words"), F.col("p_words")))
+    scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", similar).where(first | second)
     # The order of these additions decides ties in the last bit.
     rank = F.lit(0.60) * quote + F.lit(0.30) * term + F.lit(0.10) * same.cast("double")
     return scored.select("article_id", "event_id", "prediction_id", "quote_jaccard", "term_similarity", "category_exact", F.when(first, "route_1").otherwise("route_2").alias("route"), rank.alias("rank_score"))
@@ -37,23 +45,32 @@ def edges(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def greedy(candidates: DataFrame) -> DataFrame:
     """One-to-one matches of an article's edges, best first: by rank_score,
-    quote_jaccard, term_similarity, then the ids as text.
+    quote_jaccard, term_similarity, then the ids as text. Rows of candidates
+    must have article_id, event_id, prediction_id and those three.
 
-    The greedy choice is found in rounds: an edge that is the best of both
-    its ends would be taken by it, too, and its ends' other edges go. Each
-    round is two grouped minima with map-side combining, so no article is
-    gathered into one task; rounds are written.
+    Spark brings an article's edges together and in order, spilling as it
+    needs; one pass over them holds no edge, only the ids the current article
+    has used. (Taking mutually best edges in distributed rounds was tried: n
+    equal records on both sides then need n rounds.)
     """
-    order = F.struct(*(-F.col(c) for c in ("rank_score", "quote_jaccard", "term_similarity")), "event_id", "prediction_id")
-    left = written(candidates.withColumn("_order", order), "edges")
-    taken: DataFrame | None = None
-    while not left.isEmpty():
-        by_event = left.groupBy("article_id", "event_id").agg(F.min("_order").alias("_e"))
-        by_prediction = left.groupBy("article_id", "prediction_id").agg(F.min("_order").alias("_p"))
-        best = written(left.join(by_event, ["article_id", "event_id"]).join(by_prediction, ["article_id", "prediction_id"]).where("_order = _e and _order = _p").select(*left.columns), "matches")
-        taken = best if taken is None else taken.unionByName(best)
-        left = written(left.join(best, ["article_id", "event_id"], "left_anti").join(best, ["article_id", "prediction_id"], "left_anti").select(*left.columns), "edges")
-    return (taken if taken is not None else left).drop("_order")
+    order = [F.col(c).desc() for c in ("rank_score", "quote_jaccard", "term_similarity")] + [F.col("event_id"), F.col("prediction_id")]
+    ordered = candidates.repartition("article_id").sortWithinPartitions("article_id", *order)
+
+    def run(batches):
+        article, events, records = None, set(), set()
+        for batch in batches:
+            keep = []
+            for a, e, p in zip(*(batch.column(c).to_pylist() for c in ("article_id", "event_id", "prediction_id"))):
+                if a != article:
+                    article, events, records = a, set(), set()
+                free = e not in events and p not in records
+                if free:
+                    events.add(e)
+                    records.add(p)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, candidates.schema)
 
 
 def eligible_ids(articles: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ def _first_word(phrase: str) -> str:
     return next((w for w in re.split("[^a-z0-9]+", phrase.lower()) if w), "")
 
 
-LEXICON = "map<string,array<struct<seq:int,kind:string,category:string,rule_id:string,pattern:string>>>"
+LEXICON = "map<string,array<struct<seq:int,kind:string,category:string,rule_id:string,pattern:string,length:int>>>"
 
 
 def _lexicon(rules: Rules) -> Column:
     """The phrases by first word: one literal, folded when planned."""
     by_word: dict[str, list[dict]] = {}
     for p in rules.phrases:
-        by_word.setdefault(_first_word(p.text), []).append({"seq": p.seq, "kind": p.kind, "category": p.category, "rule_id": p.rule_id, "pattern": T.bounded(p.text)})
+        by_word.setdefault(_first_word(p.text), []).append({"seq": p.seq, "kind": p.kind, "category": p.category, "rule_id": p.rule_id, "pattern": T.bounded(p.text), "length": len(p.text.strip()) if p.text.isascii() and len(p.text.split()) == 1 else 0})
     return F.from_json(F.lit(json.dumps(by_word)), LEXICON)
 
 
@@ -45,11 +45,17 @@ def matches(text: Column, rules: Rules) -> Column:
     candidates = F.flatten(F.array_compact(F.transform(words, lambda w: F.try_element_at(lexicon, w))))
 
     def match(c: Column) -> Column:
-        term = F.call_function("regexp_extract", text, c["pattern"], F.lit(0))
+        at = F.call_function("regexp_instr", text, c["pattern"])
+        # Without white space in it, a phrase matches as many characters as
+        # it has; a place in UTF-16 is one in characters below U+10000.
+        term = F.when(c["length"] > 0, F.substring(text, at, c["length"])).otherwise(F.call_function("regexp_extract", text, c["pattern"], F.lit(0)))
         before = F.call_function("regexp_extract", text, F.concat(F.lit(r"^([\s\S]*?)"), c["pattern"]), F.lit(1))
-        return F.struct(F.length(before).alias("start"), F.length(term).alias("length"), c["seq"].alias("seq"), c["kind"].alias("kind"), c["category"].alias("category"), c["rule_id"].alias("rule_id"), term.alias("term"))
+        start = F.when(wide, F.length(before)).otherwise(at - 1)
+        exact = F.when(wide, F.call_function("regexp_extract", text, c["pattern"], F.lit(0))).otherwise(term)
+        return F.when(at > 0, F.struct(start.alias("start"), F.length(exact).alias("length"), c["seq"].alias("seq"), c["kind"].alias("kind"), c["category"].alias("category"), c["rule_id"].alias("rule_id"), exact.alias("term")))
 
-    return F.filter(F.transform(candidates, match), lambda m: m["length"] > 0)
+    wide = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.array_compact(F.transform(candidates, match))
 
 
 def _disjoint(kept: Column, m: Column) -> Column:

@@ -51,7 +51,7 @@ def sequential(rows):
     return sorted(out)
 
 
-def test_rounds_equal_the_sequential_choice(spark):
+def test_matches_equal_the_sequential_choice(spark):
     rnd = random.Random(4)
     words = "alpha beta gamma delta knee pain deep".split()
     text = lambda: " ".join(rnd.choices(words, k=4))
