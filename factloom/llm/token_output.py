@@ -54,7 +54,7 @@ class WordEncoder:
         self.by_word = drops_white_space(spec)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.model = self.tokenizer.model
-        self.pieces, self.words = Memo(self._piece), Memo(self._word, 400_000)
+        self.pieces, self.words = Memo(self._piece), Memo(self._word, 300_000)
 
     def _encode(self, text: bytes) -> bytes:
         return array(self.dtype.char, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
