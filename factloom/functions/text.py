@@ -378,6 +378,7 @@ def short_article_id(article: Column, pattern: str = r"^(AH-S2[A-Z]-\d{3})(?:_|$
 
 # ---- lines of layout text ----
 
+# Fixed values that results depend on: patterns, cues and heading names.
 TABLE_START = r"(?:table|tab\.)\s+([0-9]+|[ivxlcdm]+)\b"
 CAPTION_CUES = (
     r"\b(?:Baseline|Demographic|Operative|Postoperative|Preoperative|Comparison|Clinical|Radiographic|Functional|Adverse"
@@ -458,6 +459,7 @@ def looks_like_parallel_prose(cells: Column) -> Column:
 
 # ---- names of hosts ----
 
+# Host names and the families they count to.
 FAMILIES = {
     "BioMed Central": "Springer Nature",
     "Nature Portfolio": "Springer Nature",

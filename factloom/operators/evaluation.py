@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators.written import written
 
+# The normal quantile of the intervals, bootstrap replicates.
 Z = 1.959963984540054
 REPLICATES = 10_000
 

@@ -9,7 +9,7 @@ from factloom.functions import text as T
 from factloom.operators.written import written
 from factloom.sources.rules import Rules
 
-#: Internal name -> name in sinks, in the order of sinks.
+#: Internal name -> name in sinks, in the order of sinks.
 COLUMNS = {
     "prediction_id": "Prediction ID", "article_id": "Article ID", "source_type": "Source Type", "evidence_location": "Evidence Location",
     "evidence_quote": "Evidence Quote", "raw_event_term": "Raw Event Term", "predicted_category": "Predicted Category", "arm": "Arm",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
+# Statuses in candidate lists.
 ELIGIBLE = "ELIGIBLE_ALL_PREFREEZE_GATES"
 AIP = "PUBLISHER_AIP_COMPLETE"
 

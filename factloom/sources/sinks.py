@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from factloom.operators.predictions import for_sink
 
+# Words of paths that extraction must not touch.
 GUARDED = ("final_reference", "reference_standard", "裁决", "医生a", "医生b")
 
 
