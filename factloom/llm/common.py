@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -70,12 +71,28 @@ class Memo(dict):
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 
 
+#: Words of ASCII and Latin-1 letters alone, in UTF-8: one run of letters to
+#: every pre-tokeniser used here, composed, and in lower case the second.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+LOWER_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+#: The byte map of byte-level tokenizers: printable bytes stand for
+#: themselves, the others for characters from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_MAP = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+
+
+def byte_level(word: bytes) -> str:
+    return word.decode("latin-1").translate(BYTE_MAP)
+
+
 def head_and_tail(piece: bytes) -> tuple[bytes, bytes]:
-    """``piece`` without and as its closing punctuation, where an ASCII letter
-    stands before that: there every pre-tokeniser used here, which matches
-    runs of letters and runs of other signs apart, has a boundary."""
+    """``piece`` without and as its closing punctuation, where an ASCII or
+    Latin-1 letter stands before that: there every pre-tokeniser used here,
+    which matches runs of letters and runs of other signs apart, has a
+    boundary."""
     head = piece.rstrip(PUNCTUATION)
-    if head and len(head) < len(piece) and head[-1:].isalpha():
+    if head and len(head) < len(piece) and (head[-1:].isalpha() or LETTERS(head[-2:])):
         return head, piece[len(head) :]
     return piece, b""
 

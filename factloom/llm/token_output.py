@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, head_and_tail, materialize, parallelism, shared_dir, utf8
+from .common import LOWER_LETTERS, Memo, byte_level, head_and_tail, materialize, parallelism, shared_dir, utf8
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_sequences long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -43,7 +43,7 @@ class WordEncoder:
     That is exact where the tokenizer drops white space: its normaliser works
     character by character or on combining sequences, none of which reaches
     over white space, and its pre-tokeniser gives pieces without any. Closing
-    punctuation is known apart from its word, and ASCII words in lower case.
+    punctuation is known apart from its word, and common words in lower case.
     Pieces that hold an added token's string, and any text for another
     tokenizer, are encoded as they are.
     """
@@ -54,23 +54,25 @@ class WordEncoder:
         self.by_word = drops_white_space(spec)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.model = self.tokenizer.model
-        self.pieces, self.words = Memo(self._piece), Memo(self._word, 300_000)
+        self.pieces, self.words = Memo(self._piece, 300_000), Memo(self._word, 300_000)
 
     def _encode(self, text: bytes) -> bytes:
         return array(self.dtype.char, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        """A lower-case ASCII word is one pre-token that normaliser and byte
-        map leave as it is, so it goes to the library's model at once."""
-        if word.isalpha() and word.islower():
-            return array(self.dtype.char, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        """A word of lower-case letters is one pre-token that the normaliser
+        leaves as it is, so it goes to the library's model at once."""
+        if LOWER_LETTERS(word):
+            return array(self.dtype.char, [t.id for t in self.model.tokenize(byte_level(word))]).tobytes()
         return self._encode(word)
 
     def _piece(self, piece: bytes) -> bytes:
-        if any(a in piece for a in self.added):
-            return self._encode(piece)
+        for added in self.added:
+            if added in piece:
+                return self._encode(piece)
         head, tail = head_and_tail(piece)
-        ids = self.words[head.lower() if head.isascii() else head]
+        lower = head.lower()
+        ids = self.words[lower if lower.isascii() or LOWER_LETTERS(lower) else head]
         return ids + self.words[tail] if tail else ids
 
     def __call__(self, text: bytes) -> bytes:

@@ -14,7 +14,7 @@ from factloom.llm import token_count, token_output  # noqa: E402
 from .brute import SCHEMA, awkward  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-PARTS = ["a", "B", "é", "́", "Σ", "İ", " ", "  ", "\n", "\x1c", "\x85", "1", "23", "!", "'s", "'ll", "<|endoftext|>", "<|end", "日本", " ", "word", "Foo!!", "x.", "😀", "\t", "(q)"]
+PARTS = ["a", "B", "é", "́", "Σ", "İ", " ", "  ", "\n", "\x1c", "\x85", "1", "23", "!", "'s", "'ll", "<|endoftext|>", "<|end", "日本", " ", "word", "Foo!!", "x.", "😀", "\t", "(q)", "Été", "été,", "größe.", "ÀÿÖ!", "a×b", "ñ÷", "naïve", "œuvre", "ß"]
 
 
 def texts(seed, n=400, length=60):
