@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import Memo, head_and_tail
+from .common import LETTERS, Memo, byte_level, head_and_tail
 
 #: Of a piece that cannot be counted apart; outweighs any sum of counts.
 WHOLE = -(1 << 60)
@@ -73,10 +73,10 @@ class Counter:
         return len(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False))
 
     def _word(self, word: bytes) -> int:
-        """An ASCII word behind a space is one pre-token, whose space the byte
-        map shows as U+0120: it goes to the library's model at once."""
-        if word[1:].isalpha() and word[:1] == b" ":
-            return len(self.model.tokenize("\u0120" + word[1:].decode()))
+        """Letters behind a space are one pre-token, and the byte map is all
+        that happens to it: it goes to the library's model at once."""
+        if word[:1] == b" " and LETTERS(word[1:]):
+            return len(self.model.tokenize(byte_level(word)))
         return self._tokens(word)
 
     def _piece(self, piece: bytes) -> int:
@@ -85,8 +85,9 @@ class Counter:
         text = piece.decode("utf-8")
         if not text or text[0].isspace() or text[-1].isspace():
             return WHOLE
-        if any(a in piece for a in self.added):
-            return self._tokens(b" " + piece)
+        for added in self.added:
+            if added in piece:
+                return self._tokens(b" " + piece)
         head, tail = head_and_tail(piece)
         return self.words[b" " + head] + (self.words[tail] if tail else 0)
 
