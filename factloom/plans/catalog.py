@@ -276,7 +276,11 @@ def table_records(spark, sf_dir):
     return r.select("article_id", F.col("raw_event_term").alias("term"), "arm", "numerator", "denominator", "time_window", "rule_id", "poolability", priority.alias("o_orderpriority"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_discount > 0.05) AS a, count(*) FILTER (l_tax > 0.05) AS b FROM lineitem GROUP BY ALL)
+SELECT l_linestatus AS article_id, 'Group ' || l_returnflag AS arm, 'worthless' AS raw_event_term, a AS numerator, n AS denominator, 'C03+TABLE_COUNT' AS rule_id, 'Directly poolable' AS poolability FROM o
+UNION ALL SELECT l_linestatus, 'Group ' || l_returnflag, 'trash', b, n, 'C03+TABLE_COUNT', 'Directly poolable' FROM o
+""")
 def transposed_records(spark, sf_dir):
     """Tables with groups in rows and events in columns."""
     o = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).cast("string").alias("n"), F.count_if(F.col("l_discount") > 0.05).cast("string").alias("a"), F.count_if(F.col("l_tax") > 0.05).cast("string").alias("b"))
