@@ -3,9 +3,12 @@
 A vector is the sum of one codeword from each of several codebooks, all of
 full dimension. Codebooks are fitted on the residuals of the ones before; a
 beam search picks the codewords. The index stores codes, the norm of the sum
-they stand for, and the vector. A search builds one table of
-inner products per query, adds up a code's entries, divides by the stored
-norm, and scores the best of each block again on the original vectors.
+they stand for, the cosine between that sum and the vector, and the vector. A
+search builds one table of inner products per query, adds up a code's entries,
+and divides by the stored norm. The best of each block are scored on the
+original vectors; the angle between a vector and its code then bounds what any
+other row can reach, and every row that may still reach the current k-th score
+is scored as well, so the result is exact.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ class Quantiser:
         return np.take_along_axis(codes, errors.argmin(1)[:, None, None], 1)[:, 0]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(book[codes[:, m]] for m, book in enumerate(self.books))
+        return sum(book[codes[:, m]].astype(np.float64) for m, book in enumerate(self.books))
 
 
 def _kmeans(x: np.ndarray, k: int, random: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -103,7 +106,7 @@ def cosine(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Index:
     quantiser: Quantiser | None
-    rows: DataFrame  # ids (smallest first, per_vector at most), vector, norm, codes
+    rows: DataFrame  # ids (smallest first, per_vector at most), vector, norm, fit, codes
 
 
 def build_index(vectors: DataFrame, per_vector: int, sample: int = 16_384, codebooks: int = 16, beam: int = 4) -> Index:
@@ -125,20 +128,36 @@ def build_index(vectors: DataFrame, per_vector: int, sample: int = 16_384, codeb
         for batch in batches:
             x = matrix(batch.column("vector"))
             codes = quantiser.encode(unit(x).astype(np.float32), beam)
-            approximate = np.sqrt((quantiser.decode(codes) ** 2).sum(1))
-            yield pa.record_batch([batch.column("ids"), batch.column("vector"), pa.array(approximate.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["ids", "vector", "norm", "codes"])
+            sums = quantiser.decode(codes)
+            norms = np.sqrt((sums**2).sum(1))
+            fits = np.einsum("ij,ij->i", unit(x), sums) / np.maximum(norms, 1e-9)
+            yield pa.record_batch([batch.column("ids"), batch.column("vector"), pa.array(norms.astype(np.float32)), pa.array(fits), pa.array([c.tobytes() for c in codes], pa.binary())], names=["ids", "vector", "norm", "fit", "codes"])
 
-    return Index(quantiser, materialize(grouped.mapInArrow(run, "ids array<long>, vector array<double>, norm float, codes binary"), "ann-index"))
+    return Index(quantiser, materialize(grouped.mapInArrow(run, "ids array<long>, vector array<double>, norm float, fit double, codes binary"), "ann-index"))
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, 1)[:, :k] if k < scores.shape[1] else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
 
 
+def least_approximate(floor: float, fits: np.ndarray) -> np.ndarray:
+    """Per row, the least cosine between query and code with which the row's
+    own can reach ``floor``: angles add up at most, so a row is no nearer to
+    the query than its code by more than the angle between row and code."""
+    floor, fits = max(floor, -1.0), np.clip(fits, -1, 1)
+    least = floor * fits - np.sqrt(max(0.0, 1 - floor**2)) * np.sqrt(1 - fits**2)
+    return np.where(floor < -fits, -np.inf, least)
+
+
 def search(index: Index, queries: DataFrame, k: int, rerank: int = 100, block: int = 8192) -> DataFrame:
     """qid, vec_id, score: the k + 1 nearest rows of each query (qid, vector),
     nearest first by score, then id.
 
+    The ``rerank`` best of a block by approximate score only set the score
+    that others have to reach: all that can, by the bound of
+    ``least_approximate``, are scored in single precision, and what remains
+    within its rounding error in double.
+
     Queries go to the tasks in blocks of about ``block``; each task keeps the
     best of its part, so a block sends (k + 1) rows per query and task.
     """
@@ -153,19 +172,41 @@ def search(index: Index, queries: DataFrame, k: int, rerank: int = 100, block: i
             qids, q, books = shared.value
             units = unit(q).astype(np.float32) if len(q) else q
             best: list[list[tuple[float, int]]] = [[] for _ in qids]
+
+            def floor(i):
+                return -best[i][per_query - 1][0] if len(best[i]) >= per_query else -2.0
+
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, norms, ids = matrix(batch.column("vector")), batch.column("norm").to_numpy(), batch.column("ids").to_pylist()
+                x, norms, ids = matrix(batch.column("vector")), np.maximum(batch.column("norm").to_numpy(), 1e-9), batch.column("ids").to_pylist()
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+                single = unit(x).astype(np.float32)
+                # What single precision can add to a score, and to an
+                # approximate one, the sum of a product per codebook.
+                rounding = (x.shape[1] + len(books)) * 2.0**-22
+                fits, slack = batch.column("fit").to_numpy() - 1e-9, rounding * (1 + np.sqrt((books**2).sum(2)).max(1).sum()) / norms
+
+                def score(i, near):
+                    exact = cosine(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
+                    least = floor(i)
+                    found = [(-s, v) for s, j in zip(exact.tolist(), near.tolist()) if s >= least for v in ids[j]]
+                    best[i] = sorted(best[i] + found)[:per_query]
+
                 for at in range(0, len(q), 64):
                     tables = np.einsum("qd,mwd->mqw", units[at : at + 64], books, optimize=True)
-                    approximate = sum(t[:, c] for t, c in zip(tables, codes.T)) / np.maximum(norms, 1e-9)
-                    for i, near in enumerate(_best(approximate, rerank), at):
-                        exact = cosine(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
-                        floor = -best[i][per_query - 1][0] if len(best[i]) >= per_query else -2.0
-                        found = [(-s, v) for s, j in zip(exact.tolist(), near.tolist()) if s >= floor for v in ids[j]]
-                        best[i] = sorted(best[i] + found)[:per_query]
+                    approximate = sum(t[:, c] for t, c in zip(tables, codes.T)) / norms
+                    first, can = _best(approximate, rerank), np.empty(approximate.shape, bool)
+                    for i, near in enumerate(first):
+                        score(at + i, near)
+                        can[i] = approximate[i] >= least_approximate(floor(at + i) - rounding, fits) - slack
+                        can[i, near] = False
+                    rows = np.flatnonzero(can.any(0))
+                    close = units[at : at + 64] @ single[rows].T
+                    for i in range(len(close)):
+                        near = rows[can[i, rows] & (close[i] >= floor(at + i) - rounding)]
+                        if len(near):
+                            score(at + i, near)
             rows = [(int(qid), v, -s) for qid, found in zip(qids, best) for s, v in found]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])

@@ -140,6 +140,34 @@ def test_recall(spark):
     assert hits / (80 * 5) >= 0.9
 
 
+def test_neighbours_in_a_tight_group_equal_brute_force(spark):
+    """A third of all rows nearly parallel, more than are scored first, and
+    with few codes among them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = (x[0] + 1e-4 * rng.normal(size=(1000, 64))) * rng.uniform(0.5, 2, (1000, 1))
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    got = {}
+    for r in neighbours.nearest(df, k=5, modulus=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, pytest.approx(r.score, abs=1e-14)))
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in range(0, 3000, 60):
+        s = u @ u[q]
+        s[q] = -9
+        assert [(i, s[i]) for i in np.argsort(-s)[:5]] == got[q]
+
+
+def test_least_approximate_is_a_bound():
+    rng = np.random.default_rng(4)
+    q, c, v = (neighbours.unit(rng.normal(size=(20_000, 3))) for _ in range(3))
+    cos = lambda a, b: np.einsum("ij,ij->i", a, b)
+    for floor in (-2.0, -0.9, -0.3, 0.0, 0.5, 0.99):
+        reach = cos(q, v) >= floor
+        assert (cos(q, c) >= neighbours.least_approximate(floor, cos(c, v)) - 1e-12)[reach].all()
+    assert (cos(q, c) < neighbours.least_approximate(0.9, cos(c, v))).any()
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0, 0), (1, [1.0, 1.0], 0, 0), (1, [1.0, 1.0], 0, 0)], VECTORS)
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(few).collect()] == [(0, 1, 1)]
