@@ -48,7 +48,7 @@ class _Tree:
         self.end: list[int] = [0]
         self.total: list[int] = [0]
 
-    def add(self, word: str) -> None:
+    def add(self, word: str, ends: bool = True) -> None:
         at = 0
         for c in word:
             self.total[at] += 1
@@ -60,6 +60,19 @@ class _Tree:
                 self.end.append(0)
                 self.total.append(0)
             at = self.next[at][c]
+        self.total[at] += ends
+        self.end[at] += ends
+
+    def follow(self, word: str, start: int) -> None:
+        """Count what follows ``start`` characters of a word whose beginning
+        was added; a step that is new leads to the root, as scoring does."""
+        at = 0
+        for c in word[:start]:
+            at = self.next[at][c]
+        for c in word[start:]:
+            self.total[at] += 1
+            self.through[at][c] = self.through[at].get(c, 0) + 1
+            at = self.next[at].setdefault(c, 0)
         self.total[at] += 1
         self.end[at] += 1
 
@@ -94,13 +107,15 @@ class _Tree:
                     self.next[a][c] = self.next[b][c]
 
 
-def infer(words: list[str], alpha: float = 0.05) -> Automaton | None:
-    """The automaton of the sorted sample ``words``; None without any."""
+def infer(words: list[str], alpha: float = 0.05, depth: int = 200) -> Automaton | None:
+    """The automaton of the sorted sample ``words``; None without any. States
+    come from the first ``depth`` characters of each word, which bounds the
+    tree; frequencies from all of them."""
     if not words:
         return None
     tree, bound = _Tree(), math.sqrt(0.5 * math.log(2 / alpha))
     for w in sorted(words):
-        tree.add(symbols(w))
+        tree.add(symbols(w[:depth]), len(w) <= depth)
     red, blue = [0], [(0, c) for c in sorted(tree.next[0])]
     while blue:
         parent, c = blue.pop(0)
@@ -117,6 +132,9 @@ def infer(words: list[str], alpha: float = 0.05) -> Automaton | None:
         else:
             red.append(state)
             blue += [(state, d) for d in sorted(tree.next[state])]
+    for w in words:
+        if len(w) > depth:
+            tree.follow(symbols(w), depth)
     place = {s: i for i, s in enumerate(red)}
     steps, ends = [], []
     for s in red:

@@ -2,9 +2,10 @@
 
 The base patterns find assignments, access keys and hex keys. What they find
 labels a bounded sample of credentials, from which a probabilistic automaton
-per kind is inferred, as is one of long tokens that no pattern claims. Every
-other candidate token is scored by each credential automaton against that
-background; a clear format likelihood adds a span of kind ``grammar``.
+per kind is inferred, as is one of tokens that no pattern claims. Every such
+token of the least labelled length and more, whatever its characters, and every
+remainder beside a claimed part is scored by each credential automaton against
+that background; a clear format likelihood adds a span of kind ``grammar``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automata import Automaton, infer
-from .common import materialize
+from .common import Memo
 
 #: The base patterns, the least length, the group it holds for.
 KINDS = ("assign", "access", "hex")
@@ -28,13 +30,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 WORDS = ("passw", "secret", "token", "api")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+SEPARATORS = "+/_.=-"
 GRAMMAR = "grammar"
 #: log2 likelihood per character with all of RUN's characters alike.
 UNIFORM = -6.0
 #: Fewer unclaimed tokens make no background.
 LEAST_BACKGROUND = 20
-FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,value:string,label:int>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -44,7 +46,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return _scan(text)[0]
 
 
-def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int]]]:
+def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, int]], list[tuple[int, int]]]:
+    """The base spans, the labelled values and their kinds, and the start and
+    end of every token that no base span claims."""
     spans, values = [], {}
     lowered = text.lower()
     if any(w in lowered for w in WORDS):
@@ -52,18 +56,44 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, s
             if len(m[2]) >= LEAST["assign"]:
                 spans.append((m.start(), 0, m.end()))
                 values[m.start(2), m.end(2)] = 0
-    runs = [(m.start(), m.end()) for m in RUN.finditer(text)]
+    runs = [m.span() for m in RUN.finditer(text)]
     for start, end in runs:
+        if end - start < LEAST["access"]:
+            continue
         for kind, pattern in ((1, ACCESS), (2, HEX)):
             for m in pattern.finditer(text, start, end):
                 if m.end() - m.start() >= LEAST[KINDS[kind]]:
                     spans.append((m.start(), kind, m.end()))
                     values[m.start(), m.end()] = kind
-    claimed = [(s, e) for s, _, e in spans]
+    spans.sort()
+    return spans, [(text[s:e], k) for (s, e), k in sorted(values.items())], _unclaimed(text, runs, spans) if spans else runs
+
+
+def _unclaimed(text: str, runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans leave of the runs, without the separators that
+    join a remainder to a span, if it is long enough."""
+    claimed: list[list[int]] = []
+    for s, _, e in spans:
+        if claimed and s <= claimed[-1][1]:
+            claimed[-1][1] = max(e, claimed[-1][1])
+        else:
+            claimed.append([s, e])
+    rest, i = [], 0
     for start, end in runs:
-        if all(e <= start or end <= s for s, e in claimed):
-            values[start, end] = -1
-    return sorted(spans), [(s, e, text[s:e], k) for (s, e), k in sorted(values.items())]
+        while i < len(claimed) and claimed[i][1] <= start:
+            i += 1
+        at, j = start, i
+        while at < end:
+            until, then = claimed[j] if j < len(claimed) and claimed[j][0] < end else (end, end)
+            s, e = at, max(at, until)
+            while at > start and s < e and text[s] in SEPARATORS:
+                s += 1
+            while until < end and s < e and text[e - 1] in SEPARATORS:
+                e -= 1
+            if e - s >= LEAST["assign"]:
+                rest.append((s, e))
+            at, j = then, j + 1
+    return rest
 
 
 @dataclass(frozen=True)
@@ -76,35 +106,53 @@ class Formats:
 
     def secret(self, value: str) -> bool:
         """Whether some format beats the background by ``margin`` bits per
-        character. A token without a digit is never taken for a secret."""
-        if not any(c.isdigit() for c in value):
-            return False
+        character."""
         least = self.background.score(value) if self.background else UNIFORM
         return max((a.score(value) for a in self.by_kind if a), default=-99.0) >= max(least, UNIFORM) + self.margin
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and candidate tokens of every whole text."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
-    def run(batches):
-        for batch in batches:
-            base, candidates = [], []
-            for text in batch.column("text").to_pylist():
-                spans, values = _scan(text or "")
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                candidates.append([{"start": s, "end": e, "value": v, "label": k} for s, e, v, k in values])
-            types = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("label", pa.int32())]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(base, types[0]), pa.array(candidates, types[1])], names=["doc_id", "base", "candidates"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, FOUND)
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """label (-1: unclaimed), h, value: of each task's distinct tokens those
+    with the smallest hash, ``sample`` per label; the smallest of all are
+    among them."""
+
+    def run(batches):
+        pools: dict[int, dict[str, int]] = {k: {} for k in (-1, 0, 1, 2)}
+        limits = dict.fromkeys(pools, 1 << 64)
 
+        def cut(label):
+            kept = sorted(pools[label].items(), key=lambda x: (x[1], x[0]))[:sample]
+            pools[label] = dict(kept)
+            limits[label] = kept[-1][1] if len(kept) == sample else 1 << 64
 
-def learn(found: DataFrame, sample: int = 300, alpha: float = 0.05) -> Formats:
-    """Automata from at most ``sample`` distinct tokens per label: those with
-    the smallest hash, whatever the size of the corpus. Tokens over 200
-    characters teach no format."""
-    tokens = found.select(F.explode("candidates").alias("c")).select("c.label", "c.value").where("length(value) <= 200").groupBy("label", "value").count()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("value"), "value")
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                _, values, rest = _scan(text or "")
+                for label, tokens in ((-1, {text[s:e] for s, e in rest}), *((k, {v for v, kind in values if kind == k}) for k in (0, 1, 2))):
+                    for v in tokens:
+                        h = xxhash.xxh64_intdigest(v.encode(), 42)
+                        if h <= limits[label]:
+                            pools[label][v] = h
+                    if len(pools[label]) > 4 * sample:
+                        cut(label)
+        for label in pools:
+            cut(label)
+            if pools[label]:
+                values = list(pools[label])
+                yield pa.record_batch([pa.array([label] * len(values), pa.int32()), pa.array([h - (1 << 63) for h in pools[label].values()], pa.int64()), pa.array(values, pa.string())], names=["label", "h", "value"])
+
+    return _texts(docs).select("text").mapInArrow(run, "label int, h long, value string")
+
+
+def learn(docs: DataFrame, sample: int = 300, alpha: float = 0.05) -> Formats:
+    """Automata from at most ``sample`` distinct tokens per label, of any
+    length: those with the smallest hash, whatever the size of the corpus."""
+    order = Window.partitionBy("label").orderBy("h", "value")
+    tokens = sampled(docs, sample).distinct()
     rows = tokens.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("label", "value").collect()
     values = {k: [r.value for r in rows if r.label == k] for k in (-1, 0, 1, 2)}
     return Formats([infer(values[k], alpha) for k in (0, 1, 2)], infer(values[-1], alpha) if len(values[-1]) >= LEAST_BACKGROUND else None)
@@ -118,22 +166,22 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     exclusive. Null text counts as empty: no span, the hash of nothing.
     Repeated rows get a row each, a null doc_id stays null, other columns are
     ignored. Without a labelled credential in the corpus only base spans are
-    found.
+    found. The documents are read twice, to learn and to score.
     """
-    found = materialize(find(docs), "secret-candidates")
-    formats = formats or learn(found)
+    formats = formats or learn(docs)
 
     def run(batches):
+        known = Memo(formats.secret)
         for batch in batches:
             counts, hashes, spans = [], [], []
-            for base, candidates in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
-                own = [(b["start"], b["kind"], b["end"]) for b in base]
-                more = [(c["start"], 3, c["end"]) for c in candidates if c["label"] < 0 and formats.secret(c["value"])]
-                text = lambda x: ",".join(f"{(*KINDS, GRAMMAR)[k]}:{s}:{e}" for s, k, e in sorted(x))
+            for text in batch.column("text").to_pylist():
+                own, _, rest = _scan(text or "")
+                more = [(s, 3, e) for s, e in rest if (known[text[s:e]] if e - s <= 64 else formats.secret(text[s:e]))]
+                listed = lambda x: ",".join(f"{(*KINDS, GRAMMAR)[k]}:{s}:{e}" for s, k, e in sorted(x))
                 counts.append([sum(k == i for _, k, _ in own + more) for i in range(4)])
-                hashes.append(hashlib.sha256(text(own).encode()).hexdigest())
-                spans.append(text(own + more))
+                hashes.append(hashlib.sha256(listed(own).encode()).hexdigest())
+                spans.append(listed(own + more))
             n = list(zip(*counts)) or [()] * 4
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in n[:3]), pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(n[3], pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
 
-    return found.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")

@@ -183,6 +183,38 @@ def test_secrets_found_by_format(spark):
     assert got[901].spans == ""
 
 
+FORMATS = {
+    "no digit": lambda pick: pick("ABCDEF", 30),
+    "short": lambda pick: "k9-" + pick("0123456789", 8),
+    "long": lambda pick: "eyJ" + pick("0123456789ABCDEF", 150) + "." + pick("0123456789ABCDEF", 300),
+}
+
+
+@pytest.mark.parametrize("name", FORMATS)
+def test_secrets_of_any_length_and_characters(spark, name):
+    rnd = random.Random(6)
+    make = lambda: FORMATS[name](lambda letters, n: "".join(rnd.choices(letters, k=n)))
+    plain = lambda: " ".join("".join(rnd.choices("aeiounrst", k=rnd.randrange(6, 26))) for _ in range(5))
+    rows = [(i, f"{plain()} token = '{make()}' {plain()}", None, None, 1) for i in range(100)]
+    hidden = make()
+    rows += [(900, f"plain {hidden} end", None, None, 1), (901, f"{plain()} remarkable-and-ordinary", None, None, 1)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[900].spans == f"grammar:6:{6 + len(hidden)}" and got[901].spans == ""
+    assert all(got[i].n_assign == 1 and got[i].n_grammar == 0 for i in range(100))
+
+
+def test_secrets_beside_claimed_parts(spark):
+    rnd = random.Random(7)
+    key = lambda: "AKIA" + "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    make = lambda: "s7" + "".join(rnd.choices("0123456789abcdefABCDEF", k=30))
+    plain = lambda: " ".join("".join(rnd.choices("aeiounrst", k=rnd.randrange(6, 26))) for _ in range(5))
+    rows = [(i, f"{plain()} token = {make()} {plain()}", None, None, 1) for i in range(100)]
+    rows += [(900, f"see {key()}/{make()}", None, None, 1), (901, f"{make()}/{key()}//{make()}.{key()}/short", None, None, 1)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[900].spans.split(",")[1:] == ["grammar:25:57"] and got[900].n_access == 1
+    assert [s for s in got[901].spans.split(",") if s.startswith("grammar")] == ["grammar:0:32", f"grammar:{32 + 1 + 20 + 2}:{32 + 1 + 20 + 2 + 32}"]
+
+
 def test_secrets_of_awkward_documents(spark):
     rows = {r.doc_id: r for r in secrets.scan_secrets(awkward(spark)).collect()}
     assert rows[1].spans == "" and rows[6].n_assign == 1 and rows[6].n_access == 1
@@ -196,3 +228,9 @@ def test_automaton_learns_a_format():
     assert len(a.steps) < 30
     assert a.score("k-123456") > -3.5 > a.score("k-12xy56") and a.score("hello") < -5
     assert automata.infer([]) is None
+
+
+def test_long_words_teach_all_their_characters():
+    words = ["ab" * 150 + "x" * n for n in range(50, 90)]
+    long, cut = automata.infer(words), automata.infer([w[:200] for w in words])
+    assert long.score("ab" * 100 + "x" * 60) > cut.score("ab" * 100 + "x" * 60) + 1
