@@ -7,6 +7,7 @@ import random
 import pytest
 
 from factloom.operators import evaluation as E
+from factloom.plans import catalog
 from factloom.plans.scoring import evaluate, metrics, score
 
 GOLD = "event_id string, article_id string, evidence_quote_raw string, event_term_raw string, category_canonical string, numerator_value string, denominator_value string, arm_raw string, arm_canonical string, time_raw string, time_canonical string, poolability string"
@@ -129,3 +130,9 @@ def test_scoring_writes_everything(spark, tmp_path):
     assert {"main_metrics.json", "vor_matches.csv", "aip_metrics.json", "scoring_lock.json", "article_id_crosswalk.csv"} <= names
     with pytest.raises(FileExistsError):
         score(named(articles), named(g), long, tmp_path / "out", "label", 20)
+
+
+def test_bootstrap_query_draws_all_replicates(spark, monkeypatch):
+    asked, bootstrap = [], E.bootstrap
+    monkeypatch.setattr(E, "bootstrap", lambda counts, label, replicates=E.REPLICATES: asked.append(replicates) or bootstrap(counts, label, replicates))
+    assert catalog.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").count() == 1 and asked == [10_000]
