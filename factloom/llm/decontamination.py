@@ -71,7 +71,7 @@ class ItemIndex:
     size partition (powers of two) and item class the band tables."""
 
     search: Search
-    ids: list[int]
+    ids: list[int | None]
     sets: list[np.ndarray]
     universe: np.ndarray = field(init=False)
 
@@ -121,7 +121,7 @@ class ItemIndex:
         at[at == len(self.universe)] = 0
         return shingles[self.universe[at] == shingles] if len(self.universe) else shingles[:0]
 
-    def hits(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
+    def hits(self, shingles: np.ndarray) -> list[tuple[int | None, int, int]]:
         """(item, shared, size of item) of the items contained in the set."""
         reduced = self.reduce(shingles)
         if not len(reduced):
@@ -134,11 +134,12 @@ class ItemIndex:
         return found
 
 
-def item_blocks(benchmark: DataFrame, search: Search):
+def item_blocks(benchmark: DataFrame, search: Search, unnamed: bool = False):
     """ItemIndex of each block, a bounded number of rows on the driver at a
-    time; items without a word or id are skipped, equal rows count once."""
+    time; items without a word are skipped, those without an id unless
+    ``unnamed``, equal rows count once."""
     shingler, ids, sets, held = Shingler(search.k), [], [], 0
-    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null").distinct().orderBy("item_id", "text")
+    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where(F.lit(unnamed) | F.col("item_id").isNotNull()).distinct().orderBy("item_id", "text")
     for row in materialize(rows, "benchmark-items").orderBy("item_id", "text").toLocalIterator():
         s = shingler(row.text)
         if len(s):
@@ -159,8 +160,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text). A text of fewer
     than k words is one shingle of them all. Null and empty texts contain and
     are nothing; repeated documents give repeated rows, equal items count
-    once, a repeated item_id with another text is searched on its own. Other
-    columns are ignored; empty tables give no rows. Documents are scanned
+    once, a repeated item_id with another text is searched on its own. An item
+    whose item_id is null could not be named and gives no row, though
+    clean_documents searches it. Other columns are ignored; empty tables give
+    no rows. Documents are scanned
     once per block of items, without an exchange.
     """
     spark, out = docs.sparkSession, None
@@ -184,9 +187,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of ``docs`` that contain no item, columns as they are."""
+    """The rows of ``docs`` that contain no item, columns as they are. Items
+    count whether their item_id is null or not."""
     spark, at = docs.sparkSession, docs.columns.index("text")
-    for index in item_blocks(benchmark, search):
+    for index in item_blocks(benchmark, search, unnamed=True):
         shared = spark.sparkContext.broadcast((index.ids, index.sets))
 
         def run(batches, shared=shared):

@@ -61,6 +61,14 @@ def test_contained_items_equal_brute_force(spark, seed, search):
     assert {r.doc_id for r in decontamination.clean_documents(df, bench, s).collect()} == {d for d, _ in docs} - bad
 
 
+def test_items_without_id_are_cleaned(spark):
+    docs = spark.createDataFrame([(1, "x " * 9 + "a b c d e f g", None, None, None), (2, "x " * 9 + "h i j k l m n", None, None, None), (3, "x " * 9, None, None, None)], SCHEMA)
+    bench = spark.createDataFrame([(None, "A b c d e f g", ""), (None, "h i j k l m n", ""), (None, None, ""), (7, "a b c d e f g", "")], ITEMS)
+    rows = [tuple(r) for r in decontamination.contaminated(docs, bench).collect()]
+    assert rows == [(1, 7, 3, 3, 1.0)]
+    assert [r.doc_id for r in decontamination.clean_documents(docs, bench).collect()] == [3]
+
+
 def test_nothing_to_find(spark):
     bench = spark.createDataFrame([], ITEMS)
     assert decontamination.contaminated(awkward(spark), bench).collect() == []
