@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
-from functools import cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.operators.written import appended, scratch
+from factloom.operators.written import folder as shared_dir
+from factloom.operators.written import write_to
+from factloom.operators.written import written as materialize
 
-@cache
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="factloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
+__all__ = ["appended", "materialize", "scratch", "shared_dir", "write_to"]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one of
-    this process only where that setting is absent (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def parallelism(spark: SparkSession) -> int:
+    """Shuffle partitions of the session, as a number of output shards."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start
-    from files that outlive executors, and costly stages run once."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, which bounds what a task
+    holds as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions of the session, as a number of output shards."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def frequent(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """The keys that more than one row in ``share`` of a written table holds:
+    fewer than ``share`` of them, whatever the input."""
+    return rows.groupBy(key).count().where(F.col("count") > rows.count() // share + share).select(key)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has a row per ``key``.
+
+    The keys of ``hot``, a table of bounded size as ``frequent`` gives it, are
+    looked up in a broadcast; their rows are dealt evenly in the join by key,
+    in which they find nothing, so no task gets all rows of a frequent key.
+    """
+    values = [c for c in table.columns if c != key]
+    own = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("_hot"), F.struct(*values).alias("_near"))
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns).bitwiseOR(1)).otherwise(0)
+    marked = rows.join(F.broadcast(own), F.col(key) == F.col("_hot"), "left").withColumn("_spread", spread)
+    rest = table.select(key, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_far"))
+    found = marked.join(rest, [key, "_spread"], "left")
+    return found.select(*rows.columns, *(F.coalesce(f"_near.{v}", f"_far.{v}").alias(v) for v in values))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

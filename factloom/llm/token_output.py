@@ -8,7 +8,7 @@ behind a shard's last token). Batches are never compressed, as a compressed
 buffer cannot be mapped. Beside each stands ``*.docs.arrow`` with the
 documents of the shard in order: ``doc_id``, ``n_tokens``.
 
-Shards are ranges of ``doc_id``, so the files in shard order hold all tokens
+Shards are ranges of ``doc_id``, then of text, so the files in shard order hold all tokens
 in ascending order of documents, and a document's global start is the sum of
 the shards before plus its place in its own.
 """
@@ -43,16 +43,16 @@ class WordEncoder:
     That is exact where the tokenizer drops white space: its normaliser works
     character by character or on combining sequences, none of which reaches
     over white space, and its pre-tokeniser gives pieces without any. Closing
-    punctuation is known apart from its word, and common words in lower case.
-    Pieces that hold an added token's string, and any text for another
-    tokenizer, are encoded as they are.
+    punctuation is known apart from its word, and common words in lower case
+    where the normaliser lowers all. Pieces that hold an added token's string
+    in any case, and any text for another tokenizer, are encoded as they are.
     """
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         spec = json.loads(self.tokenizer.to_str())
-        self.by_word = drops_white_space(spec)
-        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.by_word, self.lowers = drops_white_space(spec), any(n["type"] == "Lowercase" for n in parts_of(spec["normalizer"], "normalizers"))
+        self.added = {t["content"].encode().lower() for t in spec["added_tokens"]}
         self.model = self.tokenizer.model
         self.pieces, self.words = Memo(self._piece, 300_000), Memo(self._word, 300_000)
 
@@ -67,12 +67,12 @@ class WordEncoder:
         return self._encode(word)
 
     def _piece(self, piece: bytes) -> bytes:
-        for added in self.added:
-            if added in piece:
-                return self._encode(piece)
+        lower = piece.lower()
+        if any(added in lower for added in self.added):
+            return self._encode(piece)
         head, tail = head_and_tail(piece)
-        lower = head.lower()
-        ids = self.words[lower if lower.isascii() or LOWER_LETTERS(lower) else head]
+        lower = lower[: len(head)]
+        ids = self.words[lower if self.lowers and (lower.isascii() or LOWER_LETTERS(lower)) else head]
         return ids + self.words[tail] if tail else ids
 
     def __call__(self, text: bytes) -> bytes:
@@ -87,12 +87,17 @@ def encoder(path: str, dtype: str) -> WordEncoder:
     return WordEncoder(path, dtype)
 
 
+def parts_of(part: dict | None, many: str) -> list[dict]:
+    """The members of a sequence, or the part itself; none without one."""
+    return (part or {}).get(many, [part] if part else [])
+
+
 def drops_white_space(spec: dict) -> bool:
     """Whether pieces between ASCII white space are encoded on their own: a
     removing split whose pattern matches no white space, no added token with
-    white space in it or taken from its surroundings, no template."""
-    parts = lambda x, many: (x or {}).get(many, [x] if x else [])
-    pre = parts(spec["pre_tokenizer"], "pretokenizers")
+    white space in it, sought in normalised text or taken from its
+    surroundings, no template."""
+    pre = parts_of(spec["pre_tokenizer"], "pretokenizers")
     split = pre[0] if pre else {}
     pattern = str(split.get("pattern", {}).get("Regex", ""))
     return (
@@ -101,8 +106,8 @@ def drops_white_space(spec: dict) -> bool:
         and split.get("invert") is True
         and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
-        and all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in parts(spec["normalizer"], "normalizers"))
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        and all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in parts_of(spec["normalizer"], "normalizers"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         and spec["post_processor"] is None
     )
 
@@ -188,7 +193,9 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
             row = [shard, f"{folder}/{name}", n_docs, n_tokens, sequences.n_sequences]
             yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 3))], names=["shard", "path", "n_docs", "n_tokens", "n_sequences"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # A doc_id that repeats is split by how its texts begin.
+    begins = F.substring("text", 1, 16)
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id", begins).sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 

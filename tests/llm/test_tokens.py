@@ -1,7 +1,9 @@
 """Token files and counts against the library on whole texts."""
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from factloom.llm import token_count, token_output  # noqa: E402
 from .brute import SCHEMA, awkward  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-PARTS = ["a", "B", "é", "́", "Σ", "İ", " ", "  ", "\n", "\x1c", "\x85", "1", "23", "!", "'s", "'ll", "<|endoftext|>", "<|end", "日本", " ", "word", "Foo!!", "x.", "😀", "\t", "(q)", "Été", "été,", "größe.", "ÀÿÖ!", "a×b", "ñ÷", "naïve", "œuvre", "ß"]
+PARTS = ["a", "B", "é", "́", "Σ", "İ", " ", "  ", "\n", "\x1c", "\x85", "1", "23", "!", "'s", "'ll", "<|endoftext|>", "<|end", "日本", " ", "word", "Foo!!", "x.", "😀", "\t", "(q)", "Été", "été,", "größe.", "ÀÿÖ!", "a×b", "ñ÷", "naïve", "œuvre", "ß", "<|ENDOFTEXT|>x", "<|Endoftext|>9", "y<|STARTOFTEXT|>", "<|StartOfText|>"]
 
 
 def texts(seed, n=400, length=60):
@@ -31,6 +33,29 @@ def test_word_encoder_equals_whole_texts():
         assert np.frombuffer(encode(t.encode()), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_that_keeps_case(tmp_path):
+    spec = json.loads(Path(WORD).read_text())
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(spec))
+    encode, whole = token_output.WordEncoder(str(path), "uint16"), Tokenizer.from_file(str(path))
+    assert encode.by_word and not encode.lowers
+    for t in texts(4, 100):
+        assert np.frombuffer(encode(t.encode()), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_sought_in_normalised_text_take_whole_texts(tmp_path):
+    spec = json.loads(Path(WORD).read_text())
+    spec["added_tokens"][0]["normalized"] = True
+    assert not token_output.drops_white_space(spec)
+
+
+def test_a_repeated_id_is_dealt_by_its_texts(spark):
+    df = spark.createDataFrame([(7, f"{i} words of a text", None, None, None) for i in range(90)], SCHEMA)
+    manifest = token_output.write_sequences(df, WORD, 2, shards=3)
+    assert manifest.count() == 3 and max(r.n_docs for r in manifest.collect()) < 60
+
+
 def test_other_tokenizers_get_whole_texts():
     encode, whole = token_output.WordEncoder(BYTE, "uint16"), Tokenizer.from_file(BYTE)
     assert not encode.by_word
