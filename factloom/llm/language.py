@@ -10,7 +10,6 @@ nearly as near, the result is flagged as ambiguous.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 DIMENSIONS = 1 << 14
 #: Letters and bytes beyond ASCII stay; all else is a word boundary.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text or ""))
+
+
 def ngrams(text: str | None) -> np.ndarray:
     """Counts of the 2- and 3-byte grams of the folded text by hashed slot."""
     b = np.frombuffer(b" " + (text or "").lower().encode().translate(FOLD) + b" ", np.uint8)
@@ -36,10 +39,11 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 def profile(text: str | None, cap: int = 1000) -> np.ndarray:
-    """The counts in sixteenths, scaled down to ``cap`` n-grams, so that no
-    document outweighs others; integers, so that sums don't hang on order."""
+    """The counts, scaled down to ``cap`` n-grams, so that no document
+    outweighs others, in units of 2^-16: integers, so that sums don't hang on
+    order, and none is lost in texts of less than 10^8 n-grams."""
     counts = np.concatenate(ngrams(text))
-    return np.rint(counts * (16 * min(1.0, cap / max(counts.sum(), 1)))).astype(np.int64)
+    return np.rint(counts * (65_536 * min(1.0, cap / max(counts.sum(), 1)))).astype(np.int64)
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
@@ -96,7 +100,7 @@ def train(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if text and LETTER.search(text):
+                if has_letter(text):
                     sums[lang] = sums.get(lang, 0) + profile(text)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -117,7 +121,7 @@ def fit(found: dict[str, np.ndarray]) -> Model | None:
     code = codewords(len(languages))
     if len(languages) == 1:
         return Model(languages, code, np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1), np.ones(1))
-    rates = np.array([found[x] + 8.0 for x in languages])
+    rates = np.array([found[x] / 65_536 + 0.5 for x in languages])
     rates /= rates.sum(1, keepdims=True)
     sides = [np.array([rates[code[:, b] == s].mean(0) for b in range(code.shape[1])]) for s in (1, -1)]
     weights = (np.log(sides[0]) - np.log(sides[1])).T
@@ -148,7 +152,7 @@ def identify(docs: DataFrame, model: Model | None = None, modulus: int = 4, rema
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 texts = part.column("text").to_pylist()
-                known = [bool(model and t and LETTER.search(t)) for t in texts]
+                known = [bool(model) and has_letter(t) for t in texts]
                 langs, scores, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), [False] * len(texts)
                 use = [i for i, k in enumerate(known) if k]
                 if use:
