@@ -47,15 +47,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, int]], list[tuple[int, int]]]:
-    """The base spans, the labelled values and their kinds, and the start and
-    end of every token that no base span claims."""
-    spans, values = [], {}
+    """The base spans, the labelled values and their kinds (a value that is
+    of two kinds is labelled twice), and the start and end of every token that
+    no base span claims."""
+    spans, values = [], set()
     lowered = text.lower()
     if any(w in lowered for w in WORDS):
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= LEAST["assign"]:
                 spans.append((m.start(), 0, m.end()))
-                values[m.start(2), m.end(2)] = 0
+                values.add((m.start(2), m.end(2), 0))
     runs = [m.span() for m in RUN.finditer(text)]
     for start, end in runs:
         if end - start < LEAST["access"]:
@@ -64,9 +65,9 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, int]],
             for m in pattern.finditer(text, start, end):
                 if m.end() - m.start() >= LEAST[KINDS[kind]]:
                     spans.append((m.start(), kind, m.end()))
-                    values[m.start(), m.end()] = kind
+                    values.add((m.start(), m.end(), kind))
     spans.sort()
-    return spans, [(text[s:e], k) for (s, e), k in sorted(values.items())], _unclaimed(text, runs, spans) if spans else runs
+    return spans, [(text[s:e], k) for s, e, k in sorted(values)], _unclaimed(text, runs, spans) if spans else runs
 
 
 def _unclaimed(text: str, runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
