@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8
+from .common import slices, utf8
 
 #: Byte classes of the statistics; lead and continuation bytes follow.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:'\"()-", b"!?", b"#$%&*@^~", b"|/\\_=+<>[]{}")
@@ -88,35 +88,31 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shri
     return Discriminant(means, np.array(whiteners), np.array(constants))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x: the vector of each whole text; null text as empty."""
-
-    def run(batches):
-        for batch in batches:
-            x = vectors(utf8(batch.column("text")))
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS))
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "x"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, x array<double>")
-
-
 def held_out(modulus: int = 3, remainder: int = 1):
     """Whether a document's labels are kept from the fit."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Discriminant:
-    """Fit on every labelled row that is not held out. Only class sums leave
-    the executors: per class one count, p sums and p(p+1)/2 products."""
+def training_rows(labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, quality, weight of at most ``sample`` labels that are not held
+    out, those with the smallest hash. The same label given again weighs
+    again."""
+    marks = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).agg(F.count(F.lit(1)).alias("weight"))
+    return marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> Discriminant:
+    """Fit on the documents of at most ``sample`` labels (see training_rows),
+    so many rows being what is broadcast. Only class sums leave the executors:
+    per class one count, p sums and p(p+1)/2 products."""
     p = len(STATISTICS)
-    # The same label given again weighs again, but rows meet only once.
-    marks = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).agg(F.count(F.lit(1)).alias("weight"))
     upper = np.triu_indices(p)
 
     def run(batches):
         total = np.zeros((2, 1 + p + len(upper[0])))
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+        for batch in slices(batches):
+            x = vectors(utf8(batch.column("text")))
             w, q = batch.column("weight").to_numpy(), batch.column("quality").to_numpy()
             for k in (0, 1):
                 wk, xk = w[q == k].astype(float), x[q == k]
@@ -124,7 +120,8 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Discrimi
         n = total.shape[1]
         yield pa.record_batch([pa.array(np.repeat([0, 1], n).astype(np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), 2)), pa.array(total.ravel())], names=["quality", "i", "v"])
 
-    rows = stats.join(marks, "doc_id").select("x", "quality", "weight").mapInArrow(run, "quality int, i int, v double").groupBy("quality", "i").agg(F.sum("v").alias("v")).collect()
+    marked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(training_rows(labels, sample)), "doc_id")
+    rows = marked.select("text", "quality", "weight").mapInArrow(run, "quality int, i int, v double").groupBy("quality", "i").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((2, 1 + p + len(upper[0])))
     for r in rows:
         sums[r.quality, r.i] = r.v
@@ -135,34 +132,33 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Discrimi
     return discriminant(sums[:, 0], sums[:, 1 : 1 + p], squares, shrinkage)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> DataFrame:
     """Per document of ``docs`` (doc_id, text): held_out, score, predicted.
 
     Labels (doc_id, quality) other than 0 and 1 or without id are ignored;
     repeated labels count as often; repeated documents get a row each. Null
     text scores as empty. A null doc_id stays null and is not held out. With
     no rows of a class to learn from, every score is 0.5. Other columns of
-    both tables are ignored, and no id, label or source enters a score.
+    both tables are ignored, and no id, label or source enters a score. The
+    fit takes at most ``sample`` labels; every document is scored.
     """
-    stats = materialize(document_statistics(docs), "quality-statistics")
-    model = fit(stats, labels, shrinkage)
+    model = fit(docs, labels, shrinkage, sample)
 
     def run(batches):
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            s = model.scores(x)
+        for batch in slices(batches):
+            s = model.scores(vectors(utf8(batch.column("text"))))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return stats.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns as they are."""
-    model = fit(materialize(document_statistics(docs), "quality-statistics"), labels, shrinkage)
-    at = docs.columns.index("text")
+    model, at = fit(docs, labels, shrinkage, sample), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(vectors(utf8(batch.column(at)))) >= 0.5))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.scores(vectors(utf8(batch.column(at)))) >= 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
