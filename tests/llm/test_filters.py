@@ -1,8 +1,10 @@
 """Decontamination, quality, language, secrets."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -114,6 +116,35 @@ def test_quality_of_awkward_documents(spark):
     assert quality.score_quality(awkward(spark).where("false"), one).collect() == []
 
 
+def plain_quality(docs, labels, shrinkage=0.1):
+    """Scores by class densities over plain sums, all documents in memory."""
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in docs}
+    of = {k: np.array([x[i] for i, q in labels if q == k and i in x and zlib.crc32(str(i).encode()) % 3 != 1]) for k in (0, 1)}
+    n = {k: len(v) for k, v in of.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in of.items()}
+    pooled = sum(n[k] * np.diag(cov[k]) for k in (0, 1)) / sum(n.values()) + 1e-6
+    logs = {}
+    for k in (0, 1):
+        s = (1 - shrinkage) * cov[k] + shrinkage * np.diag(pooled)
+        inverse, mean = np.linalg.inv(s), of[k].mean(0)
+        logs[k] = {i: np.log(n[k] / sum(n.values())) - 0.5 * (v - mean) @ inverse @ (v - mean) - 0.5 * np.linalg.slogdet(s)[1] for i, v in x.items()}
+    return {i: 1 / (1 + np.exp(np.clip((logs[0][i] - logs[1][i]) / len(v), -500, 500))) for i, v in x.items()}
+
+
+def test_quality_equals_a_plain_version(spark):
+    docs, labels = labelled(spark, 300)
+    rows = quality.score_quality(docs, labels).collect()
+    expected = plain_quality([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect()])
+    assert len(rows) == 300 and all(r.score == pytest.approx(expected[r.doc_id], rel=1e-5, abs=1e-9) for r in rows)
+
+
+def test_a_bounded_sample_of_labels_will_do(spark):
+    docs, labels = labelled(spark)
+    assert quality.training_rows(labels, 90).count() == 90
+    rows = quality.score_quality(docs, labels, sample=90).collect()
+    assert len(rows) == 400 and np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in rows]) > 0.95
+
+
 def test_discriminant_equals_densities():
     rng = np.random.default_rng(0)
     x = [rng.normal(0, 1, (50, 3)), rng.normal(1, 2, (30, 3))]
@@ -148,6 +179,68 @@ def test_language(spark):
     assert not unsure[0] and score[1] < score[0]
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(i, spoken(random.Random(i), "xx" if i % 2 else "yy"), "xx" if i % 2 else "yy", "s", 1) for i in range(40)]
+    rows += [(100 + i, t, "xx", "s", 1) for i, t in enumerate(("½ ② Ⅷ", "12 _ ¼", "\u0301", "", "² ª"))]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[100 + i] for i in range(4)] == ["und"] * 4 and got[104] != "und"
+
+
+def plain_grams(text):
+    b = b" " + text.lower().encode().translate(language.FOLD) + b" "
+    b = bytes(x for i, x in enumerate(b) if x != 32 or i == 0 or b[i - 1] != 32)
+    out = {}
+    for n, times in ((2, 2246822519), (3, 2654435761)):
+        for i in range(len(b) - n + 1):
+            slot = (int.from_bytes(b[i : i + n], "big") * times) % (1 << 32) >> 19
+            key = slot + (8192 if n == 3 else 0)
+            out[key] = out.get(key, 0) + 1
+    return out
+
+
+def plain_codes(train, texts):
+    """Codewords, weights and losses by loops: (language, score) of texts."""
+    sums = {}
+    for text, lang in train:
+        grams = plain_grams(text)
+        scale = min(1.0, 1000 / sum(grams.values()))
+        of = sums.setdefault(lang, [0.5] * language.DIMENSIONS)
+        for g, n in grams.items():
+            of[g] += n * scale
+    names = sorted(sums)
+    rates = [[v / sum(sums[x]) for v in sums[x]] for x in names]
+    code = [[1] * (2 ** (len(names) - 1) - 1)] + [[-1 if b >> i & 1 else 1 for b in range(1, 2 ** (len(names) - 1))] for i in range(len(names) - 1)]
+    bits = []
+    for b in range(len(code[0])):
+        sides = {s: [i for i in range(len(names)) if code[i][b] == s] for s in (1, -1)}
+        mean = {s: [sum(rates[i][g] for i in of) / len(of) for g in range(language.DIMENSIONS)] for s, of in sides.items()}
+        weight = [math.log(u) - math.log(v) for u, v in zip(mean[1], mean[-1])]
+        out = [sum(r * w for r, w in zip(row, weight)) for row in rates]
+        high, low = (sum(out[i] for i in sides[s]) / len(sides[s]) for s in (1, -1))
+        bits.append((weight, (high + low) / 2, max((high - low) / 2, 1e-6)))
+    whole, found = sum(h for _, _, h in bits), []
+    for text in texts:
+        grams = plain_grams(text)
+        n = sum(grams.values())
+        margins = [(sum(c / n * w[g] for g, c in grams.items()) - m) / h for w, m, h in bits]
+        loss = [sum(math.log1p(math.exp(-2 * min(3, max(-3, m)) * code[i][b])) * bits[b][2] / whole for b, m in enumerate(margins)) for i in range(len(names))]
+        likely = [math.exp(-8 * (x - min(loss))) for x in loss]
+        found.append((names[loss.index(min(loss))], max(likely) / sum(likely)))
+    return found
+
+
+@pytest.mark.parametrize("names", [["xx", "yy"], ["xx", "yy", "zz"], ["xx", "yy", "zz", "qq"]])
+def test_output_codes_equal_a_plain_version(spark, names):
+    rnd = random.Random(len(names))
+    rows = [(i, spoken(rnd, names[i % len(names)]) * rnd.choice([1, 60]), names[i % len(names)], "s", 1) for i in range(60)]
+    rows += [(100 + i, spoken(rnd, rnd.choice(names)) + " " + spoken(rnd, rnd.choice(names)), None, "s", 1) for i in range(30)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected = plain_codes([(t, lang) for i, t, lang, _, _ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2], [r[1] for r in rows])
+    for row, (lang, score) in zip(rows, expected):
+        assert got[row[0]].score == pytest.approx(score, abs=1e-3)
+        assert got[row[0]].lang_pred == lang or score < 0.51
+
+
 def test_language_with_nothing_or_one_to_learn(spark):
     none = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(none).collect()} == {"und"}
@@ -211,6 +304,11 @@ def test_secrets_of_any_length_and_characters(spark, name):
     assert all(got[i].n_assign == 1 and got[i].n_grammar == 0 for i in range(100))
 
 
+def test_a_value_of_two_kinds_teaches_both():
+    text = "token = " + "0123456789abcdef" * 2
+    assert sorted(k for _, k in secrets._scan(text)[1]) == [0, 2]
+
+
 def test_secrets_beside_claimed_parts(spark):
     rnd = random.Random(7)
     key = lambda: "AKIA" + "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
