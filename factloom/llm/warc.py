@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, shared_dir
+from .common import lookup, materialize, parallelism, shared_dir
 
 BLOCK = 1 << 18
 SHARDS = "path string, n_records long"
 INDEX = pa.schema([("offset", pa.int64()), ("length", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("target", pa.string())])
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+SHARE = 1000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -138,14 +139,17 @@ def normalise(source, sink, level: int = 6) -> pa.Table:
 def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, refers_to of ``pages`` (page_id, url,
     html): of equal payloads of ``least`` bytes or more, all but the one with
-    the smallest page_id refer to it."""
+    the smallest page_id refer to it. Digests that more than one page in SHARE
+    has, fewer than SHARE of them, are looked up apart (see ``lookup``)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        own.where(F.octet_length("payload") >= least)
-        .groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    )
-    return own.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("nullif(first, page_id)").alias("refers_to"))
+    counted = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    first = materialize(counted, "warc-first")
+    # A short payload has a key of its own, so that those rows are dealt evenly.
+    key = F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    hot = first.where(F.col("n") > pages.count() // SHARE).select(F.col("digest").alias("key"))
+    joined = lookup(own.withColumn("key", key), first.select(F.col("digest").alias("key"), "first"), "key", hot)
+    return joined.select("page_id", "url", "payload", "digest", F.expr("nullif(first, page_id)").alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
