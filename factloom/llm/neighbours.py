@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import appended, materialize
+
+FOUND = "qid long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -91,15 +93,21 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component next
+    to 1. That changes no cosine by a bit, but for the components and squares
+    that would have overflowed or vanished without it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows over their norm, first over their largest component, so that
-    neither overflow nor underflow spoils a finite vector."""
-    y = x / np.abs(x).max(1, keepdims=True)
+    y = scaled(x)
     return y / np.sqrt((y**2).sum(1, keepdims=True))
 
 
 def cosine(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision: dot over the product of norms."""
+    """Row-wise cosine of ``scaled`` rows in double precision: dot over the
+    product of norms."""
     return np.einsum("ij,ij->i", queries, x) / (np.sqrt(np.einsum("ij,ij->i", queries, queries)) * np.sqrt(np.einsum("ij,ij->i", x, x)))
 
 
@@ -158,65 +166,74 @@ def search(index: Index, queries: DataFrame, k: int, rerank: int = 100, block: i
     ``least_approximate``, are scored in single precision, and what remains
     within its rounding error in double.
 
-    Queries go to the tasks in blocks of about ``block``; each task keeps the
-    best of its part, so a block sends (k + 1) rows per query and task.
+    Queries go to the tasks in blocks of about ``block``, one block at a time
+    whatever their number; each task keeps the best of its part, so a block
+    sends (k + 1) rows per query and task, which are written before the next.
     """
-    spark, out = queries.sparkSession, None
-    blocks = max(1, -(-queries.count() // block))
-    per_query = k + 1
-    for b in range(blocks if index.quantiser else 0):
-        held = queries.where(F.pmod(F.col("qid"), F.lit(blocks)) == b).select("qid", "vector").toArrow()
-        shared = spark.sparkContext.broadcast((held.column("qid").to_numpy(), matrix(held.column("vector").combine_chunks()), index.quantiser.books))
-
-        def run(batches, shared=shared):
-            qids, q, books = shared.value
-            units = unit(q).astype(np.float32) if len(q) else q
-            best: list[list[tuple[float, int]]] = [[] for _ in qids]
-
-            def floor(i):
-                return -best[i][per_query - 1][0] if len(best[i]) >= per_query else -2.0
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, norms, ids = matrix(batch.column("vector")), np.maximum(batch.column("norm").to_numpy(), 1e-9), batch.column("ids").to_pylist()
-                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                single = unit(x).astype(np.float32)
-                # What single precision can add to a score, and to an
-                # approximate one, the sum of a product per codebook.
-                rounding = (x.shape[1] + len(books)) * 2.0**-22
-                fits, slack = batch.column("fit").to_numpy() - 1e-9, rounding * (1 + np.sqrt((books**2).sum(2)).max(1).sum()) / norms
-
-                def score(i, near):
-                    exact = cosine(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
-                    least = floor(i)
-                    found = [(-s, v) for s, j in zip(exact.tolist(), near.tolist()) if s >= least for v in ids[j]]
-                    best[i] = sorted(best[i] + found)[:per_query]
-
-                for at in range(0, len(q), 64):
-                    tables = np.einsum("qd,mwd->mqw", units[at : at + 64], books, optimize=True)
-                    approximate = sum(t[:, c] for t, c in zip(tables, codes.T)) / norms
-                    first, can = _best(approximate, rerank), np.empty(approximate.shape, bool)
-                    for i, near in enumerate(first):
-                        score(at + i, near)
-                        can[i] = approximate[i] >= least_approximate(floor(at + i) - rounding, fits) - slack
-                        can[i, near] = False
-                    rows = np.flatnonzero(can.any(0))
-                    close = units[at : at + 64] @ single[rows].T
-                    for i in range(len(close)):
-                        near = rows[can[i, rows] & (close[i] >= floor(at + i) - rounding)]
-                        if len(near):
-                            score(at + i, near)
-            rows = [(int(qid), v, -s) for qid, found in zip(qids, best) for s, v in found]
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])
-
-        part = index.rows.mapInArrow(run, "qid long, vec_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "qid long, vec_id long, score double")
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block)) if index.quantiser else 0
+    found = appended(spark, (_scan(index, queries, b, blocks, k + 1, rerank) for b in range(blocks)), FOUND, "ann-found")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_query).drop("n")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+
+
+def _scan(index: Index, queries: DataFrame, b: int, blocks: int, per_query: int, rerank: int) -> DataFrame:
+    """The best rows of each task for the queries of block ``b``."""
+    held = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((held.column("qid").to_numpy(), matrix(held.column("vector").combine_chunks()), index.quantiser.books))
+
+    def run(batches):
+        qids, q, books = shared.value
+        if not len(q):
+            return
+        q = scaled(q)
+        units = unit(q).astype(np.float32)
+        best: list[list[tuple[float, int]]] = [[] for _ in qids]
+
+        def floor(i):
+            return -best[i][per_query - 1][0] if len(best[i]) >= per_query else -2.0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, norms, ids = scaled(matrix(batch.column("vector"))), np.maximum(batch.column("norm").to_numpy(), 1e-9), batch.column("ids").to_pylist()
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(x), -1).T)
+            single = unit(x).astype(np.float32)
+            # What single precision can add to a score, and to an
+            # approximate one, the sum of a product per codebook.
+            rounding = (x.shape[1] + len(books)) * 2.0**-22
+            fits, slack = batch.column("fit").to_numpy() - 1e-9, rounding * (1 + np.sqrt((books**2).sum(2)).max(1).sum()) / norms
+
+            def score(i, near):
+                exact = cosine(np.broadcast_to(q[i], (len(near), q.shape[1])), x[near])
+                least = floor(i)
+                found = [(-s, v) for s, j in zip(exact.tolist(), near.tolist()) if s >= least for v in ids[j]]
+                best[i] = sorted(best[i] + found)[:per_query]
+
+            for at in range(0, len(q), 64):
+                # A table row holds a codeword's products with all queries of
+                # the group, so that looking it up copies one stretch.
+                tables = np.einsum("qd,mwd->mwq", units[at : at + 64], books, optimize=True)
+                total, part = np.zeros((len(x), tables.shape[2]), np.float32), np.empty((len(x), tables.shape[2]), np.float32)
+                for t, c in zip(tables, codes):
+                    total += np.take(np.ascontiguousarray(t), c, axis=0, out=part)
+                approximate = np.ascontiguousarray(total.T) / norms
+                first, can = _best(approximate, rerank), np.empty(approximate.shape, bool)
+                for i, near in enumerate(first):
+                    score(at + i, near)
+                    can[i] = approximate[i] >= least_approximate(floor(at + i) - rounding, fits) - slack
+                    can[i, near] = False
+                rows = np.flatnonzero(can.any(0))
+                close = units[at : at + 64] @ single[rows].T
+                for i in range(len(close)):
+                    near = rows[can[i, rows] & (close[i] >= floor(at + i) - rounding)]
+                    if len(near):
+                        score(at + i, near)
+        rows = [(int(qid), v, -s) for qid, found in zip(qids, best) for s, v in found]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])
+
+    return index.rows.mapInArrow(run, FOUND)
 
 
 def nearest(embeddings: DataFrame, k: int = 5, modulus: int = 50, rerank: int = 100, sample: int = 16_384) -> DataFrame:

@@ -79,6 +79,17 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.archive_pages(spark.createDataFrame([], PAGES))).collect() == []
 
 
+def test_a_frequent_page_is_looked_up_apart(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARE", 4)
+    rows = [(i, "u", ("<p>" + "y" * 200) if i % 2 else ["", "<i>", "<p>" + "z" * (100 + i // 8)][i % 3], "x") for i in range(60, 0, -1)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(warc.archive_pages(spark.createDataFrame(rows, PAGES))).collect()}
+    first = {}
+    for i, _, html, _ in sorted(rows):
+        first.setdefault(html if len(html) >= 100 else i, i)
+    expected = {i: first[html if len(html) >= 100 else i] for i, _, html, _ in rows}
+    assert got == {i: ("response", None) if f == i else ("revisit", f) for i, f in expected.items()}
+
+
 def test_normalised_members_stand_alone():
     records = [warc.record(i, "u", b"x" * n, "d", None) for i, n in enumerate([0, 5, 300_000])]
     sink = io.BytesIO()
@@ -158,6 +169,35 @@ def test_neighbours_in_a_tight_group_equal_brute_force(spark):
         assert [(i, s[i]) for i in np.argsort(-s)[:5]] == got[q]
 
 
+def test_very_large_and_very_small_components(spark):
+    big, small = 2.0**660, 2.0**-660
+    pairs = [(big, big), (big, 2 * big), (small, small), (small, 3 * small), (1.0, 2.0), (-1e308, 1.7e308), (5e-324, 0.0)]
+    df = spark.createDataFrame([(50 * i, list(v)) for i, v in enumerate(pairs)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    u = np.array([np.longdouble(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for v in pairs]).astype(float)
+    for i, query in enumerate(u):
+        order = sorted((-round(float(query @ v), 12), 50 * j) for j, v in enumerate(u) if j != i)[:5]
+        assert [(rank, v, round(s, 12)) for rank, v, s in sorted(got[50 * i])] == [(n + 1, v, -s) for n, (s, v) in enumerate(order)]
+
+
+def test_scaling_changes_no_cosine():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 500, 40)) * np.exp(rng.normal(size=(2, 500, 1)) * 9)
+    plain = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+    assert (neighbours.cosine(neighbours.scaled(a), neighbours.scaled(b)) == plain).all()
+
+
+def test_queries_in_blocks_find_the_same(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    vectors = neighbours.valid_vectors(df)
+    index, queries = neighbours.build_index(vectors, 6), vectors.selectExpr("vec_id as qid", "vector").where("qid % 3 = 0")
+    rows = lambda block: sorted(map(tuple, neighbours.search(index, queries, 5, block=block).collect()))
+    assert rows(7) == rows(8192) and len(rows(7)) == 600
+
+
 def test_least_approximate_is_a_bound():
     rng = np.random.default_rng(4)
     q, c, v = (neighbours.unit(rng.normal(size=(20_000, 3))) for _ in range(3))
