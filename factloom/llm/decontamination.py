@@ -3,34 +3,41 @@
 A test item is contained in a document when at least ``containment`` of its
 distinct k-word shingles occur there. The items' shingles together are the
 universe; a document is first reduced to its shingles in that universe, which
-changes no containment and leaves a set that a short item can match. Reduced
-sets are then partitioned by size: the wanted containment is a Jaccard
-similarity of at least ``t*q / (q + x - t*q)`` against a set of size x, so
-each size partition has its own number of one-value bands to miss such a pair
-with probability ``miss`` at most. Candidates are verified by counting the
-exact shingles in common. Sets of the partitions beyond ``max_bands`` are
-looked up exactly, shingle by shingle.
-
-The items are searched in blocks of at most ``block`` shingles, so what goes
-to each task is bounded however many items there are.
+changes no containment and leaves a set that a short item can match. One pass
+over the texts does that against a bit table of the universe, of a fixed size
+however many items there are; few documents keep a shingle, and the search
+proper reads those alone.
+
+Items and reduced sets are both partitioned by size (powers of two): the wanted
+containment is a Jaccard similarity of at least ``t*q / (q + x - t*q)`` of an
+item of size q against a set of size x, so each pair of partitions has its own
+number of one-value bands to miss such a pair with probability ``miss`` at
+most. Candidates are verified by counting the exact shingles in common. Pairs
+of partitions beyond ``max_bands`` are looked up exactly, shingle by shingle,
+which leaves the bands of all others as they are.
+
+Items are searched in blocks of at most ``block`` shingles, one block at a
+time, so what goes to each task is bounded, too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize, mix64, shingle_set
+from .common import Memo, appended, materialize, mix64, shingle_set, slices
 
 WORD = re.compile(r"[^\W_]+")
-HITS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+HITS = "doc_id long, text_hash long, item_id long, n_shared long, n_item long"
 
 
 @dataclass(frozen=True)
@@ -41,6 +48,7 @@ class Search:
     max_bands: int = 256
     block: int = 1 << 18
     seed: int = 3
+    bits: int = 27
 
 
 class Shingler:
@@ -55,6 +63,11 @@ class Shingler:
         return shingle_set(np.fromiter(map(self.words.__getitem__, map(str.encode, words)), np.uint64, len(words)), self.k)
 
 
+def size_class(n: int) -> int:
+    """The class of a set of n shingles: class c holds up to 2**c."""
+    return max(n - 1, 0).bit_length()
+
+
 def bands_for(size: int, shortest: int, search: Search) -> int:
     """Bands that find an item of any length from ``shortest`` in a reduced
     set of up to ``size`` shingles; 0 if more than max_bands."""
@@ -65,10 +78,16 @@ def bands_for(size: int, shortest: int, search: Search) -> int:
     return n if n <= search.max_bands else 0
 
 
+def bands_of(part: int, kind: int, search: Search) -> int:
+    """Bands of the pair of a partition of reduced sets and one of items."""
+    return bands_for(1 << part, (1 << kind >> 1) + 1 if kind else 1, search)
+
+
 @dataclass
 class ItemIndex:
     """One block of items: universe (sorted), per item its set, and for each
-    size partition (powers of two) and item class the band tables."""
+    size partition of reduced sets a table of band keys, to which every size
+    partition of items gives as many as the pair needs."""
 
     search: Search
     ids: list[int | None]
@@ -79,24 +98,48 @@ class ItemIndex:
         self.universe = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         random = np.random.default_rng(self.search.seed)
         self.salt = random.integers(0, 1 << 64, (self.search.max_bands, 1), np.uint64)
-        self.signatures = [self.signature(s, self.search.max_bands) for s in self.sets]
-        self.tables: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        self.owners: dict[int, list[int]] | None = None
+        self.kinds: dict[int, list[int]] = {}
+        for i, s in enumerate(self.sets):
+            self.kinds.setdefault(size_class(len(s)), []).append(i)
+        self.tables: dict[int, tuple[int, np.ndarray, np.ndarray, list[int]]] = {}
+
+    @cached_property
+    def signatures(self) -> list[np.ndarray]:
+        return [self.signature(s, self.search.max_bands) for s in self.sets]
+
+    @cached_property
+    def owners(self) -> dict[int, dict[int, list[int]]]:
+        """Per partition of items, the items that hold a shingle."""
+        found: dict[int, dict[int, list[int]]] = {}
+        for kind, items in self.kinds.items():
+            own = found.setdefault(kind, {})
+            for i in items:
+                for x in self.sets[i].tolist():
+                    own.setdefault(x, []).append(i)
+        return found
 
     def signature(self, shingles: np.ndarray, bands: int) -> np.ndarray:
         return mix64(shingles[None, :] ^ self.salt[:bands]).min(1)
 
-    def table(self, size: int) -> tuple[int, np.ndarray, np.ndarray]:
-        """Bands of the partition of ``size``, their keys in order, and the
-        item behind each key."""
-        part = max(size - 1, 0).bit_length()
+    def table(self, size: int) -> tuple[int, np.ndarray, np.ndarray, list[int]]:
+        """Of the partition of ``size``: the most bands of a pair, the keys of
+        all items in order, the item behind each, and the partitions of items
+        that are looked up instead."""
+        part = size_class(size)
         if part not in self.tables:
-            upper = 1 << part
-            fit = [i for i, s in enumerate(self.sets) if math.ceil(self.search.containment * len(s)) <= upper]
-            bands = bands_for(upper, min((len(self.sets[i]) for i in fit), default=1), self.search) if fit else 1
-            keys = np.concatenate([np.empty(0, np.uint64), *(self.band_keys(self.signatures[i][:bands]) for i in fit)])
-            order = np.argsort(keys, kind="stable")
-            self.tables[part] = bands, keys[order], np.repeat(np.array(fit, np.int32), bands)[order]
+            keys, owners, looked_up, most = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [], 0
+            for kind, items in sorted(self.kinds.items()):
+                fit = [i for i in items if math.ceil(self.search.containment * len(self.sets[i])) <= 1 << part]
+                bands = bands_of(part, kind, self.search)
+                if fit and bands:
+                    keys += [self.band_keys(self.signatures[i][:bands]) for i in fit]
+                    owners.append(np.repeat(np.array(fit, np.int32), bands))
+                    most = max(most, bands)
+                elif fit:
+                    looked_up.append(kind)
+            flat = np.concatenate(keys)
+            order = np.argsort(flat, kind="stable")
+            self.tables[part] = most, flat[order], np.concatenate(owners)[order], looked_up
         return self.tables[part]
 
     @staticmethod
@@ -104,17 +147,16 @@ class ItemIndex:
         return mix64(signature + np.arange(len(signature), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def candidates(self, reduced: np.ndarray) -> set[int]:
-        bands, keys, owners = self.table(len(reduced))
+        bands, keys, owners, looked_up = self.table(len(reduced))
+        found: set[int] = set()
         if bands:
             own = self.band_keys(self.signature(reduced, bands))
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            return {i for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()) for i in owners[a:b].tolist()}
-        if self.owners is None:
-            self.owners = {}
-            for i, s in enumerate(self.sets):
-                for x in s.tolist():
-                    self.owners.setdefault(x, []).append(i)
-        return {i for x in reduced.tolist() for i in self.owners[x]}
+            found.update(i for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()) for i in owners[a:b].tolist())
+        for kind in looked_up:
+            own = self.owners[kind]
+            found.update(i for x in reduced.tolist() for i in own.get(x, ()))
+        return found
 
     def reduce(self, shingles: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.universe, shingles)
@@ -134,23 +176,115 @@ class ItemIndex:
         return found
 
 
-def item_blocks(benchmark: DataFrame, search: Search, unnamed: bool = False):
-    """ItemIndex of each block, a bounded number of rows on the driver at a
-    time; items without a word are skipped, those without an id unless
-    ``unnamed``, equal rows count once."""
-    shingler, ids, sets, held = Shingler(search.k), [], [], 0
-    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where(F.lit(unnamed) | F.col("item_id").isNotNull()).distinct().orderBy("item_id", "text")
-    for row in materialize(rows, "benchmark-items").orderBy("item_id", "text").toLocalIterator():
-        s = shingler(row.text)
-        if len(s):
-            if ids and held + len(s) > search.block:
-                yield ItemIndex(search, ids, sets)
-                ids, sets, held = [], [], 0
-            ids.append(row.item_id)
-            sets.append(s)
-            held += len(s)
+def item_sets(benchmark: DataFrame, search: Search, unnamed: bool) -> DataFrame:
+    """item_id, shingles (array of long) of the items; those without a word
+    are skipped, those without an id unless ``unnamed``, equal rows count
+    once."""
+    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where(F.lit(unnamed) | F.col("item_id").isNotNull()).distinct()
+
+    def run(batches):
+        shingler = Shingler(search.k)
+        for batch in slices(batches):
+            yield _with_sets([batch.column("item_id")], ["item_id"], [shingler(t) for t in batch.column("text").to_pylist()])
+
+    return materialize(rows.mapInArrow(run, "item_id long, shingles array<long>").where("size(shingles) > 0"), "benchmark-items")
+
+
+def _with_sets(columns: list[pa.Array], names: list[str], sets: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+    flat = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))
+    return pa.record_batch([*columns, pa.ListArray.from_arrays(offsets, flat)], names=[*names, "shingles"])
+
+
+def _sets(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def bit_table(items: DataFrame, search: Search) -> np.ndarray:
+    """2**bits bits, of which every shingle of ``items`` sets one; the driver
+    gets the words that are not zero, at most 2**(bits - 6) of them."""
+    at = F.col("s").bitwiseAND((1 << search.bits) - 1)
+    places = items.select(F.explode("shingles").alias("s")).select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(s & 63L as int))").alias("bit"))
+    words = places.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (search.bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def reduced_sets(docs: DataFrame, items: DataFrame, search: Search) -> DataFrame:
+    """doc_id, text_hash, shingles of the rows that keep one by the bit
+    table. Texts are read here alone, once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(items, search))
+
+    def run(batches):
+        table, shingler = shared.value, Shingler(search.k)
+        for batch in slices(batches):
+            sets, some = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                s = shingler(text)
+                at = s & np.uint64((1 << search.bits) - 1)
+                s = s[(table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                if len(s):
+                    sets.append(s)
+                    some.append(i)
+            if some:
+                yield _with_sets([batch.column(c).take(pa.array(some)) for c in ("doc_id", "text_hash")], ["doc_id", "text_hash"], sets)
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return materialize(narrow.mapInArrow(run, "doc_id long, text_hash long, shingles array<long>"), "benchmark-reduced")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def item_blocks(items: DataFrame, block: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and sets of the items, at most ``block`` shingles at a time (or one
+    item); the driver holds one block."""
+    ids, sets, held = [], [], 0
+    for row in items.toLocalIterator():
+        if ids and held + len(row.shingles) > block:
+            yield ids, sets
+            ids, sets, held = [], [], 0
+        ids.append(row.item_id)
+        sets.append(np.array(row.shingles, np.int64).view(np.uint64))
+        held += len(row.shingles)
     if ids:
-        yield ItemIndex(search, ids, sets)
+        yield ids, sets
+
+
+class _Block:
+    """A block as it is broadcast; a worker makes its index once."""
+
+    def __init__(self, search: Search, ids: list[int | None], sets: list[np.ndarray]):
+        self.made = search, ids, sets
+
+    @cached_property
+    def index(self) -> ItemIndex:
+        return ItemIndex(*self.made)
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, search: Search, unnamed: bool = False) -> DataFrame:
+    """A HITS row per (row of docs, item contained in it), written."""
+    items = item_sets(benchmark, search, unnamed)
+    reduced = reduced_sets(docs, items, search)
+
+    def scan(ids, sets):
+        shared = docs.sparkSession.sparkContext.broadcast(_Block(search, ids, sets))
+
+        def run(batches):
+            index = shared.value.index
+            for batch in slices(batches):
+                rows = []
+                for doc_id, text, shingles in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), _sets(batch.column("shingles"))):
+                    rows += [(doc_id, text, *hit) for hit in index.hits(shingles)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "text_hash", "item_id", "n_shared", "n_item"])
+
+        return reduced.mapInArrow(run, HITS)
+
+    return appended(docs.sparkSession, (scan(*block) for block in item_blocks(items, search.block)), HITS, "benchmark-hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
@@ -163,43 +297,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
     once, a repeated item_id with another text is searched on its own. An item
     whose item_id is null could not be named and gives no row, though
     clean_documents searches it. Other columns are ignored; empty tables give
-    no rows. Documents are scanned
-    once per block of items, without an exchange.
+    no rows. Texts are read once and not exchanged.
     """
-    spark, out = docs.sparkSession, None
-    narrow = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    for index in item_blocks(benchmark, search):
-        shared = spark.sparkContext.broadcast((index.ids, index.sets))
-
-        def run(batches, shared=shared):
-            index, shingler = ItemIndex(search, *shared.value), Shingler(search.k)
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows += [(doc_id, *hit) for hit in index.hits(shingler(text))]
-                columns = list(zip(*rows)) or [()] * 4
-                columns.append([a / b for a, b in zip(columns[2], columns[3])])
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
-
-        part = narrow.mapInArrow(run, HITS)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], HITS)
+    found = found_items(docs, benchmark, search)
+    return found.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
     """The rows of ``docs`` that contain no item, columns as they are. Items
     count whether their item_id is null or not."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    for index in item_blocks(benchmark, search, unnamed=True):
-        shared = spark.sparkContext.broadcast((index.ids, index.sets))
-
-        def run(batches, shared=shared):
-            index, shingler = ItemIndex(search, *shared.value), Shingler(search.k)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.hits(shingler(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found = found_items(docs, benchmark, search, unnamed=True).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    own = docs["doc_id"].cast("long").eqNullSafe(found["_d"]) & (text_hash(docs["text"]) == found["_t"])
+    return docs.join(found, own, "left_anti")
 
 
 ORACLE = r"""

@@ -51,7 +51,7 @@ def contaminated_case(seed, n_items=60):
     return docs + [(500, " ".join(t for _, t in items if t)), (501, None)], items
 
 
-@pytest.mark.parametrize("seed, search", [(1, {}), (2, {"block": 100}), (3, {"max_bands": 0}), (4, {"containment": 0.5, "k": 3})])
+@pytest.mark.parametrize("seed, search", [(1, {}), (2, {"block": 100}), (3, {"max_bands": 0}), (4, {"containment": 0.5, "k": 3}), (5, {"bits": 8, "max_bands": 20})])
 def test_contained_items_equal_brute_force(spark, seed, search):
     docs, items = contaminated_case(seed)
     s = decontamination.Search(**search)
@@ -63,6 +63,29 @@ def test_contained_items_equal_brute_force(spark, seed, search):
     assert {r.doc_id for r in decontamination.clean_documents(df, bench, s).collect()} == {d for d, _ in docs} - bad
 
 
+def test_a_short_item_leaves_the_bands_of_others():
+    rng, search = np.random.default_rng(1), decontamination.Search()
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (40, 50, 60)]
+    long, both = decontamination.ItemIndex(search, [0, 1, 2], sets), decontamination.ItemIndex(search, [0, 1, 2, 3], [*sets, sets[0][:1]])
+    for n in (1, 30, 60, 200, 300):
+        assert long.table(n)[0] == both.table(n)[0] or n == 1
+        assert long.table(n)[3] == [k for k in both.table(n)[3] if k]
+    reduced = np.unique(np.concatenate([sets[0], sets[1][:30], rng.integers(0, 1 << 63, 100, np.uint64)]))
+    assert both.table(len(reduced))[0] > 0 and both.table(len(reduced))[3] == [0]
+    assert [h[0] for h in both.hits(reduced)] == [0, 3] and 0 in both.candidates(both.reduce(reduced))
+
+
+def test_bands_miss_little():
+    search = decontamination.Search()
+    for part in range(12):
+        for kind in range(12):
+            bands = decontamination.bands_of(part, kind, search)
+            q, x = (1 << kind >> 1) + 1 if kind else 1, 1 << part
+            shared = min(x, search.containment * q)
+            if bands and search.containment * q <= x:
+                assert (1 - shared / (q + x - shared)) ** bands <= search.miss * 1.0001
+
+
 def test_items_without_id_are_cleaned(spark):
     docs = spark.createDataFrame([(1, "x " * 9 + "a b c d e f g", None, None, None), (2, "x " * 9 + "h i j k l m n", None, None, None), (3, "x " * 9, None, None, None)], SCHEMA)
     bench = spark.createDataFrame([(None, "A b c d e f g", ""), (None, "h i j k l m n", ""), (None, None, ""), (7, "a b c d e f g", "")], ITEMS)
