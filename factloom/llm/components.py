@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frequent, lookup, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,15 +13,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     of the component. Every node hangs under the smallest label around it,
     then under that one's own label, so long chains halve in each round; each
     round is written, so a lost executor costs one round at most. All rounds
-    are joins and sums with map-side combining: no component is gathered."""
+    are joins and sums with map-side combining: no component is gathered, and
+    nodes with many links and labels of many nodes are looked up apart."""
     both = materialize(links.union(links.select("b", "a")).toDF("u", "v").where("u <> v").distinct(), "component-links")
+    hubs = materialize(frequent(both, "v"), "component-hubs")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "component-labels")
     while True:
-        around = both.join(labels.withColumnsRenamed({"node": "v", "label": "l"}), "v").groupBy("u").agg(F.min("l").alias("l"))
+        around = lookup(both, labels.toDF("v", "l"), "v", hubs).groupBy("u").agg(F.min("l").alias("l"))
         nearer = labels.join(around, labels["node"] == around["u"]).select("node", "label", F.least("label", "l").alias("near"))
-        heads = labels.select(F.col("node").alias("near"), F.col("label").alias("head"))
-        hung = nearer.join(heads, "near", "left").select("node", "label", F.coalesce("head", "near").alias("next"))
-        hung = materialize(hung, "component-labels")
+        nearer = materialize(nearer, "component-near")
+        hung = lookup(nearer, labels.toDF("near", "head"), "near", frequent(nearer, "near"))
+        hung = materialize(hung.select("node", "label", F.coalesce("head", "near").alias("next")), "component-labels")
         labels = hung.select("node", F.col("next").alias("label"))
         if hung.where("label <> next").isEmpty():
             return labels

@@ -8,9 +8,12 @@ then independent and match with probability J each.
 
 Equal sets form a class, and one node stands for it. Nodes that share a band
 are candidates, and a candidate is a link only if the full sets say so. A
-bucket is not expanded into pairs: first every member is compared with one
-representative, which joins large groups at a cost linear in their size. Then
-only pairs across components can change one. Members of buckets that still
+bucket is not expanded into pairs: it is dealt into parts of about FAN nodes,
+every member is compared with one representative of its part, and those with
+the bucket's, which joins large groups at a cost linear in their size and
+leaves no node with many more than FAN pairs. Components found so far count as
+one, so what a sweep adds are links between them. Then only pairs across
+components can change one. Members of buckets that still
 hold several components are compared across them under an exact prefix
 filter: in a fixed order of all shingles, similar sets must share one of their
 first few. Shingles that a single component holds come first in that order,
@@ -29,9 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize, mix64, shingle_set, utf8
+from .common import Memo, frequent, lookup, materialize, mix64, scratch, shared_dir, shingle_set, slices, utf8, write_to
 from .components import connected_components
 
+#: Nodes of a part of a bucket; a key that more than one row in SHARE holds
+#: is looked up apart.
+FAN, SHARE = 4096, 1000
+
 
 @dataclass(frozen=True)
 class Banding:
@@ -99,7 +106,7 @@ def sign(docs: DataFrame, banding: Banding) -> DataFrame:
 
     def run(batches):
         signer = Signer(banding)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes, keys, counts = [], [], [], []
             for text in utf8(batch.column("text")):
                 s = signer.shingles(text)
@@ -124,32 +131,30 @@ def sets_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame, banding: Bandi
 
     def run(batches):
         signer = Signer(banding)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [signer.shingles(t) for t in utf8(part.column("text"))]
-                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
-                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-                yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "shingles"])
+        for part in slices(batches, 64):
+            sets = [signer.shingles(t) for t in utf8(part.column("text"))]
+            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "shingles"])
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
+    """Those of pairs (a, b, and more) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     num, den = similarity
     sized = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) * den >= F.greatest(F.size("sa"), F.size("sb")) * num)
-    common = sized.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("both"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
-    return common.where(F.col("common") * den >= (F.col("both") - F.col("common")) * num).select("a", "b").distinct()
+    common = sized.select(*pairs.columns, (F.size("sa") + F.size("sb")).cast("long").alias("both"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
+    return common.where(F.col("common") * den >= (F.col("both") - F.col("common")) * num).select(*pairs.columns)
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """All pairs (a, b) of ``nodes`` (node, label) with different labels that
     may be similar enough; every similar one is among them."""
     num, den = similarity
-    tokens = nodes.join(sets.dropDuplicates(["node"]), "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = nodes.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     tokens = materialize(tokens, "near-tokens")
     across = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "df")
     ordered = tokens.join(across, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -163,42 +168,70 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int])
     # either set from its first common one on cannot be.
     enough = F.least("left_a", "left_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
     sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return a.join(b, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & enough & sizes).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = a.join(b, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & enough & sizes)
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("label_a").alias("la"), F.col("label_b").alias("lb"))
+
+
+def star_pairs(members: DataFrame, sweep: int) -> DataFrame:
+    """Pairs (a, b, la, lb) of different labels, of members (band, n, node,
+    label): each with the representative of its part of the bucket, and those
+    with the one of the bucket."""
+    order = F.struct(F.xxhash64("node", F.lit(sweep)).alias("order"), "node", "label")
+    parts = members.groupBy("band", "part").agg(F.min(order).alias("rep"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"))
+    parts = materialize(parts.where((F.col("lo") < F.col("hi")) | (F.col("n") > FAN)), "near-parts")
+    own = members.join(parts.where("lo < hi").select("band", "part", "rep"), ["band", "part"])
+    many = parts.where(F.col("n") > FAN)
+    across = many.select("band", F.col("rep.node").alias("node"), F.col("rep.label").alias("label")).join(many.groupBy("band").agg(F.min("rep").alias("rep")), "band")
+    rows = own.select("node", "label", "rep").union(across.select("node", "label", "rep")).where(F.col("label") != F.col("rep.label"))
+    one, other = F.struct("node", "label"), F.struct("rep.node", "rep.label")
+    sides = rows.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y"))
+    return sides.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+
+
+def mixed_members(members: DataFrame) -> DataFrame:
+    """node, label of the members of buckets with more than one label."""
+    parts = members.groupBy("band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"))
+    parts = materialize(parts, "near-parts")
+    many = parts.where(F.col("n") > FAN)
+    mixed = many.groupBy("band").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("band")
+    keys = parts.where(F.col("n") <= FAN).where("lo < hi").select("band", "part").union(many.join(mixed, "band", "left_semi").select("band", "part"))
+    return members.join(keys, ["band", "part"], "left_semi").select("node", "label").distinct()
 
 
 def components_of(docs: DataFrame, signed: DataFrame, banding: Banding, sweeps: int = 3) -> DataFrame:
-    """node, label: the component of each node that has a link.
+    """node, label: the component of each node that shares a band with one.
 
-    ``sweeps`` passes compare bucket members with one representative, another
-    in each pass; the pass after them does the rest, see prefix_pairs.
+    ``sweeps`` passes compare bucket members with representatives, others in
+    each pass; the pass after them does the rest, see prefix_pairs.
     """
     nodes = signed.where("n_shingles > 0").select("node", "bands").dropDuplicates(["node"])
     bands = nodes.select(F.explode("bands").alias("band"), "node")
     # Only buckets with two nodes or more ever matter again.
-    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = materialize(bands.join(shared, "band"), "near-buckets")
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "a long, b long")
-    links, tested = empty, empty
-    labels = spark.createDataFrame([], "node long, label long")
-    sets = materialize(sets_of(docs, signed, rows.select("node").distinct(), banding), "near-sets")
+    labels = materialize(rows.select("node", F.col("node").alias("label")).distinct(), "near-labels")
+    sets = materialize(sets_of(docs, signed, labels.select("node"), banding), "near-sets")
+    if sets.count() > labels.count():  # rows that repeat id and text
+        sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
+    tested: list[DataFrame] = []
     for sweep in range(sweeps + 1):
-        labelled = rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        order = F.xxhash64(F.col("node"), F.lit(sweep))
-        labelled = materialize(labelled.withColumn("order", order), "near-labelled")
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("order").alias("first")).where("lo < hi").select("band", "first")
+        part = F.pmod(F.xxhash64("node", F.lit(-1 - sweep)), F.ceil(F.col("n") / FAN))
+        members = rows.join(labels, "node").withColumn("part", part)
         if sweep < sweeps:
-            reps = labelled.join(mixed, "band").where("order = first").select("band", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
-            pairs = labelled.join(reps, "band").where("label <> rep_label").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+            members = materialize(members, "near-members")
+            pairs = star_pairs(members, sweep)
         else:
-            pairs = prefix_pairs(labelled.join(mixed, "band").select("node", "label").distinct(), sets, banding.similarity)
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialize(confirm(pairs, sets, banding.similarity), "near-links")
-        if not pairs.isEmpty():
-            tested = tested.union(pairs)
+            pairs = prefix_pairs(mixed_members(members), sets, banding.similarity)
+        pairs = pairs.distinct()
+        for t in tested:
+            pairs = pairs.join(t.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "near-pairs")
+        found = materialize(confirm(pairs, sets, banding.similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "near-links")
+        tested.append(pairs)
         if not found.isEmpty():
-            links = links.union(found)
-            labels = connected_components(links)
+            joined = connected_components(found).toDF("label", "new")
+            labels = lookup(labels, joined, "label", frequent(labels, "label"))
+            labels = materialize(labels.select("node", F.coalesce("new", "label").alias("label")), "near-labels")
     return labels
 
 
@@ -214,13 +247,28 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), signed: DataF
     columns are ignored; an empty table gives no rows.
     """
     signed = materialize(sign(docs, banding), "near-signed") if signed is None else signed
-    labels = materialize(components_of(docs, signed, banding), "near-components")
+    path = shared_dir(docs.sparkSession, "near-groups")
+    with scratch(docs.sparkSession):
+        groups = write_to(path, groups_of(signed, components_of(docs, signed, banding)))
     narrow = signed.select("doc_id", "text_hash", "n_shingles", "node")
-    labelled = narrow.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    component = F.coalesce(F.col("smallest"), F.col("doc_id"))
+    grouped = lookup(narrow.where("n_shingles > 0"), groups, "node", groups.where(F.col("n_node") > signed.count() // SHARE).select("node"))
+    component = F.when(F.col("n").isNotNull(), F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id"))
     kept = F.when(F.col("n").isNull(), True).when(F.col("smallest").isNull(), F.col("text_hash") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(False)))
-    return labelled.join(smallest, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+    alone = narrow.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
+    return grouped.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash").unionByName(alone)
+
+
+def groups_of(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each node whose component has two documents or more: n_node, its
+    documents, and of the component smallest (doc_id), first (text_hash), n."""
+    info = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n"))
+    known = info.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = materialize(known, "near-info")
+    groups = known.groupBy("label").agg(F.min("smallest").alias("smallest"), F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")).where("n > 1")
+    groups = materialize(groups, "near-components")
+    rows = known.select("node", "label", F.col("n").alias("n_node"))
+    hot = groups.where(F.col("nodes") > known.count() // SHARE).select("label")
+    return lookup(rows, groups.drop("nodes"), "label", hot).where("n is not null").drop("label")
 
 
 def unique_documents(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from factloom.llm import common
 from factloom.llm import near_duplicates as nd
 from factloom.llm.components import connected_components
 
@@ -45,6 +46,30 @@ def test_components_equal_all_pairs(spark, seed, k, num, den, sweeps, monkeypatc
     assert all(got[i].n_shingles == len(shingles(t, k)) and got[i].kept == (got[i].component_id == i) for i, t in rows)
 
 
+def test_frequent_keys_and_large_buckets(spark, monkeypatch):
+    """Buckets in parts of a few nodes, and most keys looked up apart."""
+    monkeypatch.setattr(nd, "FAN", 4)
+    monkeypatch.setattr(nd, "SHARE", 20)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(i, mutated(rnd, base, rnd.choice([0, 0, 1, 1, 2]))) for i in range(150)] + [(1000 + i, mutated(rnd, base[::-1], 1)) for i in range(30)] + [(2000 + i, "") for i in range(40)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in nd.near_duplicates(df, nd.Banding((85, 100), 3)).collect()}
+    expected = components(rows, 3, 85, 100)
+    assert {i: got[rows[i][0]].component_id for i in expected} == expected and len(got) == len(rows)
+
+
+def test_lookup_equals_a_join(spark):
+    rows = spark.createDataFrame([(i % 7 if i < 200 else i, f"r{i}") for i in range(400)], "k long, r string")
+    table = spark.createDataFrame([(i, f"t{i}", None) for i in range(0, 300, 2)], "k long, t string, u string")
+    expected = sorted(map(str, rows.join(table, "k", "left").select("k", "r", "t", "u").collect()))
+    for hot in ([0, 2, 5], [], range(300)):
+        found = common.lookup(rows, table, "k", spark.createDataFrame([(k,) for k in hot], "k long"))
+        assert sorted(map(str, found.collect())) == expected
+    assert sorted(r.k for r in common.frequent(rows, "k", 20).collect()) == []
+    assert sorted(r.k for r in common.frequent(rows.union(rows.where("k < 3")).union(rows.where("k < 3")), "k", 20).collect()) == [0, 1, 2]
+
+
 def test_awkward_documents(spark):
     rows = nd.near_duplicates(awkward(spark)).collect()
     assert len(rows) == len(AWKWARD)
