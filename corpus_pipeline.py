@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontamination, mixing, near_duplicates, quality, token_output
-from factloom.llm.common import materialize
+from factloom.llm.common import scratch, shared_dir, write_to
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -50,12 +50,17 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: No stage but mixing can be said in SQL; tests hold them to brute force.
+#: No stage but mixing can be said in SQL; tests/llm/test_pipeline.py holds all
+#: of them to plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes for itself goes when its
+    output is written; outputs and token files stay until the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_dir(spark, f"pipeline-{name}")
+        with scratch(spark, keep="token-sequences"):
+            docs = write_to(path, stage(spark, docs, sf_dir))
     return docs
