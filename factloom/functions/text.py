@@ -48,20 +48,56 @@ ARM_ALIASES = (
     ("control arm", "control"),
 )
 TIME_UNITS = {
-    "hours": "h hr hrs hour hours",
-    "days": "d day days",
-    "weeks": "w wk wks week weeks",
-    "months": "mo mos month months",
-    "years": "y yr yrs year years",
+    "h": "hours",
+    "hr": "hours",
+    "hrs": "hours",
+    "hour": "hours",
+    "hours": "hours",
+    "d": "days",
+    "day": "days",
+    "days": "days",
+    "w": "weeks",
+    "wk": "weeks",
+    "wks": "weeks",
+    "week": "weeks",
+    "weeks": "weeks",
+    "mo": "months",
+    "mos": "months",
+    "month": "months",
+    "months": "months",
+    "y": "years",
+    "yr": "years",
+    "yrs": "years",
+    "year": "years",
+    "years": "years",
 }
 TIME_PAIR = r"(\d+(?:\.\d+)?(?:\s*-\s*\d+(?:\.\d+)?)?)\s*(hours?|hrs?|h|days?|d|weeks?|wks?|wk|w|months?|mos?|years?|yrs?|yr|y)\b"
+COUNT_PERCENT = rf"\b(\d+)\s*{UNITS}?\s*\((\d+(?:\.\d+)?)\s*%\)"
+COUNT = rf"\b(\d+)\s+{UNITS}\b"
+WORD_COUNT = rf"\b({'|'.join(NUMBER_WORDS)})\s+{UNITS}\b"
+PERCENT = r"\b(\d+(?:\.\d+)?)\s*%"
+ZERO = r"\b(?:no|none|zero)\b"
+THERE_WAS_NO = r"\bthere\s+(?:was|were|are)\s+no\b"
+WORD_BEFORE = rf"\b({'|'.join(NUMBER_WORDS)})\s+[A-Za-z-]+(?:\s+[A-Za-z-]+){{0,3}}\s*$"
+HEADER_SIZE = r"\(?\s*[nN]\s*=\s*\d+\s*\)?"
+HEADER_NOISE = r"\b(?:p\s*[- ]?value|no\.?|number|%)\b"
+SIZE = r"\bn\s*=\s*(\d+)\b"
+BARE_SIZE = r"\(\s*(\d+)\s*\)\s*$"
+GROUP_WORD = r"\b(?:group|arm)\b"
+CELL_RATIO = r"\b(\d+)\s*/\s*(\d+)\b"
+CELL_COUNT_PERCENT = r"\b(\d+)\s*\((\d+(?:\.\d+)?)\s*%?\)"
+COMPLEMENT = r"^(\d+)\s*[:∶]\s*(\d+)$"
+SIZES = r"^\d+(?:\s*[∶:]\s*\d+){1,8}$"
+P_VALUE = r"^p(?:\s*[- ]?value)?(?:\s*\*+)?$"
+
 
 # ---- white space and phrases ----
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with value computed once, however often it is used:
-    expressions stay small where functions are nested."""
+    """``use(value)`` with value computed once, however often it is used. For
+    what is used inside arrays; elsewhere common subexpressions are computed
+    once by generated code, and arrays would take them out of it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -105,8 +141,9 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
 
 
 def search(text: Column, pattern: str, group: int = 0) -> Column:
-    """A group of the first match ignoring case; null if there is none."""
-    return F.when(text.rlike(f"(?iU){pattern}"), F.regexp_extract(text, f"(?iU){pattern}", group))
+    """A group of the first match ignoring case; null if there is none, or
+    nothing in it."""
+    return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", group), F.lit(""))
 
 
 def sentences(text: Column) -> Column:
@@ -120,19 +157,11 @@ def sentences(text: Column) -> Column:
 
 
 def first_time(text: Column, patterns: Sequence[str]) -> Column:
-    """The earliest match of any pattern, the earlier pattern on a tie; null
-    if none matches. Places only order the matches, so UTF-16 ones will do."""
+    """The earliest match of any pattern, the earlier pattern on a tie, which
+    is what an alternation finds; null if none matches."""
     if not patterns:
         return F.lit(None).cast("string")
-
-    def earliest(at: Column) -> Column:
-        least = F.array_min(F.filter(at, lambda i: i > 0))
-        found = F.when(F.get(at, F.lit(0)) == least, F.regexp_extract(text, f"(?iU){patterns[0]}", 0))
-        for i, p in enumerate(patterns[1:], 1):
-            found = found.when(F.get(at, F.lit(i)) == least, F.regexp_extract(text, f"(?iU){p}", 0))
-        return clean_or_null(found)
-
-    return let(F.array(*(F.regexp_instr(text, F.lit(f"(?iU){p}")) for p in patterns)), earliest)
+    return clean_or_null(search(text, "|".join(f"(?:{p})" for p in patterns)))
 
 
 def clean_or_null(text: Column) -> Column:
@@ -167,21 +196,14 @@ def word_value(word: Column) -> Column:
 
 def clause_numbers(clause: Column) -> Column:
     """Counts and percentage of a clause, by the first rule that applies."""
-    return let(clause, _clause_numbers)
-
-
-def _clause_numbers(clause: Column) -> Column:
-    words = "|".join(NUMBER_WORDS)
-    count_pct = rf"\b(\d+)\s*{UNITS}?\s*\((\d+(?:\.\d+)?)\s*%\)"
-    count, word, pct = rf"\b(\d+)\s+{UNITS}\b", rf"\b({words})\s+{UNITS}\b", r"\b(\d+(?:\.\d+)?)\s*%"
     has = lambda p: clause.rlike(f"(?iU){p}")
     return (
         F.when(has(RATIO), numbers(search(clause, RATIO, 1), search(clause, RATIO, 2), None, "NUM_RATIO_CLAUSE"))
-        .when(has(count_pct), numbers(search(clause, count_pct, 1), None, fraction(search(clause, count_pct, 2)), "NUM_COUNT_PCT_CLAUSE"))
-        .when(has(count), numbers(search(clause, count, 1), None, None, "NUM_COUNT_CLAUSE"))
-        .when(has(word), numbers(word_value(search(clause, word, 1)), None, None, "NUM_WORD_CLAUSE"))
-        .when(has(r"\b(?:no|none|zero)\b"), numbers(0, None, None, "NUM_ZERO_CLAUSE"))
-        .when(has(pct), numbers(None, None, fraction(search(clause, pct, 1)), "NUM_PCT_ONLY"))
+        .when(has(COUNT_PERCENT), numbers(search(clause, COUNT_PERCENT, 1), None, fraction(search(clause, COUNT_PERCENT, 2)), "NUM_COUNT_PCT_CLAUSE"))
+        .when(has(COUNT), numbers(search(clause, COUNT, 1), None, None, "NUM_COUNT_CLAUSE"))
+        .when(has(WORD_COUNT), numbers(word_value(search(clause, WORD_COUNT, 1)), None, None, "NUM_WORD_CLAUSE"))
+        .when(has(ZERO), numbers(0, None, None, "NUM_ZERO_CLAUSE"))
+        .when(has(PERCENT), numbers(None, None, fraction(search(clause, PERCENT, 1)), "NUM_PCT_ONLY"))
         .otherwise(numbers(None, None, None, "NUM_NONE"))
     )
 
@@ -189,18 +211,12 @@ def _clause_numbers(clause: Column) -> Column:
 def sentence_numbers(sentence: Column, start: Column) -> Column:
     """Numbers where the clause has none: a zero for a whole list, a number
     word before the term, a ratio beside it."""
-    words = "|".join(NUMBER_WORDS)
-    word = rf"\b({words})\s+[A-Za-z-]+(?:\s+[A-Za-z-]+){{0,3}}\s*$"
     piece = lambda a, b: F.substring(sentence, a + 1, b - a)
     before = piece(F.greatest(F.lit(0), start - 80), start)
     near = piece(F.greatest(F.lit(0), start - 20), start + 120)
-    return let(F.struct(before.alias("before"), near.alias("near")), lambda x: _sentence_numbers(sentence, x["before"], x["near"], word))
-
-
-def _sentence_numbers(sentence: Column, before: Column, near: Column, word: str) -> Column:
     return (
-        F.when(sentence.rlike(f"(?iU){LIST_ZERO}") | sentence.rlike(r"(?iU)\bthere\s+(?:was|were|are)\s+no\b"), numbers(0, None, None, "NUM_LIST_ZERO"))
-        .when(before.rlike(f"(?iU){word}"), numbers(word_value(search(before, word, 1)), None, None, "NUM_WORD_BEFORE_TERM"))
+        F.when(sentence.rlike(f"(?iU){LIST_ZERO}") | sentence.rlike(f"(?iU){THERE_WAS_NO}"), numbers(0, None, None, "NUM_LIST_ZERO"))
+        .when(before.rlike(f"(?iU){WORD_BEFORE}"), numbers(word_value(search(before, WORD_BEFORE, 1)), None, None, "NUM_WORD_BEFORE_TERM"))
         .when(near.rlike(f"(?iU){RATIO}"), numbers(search(near, RATIO, 1), search(near, RATIO, 2), None, "NUM_RATIO_LOCAL"))
         .otherwise(numbers(None, None, None, "NUM_NONE"))
     )
@@ -211,43 +227,36 @@ def _sentence_numbers(sentence: Column, before: Column, near: Column, word: str)
 
 def header_fields(header: Column, time_patterns: Sequence[str], noise: Sequence[str], bare_sizes: bool = True) -> Column:
     """struct<arm, denominator, time> of a column header."""
-    rest = F.regexp_replace(header, r"(?U)\(?\s*[nN]\s*=\s*\d+\s*\)?", "")
-    name = clean(strip(F.regexp_replace(rest, r"(?iU)\b(?:p\s*[- ]?value|no\.?|number|%)\b", "")))
-    size = search(header, r"\bn\s*=\s*(\d+)\b", 1).try_cast("bigint")
-    tail = r"\(\s*(\d+)\s*\)\s*$"
-
-    def fields(x: Column) -> Column:
-        idle = F.lower(x["name"]).isin(*noise) if noise else F.lit(False)
-        name = F.when(idle | F.coalesce(F.lower(x["name"]) == F.lower(x["time"]), F.lit(False)), "").otherwise(x["name"])
-        size = x["size"]
-        if bare_sizes:
-            bare = size.isNull() & header.rlike(r"(?iU)\b(?:group|arm)\b") & header.rlike(f"(?U){tail}")
-            name = F.when(bare, clean(strip(F.regexp_replace(header, f"(?U){tail}", "")))).otherwise(name)
-            size = F.when(bare, search(header, tail, 1).try_cast("bigint")).otherwise(size)
-        return F.struct(F.when(name != "", name).alias("arm"), size.alias("denominator"), x["time"].alias("time"))
-
-    return let(F.struct(name.alias("name"), size.alias("size"), first_time(header, time_patterns).alias("time")), fields)
+    rest = F.regexp_replace(header, f"(?U){HEADER_SIZE}", "")
+    name = clean(strip(F.regexp_replace(rest, f"(?iU){HEADER_NOISE}", "")))
+    size = search(header, SIZE, 1).try_cast("bigint")
+    time = first_time(header, time_patterns)
+    idle = F.coalesce(F.lower(name) == F.lower(time), F.lit(False))
+    if noise:
+        idle = idle | F.lower(name).isin(*noise)
+    arm = F.when(idle, F.lit(None)).otherwise(F.nullif(name, F.lit("")))
+    if bare_sizes:
+        bare = size.isNull() & header.rlike(f"(?iU){GROUP_WORD}") & header.rlike(f"(?U){BARE_SIZE}")
+        arm = F.when(bare, clean_or_null(strip(F.regexp_replace(header, f"(?U){BARE_SIZE}", "")))).otherwise(arm)
+        size = F.when(bare, search(header, BARE_SIZE, 1).try_cast("bigint")).otherwise(size)
+    return F.struct(arm.alias("arm"), size.alias("denominator"), time.alias("time"))
 
 
 def cell_value(value: Column, missing: Sequence[str], zero: Sequence[str], ratio_as_percentage: bool = True) -> Column:
     """Numbers of a table cell. In ``a/b``, b comes out as the percentage, as
     the scored results have it; ``ratio_as_percentage=False`` makes it the
     denominator."""
-    return let(clean(value), lambda v: _cell_value(v, missing, zero, ratio_as_percentage))
-
-
-def _cell_value(value: Column, missing: Sequence[str], zero: Sequence[str], ratio_as_percentage: bool) -> Column:
-    ratio, count_pct, pct = r"\b(\d+)\s*/\s*(\d+)\b", r"\b(\d+)\s*\((\d+(?:\.\d+)?)\s*%?\)", r"\b(\d+(?:\.\d+)?)\s*%"
+    value = clean(value)
     has = lambda p: value.rlike(f"(?U){p}")
-    second = search(value, ratio, 2)
+    second = search(value, CELL_RATIO, 2)
     listed = lambda words: F.lower(value).isin(*words) if words else F.lit(False)
     return (
         F.when(listed(missing), numbers(None, None, None, "TABLE_MISSING"))
         .when(listed(zero), numbers(0, None, None, "TABLE_ZERO"))
-        .when(has(ratio), numbers(search(value, ratio, 1), *((None, second) if ratio_as_percentage else (second, None)), "TABLE_RATIO"))
-        .when(has(count_pct), numbers(search(value, count_pct, 1), None, fraction(search(value, count_pct, 2)), "TABLE_COUNT_PCT"))
+        .when(has(CELL_RATIO), numbers(search(value, CELL_RATIO, 1), *((None, second) if ratio_as_percentage else (second, None)), "TABLE_RATIO"))
+        .when(has(CELL_COUNT_PERCENT), numbers(search(value, CELL_COUNT_PERCENT, 1), None, fraction(search(value, CELL_COUNT_PERCENT, 2)), "TABLE_COUNT_PCT"))
         .when(has(r"^\d+$"), numbers(value, None, None, "TABLE_COUNT"))
-        .when(has(pct), numbers(None, None, fraction(search(value, pct, 1)), "TABLE_PCT"))
+        .when(has(PERCENT), numbers(None, None, fraction(search(value, PERCENT, 1)), "TABLE_PCT"))
         .when(has(r"\d"), numbers(None, None, None, "TABLE_DESCRIPTIVE_NUMERIC"))
         .otherwise(numbers(None, None, None, "TABLE_NONNUMERIC"))
     )
@@ -255,28 +264,24 @@ def _cell_value(value: Column, missing: Sequence[str], zero: Sequence[str], rati
 
 def complement_count(value: Column, denominator: Column) -> Column:
     """a of ``a:b`` where a and b add up to the denominator; else null."""
-    pattern = r"^(\d+)\s*[:∶]\s*(\d+)$"
-    both = F.struct(*(search(clean(value), pattern, i).try_cast("bigint").alias(n) for i, n in ((1, "a"), (2, "b"))))
-    return let(both, lambda x: F.when(x["a"] + x["b"] == denominator, x["a"]))
-
-
-SIZES = r"(?U)^\d+(?:\s*[∶:]\s*\d+){1,8}$"
+    a, b = (search(clean(value), COMPLEMENT, i).try_cast("bigint") for i in (1, 2))
+    return F.when(a + b == denominator, a)
 
 
 def group_sizes(value: Column) -> Column:
     """The sizes of a ``34:32:33`` cell; empty for any other."""
     value = clean(value)
     sizes = F.transform(F.split(value, r"(?U)\s*[∶:]\s*"), lambda x: x.try_cast("bigint"))
-    return F.when(value.rlike(SIZES), sizes).otherwise(F.array().cast("array<bigint>"))
+    return F.when(value.rlike(f"(?U){SIZES}"), sizes).otherwise(F.array().cast("array<bigint>"))
 
 
 def is_sizes_header(header: Column) -> Column:
-    return clean(header).rlike(SIZES)
+    return clean(header).rlike(f"(?U){SIZES}")
 
 
 def is_statistical_header(header: Column, patterns: Sequence[str]) -> Column:
     name = strip(F.lower(clean(header)))
-    return (name == "") | name.rlike(r"(?iU)^p(?:\s*[- ]?value)?(?:\s*\*+)?$") | contains_any(name, patterns)
+    return (name == "") | name.rlike(f"(?iU){P_VALUE}") | contains_any(name, patterns)
 
 
 def is_repeated_row(row: Column) -> Column:
@@ -293,18 +298,12 @@ def norm(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The distinct content words of a text, plurals cut."""
-
-    def singular(t: Column) -> Column:
-        long, n = F.length(t) > 4, F.length(t)
-        return (
-            F.when(long & t.endswith("ies"), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y")))
-            .when(long & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), n - 1))
-            .otherwise(t)
-        )
-
-    words = F.filter(F.split(norm(text), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
-    return F.array_distinct(F.transform(words, singular))
+    """The distinct content words of a text, plurals cut: by replacing words
+    in the normal form, where blanks alone part them."""
+    words = F.regexp_replace(norm(text), rf"(?<![^ ])(?:{'|'.join(STOPWORDS)}|[^ ])(?![^ ])", "")
+    words = F.regexp_replace(words, r"(?<![^ ])([^ ]{2,})ies(?![^ ])", "$1y")
+    words = F.regexp_replace(words, r"(?<![^ ])([^ ]{3,}[^ s])s(?![^ ])", "$1")
+    return F.array_distinct(F.array_remove(F.split(words, " "), ""))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
@@ -314,16 +313,12 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda t: set_jaccard(t["a"], t["b"]))
+    return set_jaccard(tokens(a), tokens(b))
 
 
 def term_similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.85 if one holds the other, else the words' Jaccard."""
-    return let(F.struct(norm(a).alias("a"), norm(b).alias("b")), lambda n: _term_similarity(n["a"], n["b"]))
-
-
-def _term_similarity(x: Column, y: Column) -> Column:
-    return similarity_of(x, y, jaccard(x, y))
+    return similarity_of(norm(a), norm(b), jaccard(a, b))
 
 
 def similarity_of(x: Column, y: Column, words: Column) -> Column:
@@ -331,12 +326,18 @@ def similarity_of(x: Column, y: Column, words: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.85).otherwise(words)
 
 
+def number_of(text: Column) -> Column:
+    """The double a text stands for, with blanks around it or underscores
+    between digits; null for any other, such as ``5d``."""
+    plain = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
+    return F.when(plain.rlike(r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)$"), plain.try_cast("double"))
+
+
 def numeric_equal(a: Column, b: Column) -> Column:
     """Whether two values are the same number, or the same text where either
     is none; null if either is missing or blank."""
     a, b = F.trim(a.cast("string")), F.trim(b.cast("string"))
-    x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when((a != "") & (b != ""), F.coalesce(F.abs(x - y) < 1e-9, norm(a) == norm(b)))
+    return F.when((a != "") & (b != ""), F.coalesce(F.abs(number_of(a) - number_of(b)) < 1e-9, norm(a) == norm(b)))
 
 
 def canonical_arm(arm: Column) -> Column:
@@ -351,7 +352,7 @@ def canonical_arm(arm: Column) -> Column:
 def canonical_time(time: Column) -> Column:
     """All number and unit pairs, and the hospital periods, in order."""
     text = F.translate(F.lower(F.trim(F.coalesce(time, F.lit("")))), "–—", "--")
-    units = F.create_map(*(F.lit(x) for unit, names in TIME_UNITS.items() for name in names.split() for x in (name, unit)))
+    units = F.create_map(*(F.lit(x) for kv in TIME_UNITS.items() for x in kv))
     pattern = F.lit(f"(?U){TIME_PAIR}")
     pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("n"), F.regexp_extract_all(text, pattern, 2).alias("u"))
     named = F.transform(pairs, lambda p: F.concat(F.regexp_replace(p["n"], WHITE, ""), F.lit(" "), units[p["u"]]))
@@ -447,16 +448,6 @@ def split_columns(line: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), r"(?U)\s{2,}"), pdf_clean), lambda c: c != "")
 
 
-def looks_like_header(cells: Column) -> Column:
-    return contains_any(F.array_join(cells, " "), HEADER_SIGNALS)
-
-
-def looks_like_parallel_prose(cells: Column) -> Column:
-    """Two columns of eight words or more, without a digit."""
-    long = F.forall(cells, lambda c: (F.size(F.split(clean(c), " ")) >= 8) & ~c.rlike(r"(?U)\d"))
-    return (F.size(cells) == 2) & long
-
-
 # ---- names of hosts ----
 
 # Host names and the families they count to.

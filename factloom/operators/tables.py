@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.tagging import HITS, hits
+from factloom.operators.tagging import HITS, hits, hits_of_each
 from factloom.sources.rules import Rules
 
 SKIPPED = ("TABLE_MISSING", "TABLE_NONNUMERIC")
@@ -43,13 +43,16 @@ def _prepared(tables: DataFrame, rules: Rules, extended: bool) -> DataFrame:
 
 def _data_rows(tables: DataFrame) -> DataFrame:
     """A row per data row: row (cells), row_no (1-based in the grid), and the
-    subheading that is active there."""
+    subheading that is active there. A row carries its table's subheadings
+    alone, not the grid."""
     body = F.slice("grid", F.col("header_rows") + 1, F.greatest(F.size("grid") - F.col("header_rows"), F.lit(0)))
     marked = F.transform(body, lambda r, i: F.struct(i.alias("i"), r.alias("row"), T.is_repeated_row(r).alias("repeated")))
-    above = lambda i: F.filter(F.col("marked"), lambda m: m["repeated"] & (m["i"] < i))
-    found = tables.withColumn("marked", marked).select("*", F.explode("marked").alias("m"))
-    active = F.coalesce(F.try_element_at(above(F.col("m.i")), F.lit(-1))["row"][0], F.lit(""))
-    return found.select(*[c for c in tables.columns], F.col("m.row").alias("row"), (F.col("m.i") + F.col("header_rows") + 1).alias("row_no"), F.col("m.repeated").alias("repeated"), active.alias("active")).drop("grid")
+    marks = F.transform(F.filter("marked", lambda m: m["repeated"]), lambda m: F.struct(m["i"].alias("i"), m["row"][0].alias("text")))
+    found = tables.withColumn("marked", marked).withColumn("marks", marks).drop("grid")
+    rows = found.select("*", F.explode("marked").alias("m")).drop("marked")
+    above = F.array_max(F.filter("marks", lambda x: x["i"] < F.col("m.i")))
+    names = [c for c in tables.columns if c != "grid"]
+    return rows.select(*names, F.col("m.row").alias("row"), (F.col("m.i") + F.col("header_rows") + 1).alias("row_no"), F.col("m.repeated").alias("repeated"), F.coalesce(above["text"], F.lit("")).alias("active"))
 
 
 def _facts(rows: DataFrame) -> DataFrame:
@@ -129,10 +132,11 @@ def table_facts(tables: DataFrame, rules: Rules, version: str = "1.2") -> DataFr
     prepared = _prepared(tables, rules, True)
     safety, excluded = T.contains_any(F.col("caption"), rules.table_safety), T.contains_any(F.col("caption"), rules.table_excluded)
     used = prepared.withColumn("safety", safety).withColumn("mixed", safety & excluded).where(safety | ~excluded)
-    events = F.filter(F.transform("headers", lambda h, i: F.struct(i.alias("col"), hits(h, rules).alias("hits"))), lambda e: (e["col"] > 0) & (F.size(e["hits"]) > 0))
+    events = F.filter(F.transform("header_hits", lambda h, i: F.struct(i.alias("col"), h.alias("hits"))), lambda e: (e["col"] > 0) & (F.size(e["hits"]) > 0))
     sized = F.exists("headers", lambda h: T.clean(h).rlike(r"(?iU)^(?:n|number|sample size|patients?)$"))
     group_rows = F.size(F.filter(F.slice("grid", F.col("header_rows") + 1, F.size("grid")), lambda r: T.clean(r[0]).rlike(r"(?iU)^(?:group\s*)?[A-Za-z0-9-]+$")))
-    used = used.withColumn("event_columns", events).withColumn("transposed", (F.size("event_columns") >= 2) & sized & (group_rows >= 2))
+    used = used.withColumn("header_hits", hits_of_each(F.col("headers"), rules)).withColumn("event_columns", events).drop("header_hits")
+    used = used.withColumn("transposed", (F.size("event_columns") >= 2) & sized & (group_rows >= 2))
     return _transposed(used.where("transposed"), rules).unionByName(_plain(used.where("not transposed"), rules))
 
 

@@ -196,10 +196,10 @@ SELECT a_key, b_key, jaccard, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN a
 def term_similarity(spark, sf_dir):
     """Parts of one brand and size; word sets are made before the join."""
     name = F.concat_ws(" ", "p_name", "p_type")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", name.alias("name"), T.tokens(name).alias("words"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", T.norm(name).alias("name"), T.tokens(name).alias("words"))
     a, b = (p.withColumnsRenamed({"p_partkey": f"{x}_key", "name": f"{x}_name", "words": f"{x}_words"}) for x in "ab")
-    j = a.join(b, ["p_brand", "p_size"]).where("a_key < b_key")
-    return j.select("a_key", "b_key", T.set_jaccard(F.col("a_words"), F.col("b_words")).alias("jaccard"), T.term_similarity(F.col("a_name"), F.col("b_name")).alias("similarity"))
+    j = a.join(b, ["p_brand", "p_size"]).where("a_key < b_key").withColumn("jaccard", T.set_jaccard(F.col("a_words"), F.col("b_words")))
+    return j.select("a_key", "b_key", "jaccard", T.similarity_of(F.col("a_name"), F.col("b_name"), F.col("jaccard")).alias("similarity"))
 
 
 @query("""
@@ -244,9 +244,9 @@ def header_values(spark, sf_dir):
     rest = F.when(F.col("l_orderkey") % 2 == 0, F.lit(9)).otherwise(F.lit(8))
     fields = T.header_fields(header, DOCUMENT_RULES.times, [])
     three = F.when(F.col("l_orderkey") % 3 == 0, F.concat_ws(":", q, n, (F.col("q") + 1).cast("string"))).otherwise(F.concat_ws(";", q, n))
-    return li.select(
+    return li.withColumn("fields", fields).select(
         "l_orderkey", "l_linenumber", T.complement_count(F.concat(q, F.lit(" : "), rest.cast("string")), F.col("q") + 9).alias("complement"), T.group_sizes(three).alias("sizes"),
-        fields["arm"].alias("arm"), fields["denominator"].alias("size"), fields["time"].alias("time_window"), T.is_statistical_header(header, ["p value"]).alias("statistical"),
+        "fields.arm", F.col("fields.denominator").alias("size"), F.col("fields.time").alias("time_window"), T.is_statistical_header(header, ["p value"]).alias("statistical"),
     )
 
 

@@ -137,6 +137,14 @@ def test_comparisons(value):
     assert value(T.term_similarity(L(""), L("x"))) == 0.0
     assert value(T.jaccard(L("alpha beta"), L("beta gamma"))) == pytest.approx(1 / 3)
     assert [value(T.numeric_equal(L(a), L(b))) for a, b in (("3", "3.0"), ("", "3"), ("x", "X"), ("3", "4"))] == [True, None, True, False]
+    pairs = [("5d", "5"), ("5f", "5"), ("5D", "5d"), ("1_000", "1000"), ("1e3", "+1000."), (" .5", "0.5"), ("nan", "nan"), ("inf", "Infinity"), ("5L", "5"), ("1__0", "10"), ("0x5", "5")]
+    assert [value(T.numeric_equal(L(a), L(b))) for a, b in pairs] == [False, False, True, True, True, True, False, False, False, False, False]
+
+
+def test_tokens(value):
+    words = "the Patients of 5 studies, glasses; dies ties classes boss gas % mms a" + " of to" * 3
+    assert value(T.tokens(L(words))) == ["study", "glasse", "dies", "ties", "classe", "boss", "gas", "mms"]
+    assert value(T.tokens(L(""))) == [] and value(T.tokens(L(None).cast("string"))) == []
 
 
 def test_canonical_forms(value):
@@ -160,5 +168,3 @@ def test_layout_lines(value):
     assert [value(T.table_label(L(x))) for x in ("TA B L E 2", "Tab. iv notes", "tables 2")] == ["TA B L E 2", "Tab. iv notes", None]
     assert value(T.clean_caption(L("left column sentence goes here Baseline data, Outcomes"))) == "Outcomes"
     assert value(T.split_columns(L("  a b   c  d "))) == ["a b", "c", "d"]
-    assert value(T.looks_like_header(F.array(L("Variable"), L("x")))) is True
-    assert value(T.looks_like_parallel_prose(F.array(L("a b c d e f g h"), L("i j k l m n o p")))) is True
