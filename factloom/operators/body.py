@@ -12,11 +12,16 @@ from factloom.sources.rules import Rules
 RESULT_NUMBER = r"(?iU)\b\d+\s*(?:/|of|\(|patients?|cases?|subjects?)"
 
 
+def file_name(rows: DataFrame) -> Column:
+    return F.col("name") if "name" in rows.columns else F.lit(None).cast("string").alias("name")
+
+
 def sentence_rows(nodes: DataFrame) -> DataFrame:
     """A row per sentence of nodes (article_id, node_seq, location, text,
-    in_table, input_sha256) that stand in no table, with sentence_seq."""
+    in_table, input_sha256, and name, if they are from files) that stand in no
+    table, with sentence_seq."""
     return nodes.where(~F.coalesce("in_table", F.lit(False))).select(
-        "article_id", "input_sha256", "node_seq", F.coalesce("location", F.lit("Body")).alias("location"), F.posexplode(T.sentences(F.col("text"))).alias("sentence_seq", "sentence")
+        "article_id", "input_sha256", file_name(nodes), "node_seq", F.coalesce("location", F.lit("Body")).alias("location"), F.posexplode(T.sentences(F.col("text"))).alias("sentence_seq", "sentence")
     )
 
 
@@ -44,7 +49,7 @@ def body_facts(nodes: DataFrame, rules: Rules, version: str = "1.2") -> DataFram
         arm = F.when(s.rlike(f"(?iU){T.OVERALL_ARM}"), "Overall").otherwise(arm)
     zero = F.lit(0)
     return counted.select(
-        "article_id", "input_sha256", F.lit("Body").alias("source_type"), "location", s.alias("quote"), "hit", "numbers.numerator", "numbers.denominator", "numbers.percentage",
+        "article_id", "input_sha256", "name", F.lit("Body").alias("source_type"), "location", s.alias("quote"), "hit", "numbers.numerator", "numbers.denominator", "numbers.percentage",
         F.col("numbers.rule").alias("numeric_rule"), arm.alias("arm"), T.first_time(s, rules.times).alias("time"),
         F.struct(zero.alias("branch"), F.col("node_seq").cast("int").alias("a"), F.col("sentence_seq").alias("b"), zero.alias("c"), F.col("hit_seq").alias("d")).alias("emit_seq"),
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,30 +127,42 @@ def article_counts(articles: DataFrame, matches: DataFrame, positives: DataFrame
     return out
 
 
-def draws(n: int, seed_label: str, replicates: int = REPLICATES):
-    """Rows (replicate, place) of n drawn places per replicate, by a Mersenne
-    Twister seeded with the first 64 bits of the label's SHA-256."""
-    generator = random.Random(int(hashlib.sha256(seed_label.encode()).hexdigest()[:16], 16))
-    for r in range(replicates):
-        yield pa.record_batch([pa.array([r] * n, pa.int32()), pa.array([generator.randrange(n) for _ in range(n)], pa.int32())], names=["replicate", "place"])
+def draws(n: int, seed_label: str, replicates: int = REPLICATES, block: int = 1 << 22) -> Iterator[np.ndarray]:
+    """Blocks of rows of n drawn places, a row per replicate: the places that
+    ``randrange(n)`` of Python's Mersenne Twister gives, seeded with the first
+    64 bits of the label's SHA-256. A place takes as many leading bits of the
+    next word as n has, and the next word again while that is n or more."""
+    _, (*key, at), _ = random.Random(int(hashlib.sha256(seed_label.encode()).hexdigest()[:16], 16)).getstate()
+    twister = np.random.MT19937()
+    twister.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    shift, rows, held = np.uint64(32 - n.bit_length()), max(1, block // n), np.empty(0, np.int64)
+    while replicates:
+        rows = min(rows, replicates)
+        while len(held) < rows * n:
+            words = twister.random_raw(max(1024, (rows * n - len(held)) * 5 // 4)) >> shift
+            held = np.concatenate([held, words[words < n].astype(np.int64)])
+        yield held[: rows * n].reshape(rows, n)
+        held, replicates = held[rows * n :], replicates - rows
 
 
 def bootstrap(counts: DataFrame, seed_label: str, replicates: int = REPLICATES) -> DataFrame:
     """Percentile intervals (2.5%, 97.5%) of precision, recall and f1 when
     the articles of counts (article_id, tp, fp, fn) are drawn anew: one row.
 
-    The draws depend on their sequence, so one task makes them; they hold no
-    data. Articles are numbered in the order of their ids.
+    The draws are one sequence over the articles in the order of their ids, so
+    one task makes them all; it holds three numbers per article and returns
+    three per replicate.
     """
-    from pyspark.sql import Window
-
-    placed = written(counts.withColumn("place", F.row_number().over(Window.orderBy("article_id")) - 1), "bootstrap-articles")
-    n = placed.count()
-    if not n:
-        return counts.sparkSession.createDataFrame([(None,) * 3], "precision array<double>, recall array<double>, f1 array<double>")
-    one = counts.sparkSession.range(0, 1, 1, 1)
-    drawn = one.mapInArrow(lambda batches: (row for b in batches if b.num_rows for row in draws(n, seed_label, replicates)), "replicate int, place int")
-    sums = drawn.join(placed, "place").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    names = ("tp", "fp", "fn")
+
+    def run(batches):
+        of = [np.concatenate(x) for x in zip(*([b.column(c).to_numpy() for c in names] for b in batches if b.num_rows))]
+        if of:
+            for places in draws(len(of[0]), seed_label, replicates):
+                yield pa.record_batch([pa.array(x[places].sum(1), pa.int64()) for x in of], names=names)
+
+    ordered = counts.select("article_id", *(F.col(c).cast("long").alias(c) for c in names)).repartition(1).sortWithinPartitions("article_id")
+    sums = ordered.select(*names).mapInArrow(run, "tp long, fp long, fn long")
     c = F.col
     rated = sums.select(ratio(c("tp"), c("tp") + c("fp"), 0.0).alias("precision"), ratio(c("tp"), c("tp") + c("fn"), 0.0).alias("recall")).withColumn("f1", f1(c("precision"), c("recall"), 0.0))
     return rated.agg(*(F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(m) for m in ("precision", "recall", "f1")))

@@ -30,7 +30,7 @@ def poolability(numerator: Column, denominator: Column, percentage: Column, arm:
 def predictions(facts: DataFrame, rules: Rules, version: str = "1.2") -> DataFrame:
     """Records of facts (article_id, source_type, location, quote, hit,
     numerator, denominator, percentage, arm, time, numeric_rule,
-    input_sha256, emit_seq). Flags look at the whole quote; the record keeps
+    input_sha256, name, emit_seq). Flags look at the whole quote; the record keeps
     its first ``quote_limit`` characters."""
     c = F.col
     some = c("numerator").isNotNull() | c("denominator").isNotNull() | c("percentage").isNotNull()
@@ -42,15 +42,15 @@ def predictions(facts: DataFrame, rules: Rules, version: str = "1.2") -> DataFra
         c("percentage").alias("reported_percentage"), F.when(some, "patients").otherwise("Unclear").alias("count_unit"), c("time").alias("time_window"),
         flag(T.SERIOUS).alias("serious"), flag(T.ATTRIBUTED).alias("attribution"),
         poolability(c("numerator"), c("denominator"), c("percentage"), c("arm"), c("time"), version).alias("poolability"),
-        F.when(sure, "High").otherwise("Moderate").alias("confidence"), F.concat("hit.rule_id", F.lit("+"), "numeric_rule").alias("rule_id"), "input_sha256", "emit_seq",
+        F.when(sure, "High").otherwise("Moderate").alias("confidence"), F.concat("hit.rule_id", F.lit("+"), "numeric_rule").alias("rule_id"), "input_sha256", "name", "emit_seq",
     )
 
 
 def first_wins(records: DataFrame) -> DataFrame:
-    """Of records equal in KEY (text ignoring case and white space, nulls
-    equal), the one emitted first. The key is hashed to two values, so the
+    """Of a file's records equal in KEY (text ignoring case and white space,
+    nulls equal), the one emitted first. The key is hashed to two values, so the
     shuffle spreads any hot article over its records."""
-    text = [F.lower(T.clean(F.col(k))) if k in ("raw_event_term", "arm", "evidence_quote") else F.col(k).cast("string") for k in KEY]
+    text = [F.lower(T.clean(F.col(k))) if k in ("raw_event_term", "arm", "evidence_quote") else F.col(k).cast("string") for k in (*KEY, "name")]
     key = F.sha2(F.to_json(F.array(*(F.coalesce(t, F.lit("\x00")) for t in text))), 256)
     order = Window.partitionBy("_key").orderBy("emit_seq", "rule_id", "predicted_category")
     return records.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n")

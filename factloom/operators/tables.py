@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.body import file_name
 from factloom.operators.tagging import HITS, hits, hits_of_each
 from factloom.sources.rules import Rules
 
@@ -36,7 +37,7 @@ def _location() -> Column:
 def _prepared(tables: DataFrame, rules: Rules, extended: bool) -> DataFrame:
     rows = F.greatest(F.coalesce("header_rows", F.lit(0)), F.lit(1))
     base = tables.where("size(grid) > 0 and size(grid[0]) > 0").select(
-        "article_id", "input_sha256", "table_seq", F.coalesce("label", F.lit("Table")).alias("label"), F.coalesce("caption", F.lit("")).alias("caption"), "grid", rows.cast("int").alias("header_rows")
+        "article_id", "input_sha256", file_name(tables), "table_seq", F.coalesce("label", F.lit("Table")).alias("label"), F.coalesce("caption", F.lit("")).alias("caption"), "grid", rows.cast("int").alias("header_rows")
     )
     return base.withColumn("headers", merged_headers(F.col("grid"), F.col("header_rows"))).withColumn("caption_hits", hits(F.col("caption"), rules, extended)).withColumn("caption_time", T.first_time(F.col("caption"), rules.times))
 
@@ -58,7 +59,7 @@ def _data_rows(tables: DataFrame) -> DataFrame:
 def _facts(rows: DataFrame) -> DataFrame:
     one = F.lit(1)
     return rows.select(
-        "article_id", "input_sha256", F.lit("Table").alias("source_type"), _location().alias("location"), "quote", "hit", "numerator", "denominator", "percentage", "numeric_rule", "arm", "time",
+        "article_id", "input_sha256", "name", F.lit("Table").alias("source_type"), _location().alias("location"), "quote", "hit", "numerator", "denominator", "percentage", "numeric_rule", "arm", "time",
         F.struct(one.alias("branch"), F.col("table_seq").cast("int").alias("a"), F.col("row_no").alias("b"), F.col("col").alias("c"), F.col("hit_seq").alias("d")).alias("emit_seq"),
     )
 
@@ -125,7 +126,7 @@ def _quote() -> Column:
 
 def table_facts(tables: DataFrame, rules: Rules, version: str = "1.2") -> DataFrame:
     """Facts of tables (article_id, table_seq, label, caption, header_rows,
-    grid, input_sha256). Tables without a cell have none; null label and
+    grid, input_sha256, and name, if they are from files). Tables without a cell have none; null label and
     caption count as ``Table`` and empty."""
     if version == "1.1":
         return _first_version(tables, rules)

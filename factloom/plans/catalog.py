@@ -19,7 +19,8 @@ from factloom.operators.body import body_facts, sentence_rows
 from factloom.operators.predictions import COLUMNS, first_wins, numbered, predictions
 from factloom.operators.tables import table_facts
 from factloom.operators.tagging import hits, matches
-from factloom.sources import html, layout
+from factloom.plans import adapters
+from factloom.sources import html, layout, sinks
 from factloom.sources.rules import Rules, from_document
 
 SEED = "factloom-queue"
@@ -89,12 +90,11 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_seq", "sentence"))
 
 
-_PHRASES = [p for p in DOCUMENT_RULES.phrases]
-_PHRASE_ROWS = ", ".join(f"({p.seq}, '{p.category}', '{p.text}')" for p in _PHRASES)
+_PHRASE_ROWS = ", ".join(f"({p.seq}, '{p.kind}', '{p.category}', '{p.rule_id}', '{p.text}')" for p in DOCUMENT_RULES.phrases)
 
 
 @query(rf"""
-WITH p(seq, category, phrase) AS (VALUES {_PHRASE_ROWS}),
+WITH p(seq, kind, category, rule_id, phrase) AS (VALUES {_PHRASE_ROWS}),
 m AS (SELECT doc_id, seq, category, text, '(?is)^((?:.*?[^A-Za-z0-9])??)(' || replace(phrase, ' ', '\s+') || ')(?:[^A-Za-z0-9]|$)' AS rx FROM documents, p)
 SELECT doc_id, CAST(seq AS INTEGER) AS seq, category, regexp_extract(text, rx, 2) AS term, CAST(length(regexp_extract(text, rx, 1)) AS INTEGER) AS start
 FROM m WHERE regexp_matches(text, rx)
@@ -104,11 +104,27 @@ def phrase_matches(spark, sf_dir):
     return d.select("doc_id", "m.seq", "m.category", "m.term", "m.start")
 
 
-@query()
+SENTENCES_SQL = rf"""
+s AS (SELECT doc_id, string_split(regexp_replace({CLEAN_SQL}, '([.!?]) ([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: length(x) >= 8) AS parts FROM s),
+sentences AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_seq, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM k))
+"""
+
+
+@query(rf"""
+WITH p(seq, kind, category, rule_id, phrase) AS (VALUES {_PHRASE_ROWS}), {SENTENCES_SQL},
+m AS (SELECT *, '(?is)^((?:.*?[^A-Za-z0-9])??)(' || replace(phrase, ' ', '\s+') || ')(?:[^A-Za-z0-9]|$)' AS rx FROM sentences, p),
+f AS (SELECT doc_id, sentence_seq, seq, kind, category, rule_id, regexp_extract(sentence, rx, 2) AS term, length(regexp_extract(sentence, rx, 1)) AS start FROM m WHERE regexp_matches(sentence, rx)),
+o AS (SELECT *, count(*) FILTER (kind = 'category') OVER (PARTITION BY doc_id, sentence_seq) AS n, row_number() OVER (PARTITION BY doc_id, sentence_seq, kind ORDER BY seq) AS nth FROM f),
+l AS (SELECT doc_id, sentence_seq, list([{{'start': start, 'short': -length(term), 'seq': seq, 'category': category, 'term': term, 'rule_id': rule_id}}]
+  ORDER BY CASE kind WHEN 'unmappable' THEN 1 WHEN 'unclear' THEN 2 ELSE 0 END, CASE WHEN kind IN ('unmappable', 'unclear') THEN seq ELSE start END, -length(term), seq) AS found FROM o WHERE kind <> 'generic' OR (n = 0 AND nth = 1) GROUP BY ALL),
+r AS (SELECT doc_id, sentence_seq, list_sort(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: greatest(y.start, x[1].start) < least(y.start - y.short, x[1].start - x[1].short))) > 0 THEN kept ELSE list_concat(kept, x) END)) AS kept FROM l)
+SELECT printf('D%09d', doc_id) AS article_id, sentence_seq, CAST(i - 1 AS INTEGER) AS hit_seq, CAST(kept[i].start AS INTEGER) AS start, kept[i].category AS category, kept[i].term AS term, kept[i].rule_id AS rule_id FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM r)
+""")
 def event_hits(spark, sf_dir):
-    """Disjoint hits per sentence: a fold over matches, tested apart."""
-    s = sentence_rows(document_nodes(spark, sf_dir))
-    return s.select("article_id", "sentence_seq", F.posexplode(hits(F.col("sentence"), DOCUMENT_RULES)).alias("hit_seq", "h")).select("article_id", "sentence_seq", "hit_seq", "h.start", "h.category", "h.term", "h.rule_id")
+    """Disjoint hits per sentence, in SQL a fold over its ordered matches."""
+    s = sentence_rows(document_nodes(spark, sf_dir)).withColumn("hits", hits(F.col("sentence"), DOCUMENT_RULES))
+    return s.select("article_id", "sentence_seq", F.posexplode("hits").alias("hit_seq", "h")).select("article_id", "sentence_seq", "hit_seq", "h.start", "h.category", "h.term", "h.rule_id")
 
 
 @query()
@@ -304,8 +320,14 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1
 """)
 def first_wins_distinct(spark, sf_dir):
-    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Records of a part and supplier, in different cases and white space;
+    the one emitted first stays."""
+    quote = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "  OF").otherwise(" of"), F.lit(" it"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "*", F.col("l_suppkey").cast("string").alias("article_id"), F.lit("Table").alias("source_type"), F.lit("").alias("evidence_location"), F.lit("it").alias("raw_event_term"), F.lit(None).cast("string").alias("arm"), F.col("l_partkey").alias("numerator"),
+        F.lit(None).cast("bigint").alias("denominator"), quote.alias("evidence_quote"), F.lit("").alias("name"), F.struct("l_orderkey", "l_linenumber").alias("emit_seq"), F.lit("").alias("rule_id"), F.lit("").alias("predicted_category"),
+    )
+    return first_wins(li).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 # ---- joins and sets ----
@@ -342,7 +364,7 @@ def set_difference(spark, sf_dir):
 def union_by_name(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
-    return r.unionByName(n, allowMissingColumns=True)
+    return sinks.union_rows(r, n)
 
 
 @query("""
@@ -422,9 +444,26 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return g, p
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE lines AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS article_id, l_linenumber, l_orderkey || '-' || l_linenumber AS id, p_name, p_brand, {NORM_SQL.format("concat_ws(' ', p_name, p_type, p_brand)")} AS quote, {NORM_SQL.format("p_name")} AS term
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+sets AS MATERIALIZED (SELECT *, {TOKENS_SQL.format("quote")} AS qt, {TOKENS_SQL.format("term")} AS tt FROM lines),
+pairs AS MATERIALIZED (SELECT g.article_id, g.id AS event_id, p.id AS prediction_id, g.p_brand = p.p_brand AS category_exact, CASE WHEN len(g.qt) > 0 AND len(p.qt) > 0 THEN CAST(len(list_intersect(g.qt, p.qt)) AS DOUBLE) / (len(g.qt) + len(p.qt) - len(list_intersect(g.qt, p.qt))) ELSE 0.0::DOUBLE END AS quote_jaccard,
+  CASE WHEN g.term = '' OR p.term = '' THEN 0.0::DOUBLE WHEN g.term = p.term THEN 1.0::DOUBLE WHEN contains(g.term, p.term) OR contains(p.term, g.term) THEN 0.85::DOUBLE WHEN len(g.tt) > 0 AND len(p.tt) > 0 THEN CAST(len(list_intersect(g.tt, p.tt)) AS DOUBLE) / (len(g.tt) + len(p.tt) - len(list_intersect(g.tt, p.tt))) ELSE 0.0::DOUBLE END AS term_similarity
+  FROM sets g JOIN sets p USING (article_id) WHERE g.l_linenumber % 2 = 1 AND p.l_linenumber % 2 = 0),
+edges AS MATERIALIZED (SELECT *, CASE WHEN quote_jaccard >= 0.5 AND (term_similarity >= 0.5 OR category_exact) THEN 'route_1' ELSE 'route_2' END AS route, 0.6::DOUBLE * quote_jaccard + 0.3::DOUBLE * term_similarity + 0.1::DOUBLE * CAST(category_exact AS DOUBLE) AS rank_score
+  FROM pairs WHERE (quote_jaccard >= 0.5 AND (term_similarity >= 0.5 OR category_exact)) OR (term_similarity >= 0.85 AND quote_jaccard >= 0.15)),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY rank_score DESC, quote_jaccard DESC, term_similarity DESC, event_id, prediction_id) AS i FROM edges),
+pass AS (
+  SELECT article_id, i, [event_id] AS events, [prediction_id] AS predictions, TRUE AS taken FROM ordered WHERE i = 1
+  UNION ALL SELECT o.article_id, o.i, CASE WHEN list_contains(events, event_id) OR list_contains(predictions, prediction_id) THEN events ELSE list_append(events, event_id) END,
+    CASE WHEN list_contains(events, event_id) OR list_contains(predictions, prediction_id) THEN predictions ELSE list_append(predictions, prediction_id) END, NOT (list_contains(events, event_id) OR list_contains(predictions, prediction_id))
+  FROM pass JOIN ordered o ON o.article_id = pass.article_id AND o.i = pass.i + 1)
+SELECT article_id, event_id, prediction_id, quote_jaccard, term_similarity, category_exact, route, rank_score FROM ordered JOIN (SELECT article_id, i FROM pass WHERE taken) USING (article_id, i)
+""")
 def greedy_match(spark, sf_dir):
-    """One-to-one matches; tested against a sequential version."""
+    """One-to-one matches; in SQL one step per edge of an article."""
     return E.greedy(E.edges(*_sides(spark, sf_dir)))
 
 
@@ -465,7 +504,8 @@ SELECT source, count(*) FILTER (g AND p) AS correct, count(*) FILTER (p) AS elig
 """)
 def accuracy_by_group(spark, sf_dir):
     s = _signals(spark, sf_dir).groupBy(F.col("publication_version").alias("source")).agg(F.count_if(F.col("gold_positive") & F.col("predicted_positive")).alias("correct"), F.count_if("predicted_positive").alias("eligible"))
-    return s.select("source", "correct", "eligible", F.round(E.ratio(F.col("correct"), F.col("eligible")), 12).alias("accuracy"))
+    rated = s.select("source", E.accuracy(F.col("correct"), F.col("eligible")).alias("a"))
+    return rated.select("source", "a.correct", "a.eligible", F.round("a.accuracy", 12).alias("accuracy"))
 
 
 @query("SELECT source, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.975), 6) AS high FROM documents GROUP BY source")
@@ -483,9 +523,11 @@ def bootstrap_intervals(spark, sf_dir):
     return b.select(*(F.round(F.col(m)[i], 12).alias(f"{m}_{n}") for m in ("precision", "recall", "f1") for i, n in enumerate(("low", "high"))))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n, max(o_custkey) AS most, sum(o_custkey)::BIGINT AS total FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS status, o_orderpriority AS format_status, count(*) AS articles, sum(o_custkey)::BIGINT AS tables FROM orders GROUP BY ALL")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.max("o_custkey").alias("most"), F.sum("o_custkey").alias("total"))
+    """Orders as normalised articles, by both of their statuses."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("format_status"), F.col("o_custkey").cast("long").alias("table_count"))
+    return adapters.audit_summary(o, "status", "format_status")
 
 
 # ---- pages and layout ----
@@ -526,10 +568,13 @@ def plain_text_sections(spark, sf_dir):
     return layout.plain_sections(d)
 
 
-@query()
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS article_id, 0 AS table_seq, 1 AS page, 'Table 1' AS label, 'Outcomes' AS caption, 1 AS header_rows, 'Variable,Group A,Group B;early,' || o_custkey || ',7;late,2,9' AS cells FROM orders
+""")
 def layout_text_tables(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("article_id"), F.concat(F.lit("Table 1\nOutcomes\n  Variable   Group A   Group B\n  early   "), F.col("o_custkey").cast("string"), F.lit("   7\n  late   2   9\n\n\nmore")).alias("layout_text"))
-    return layout.parsed_layout(o)
+    cells = F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";")
+    return layout.parsed_layout(o).select("article_id", "table_seq", "page", "label", "caption", "header_rows", cells.alias("cells"))
 
 
 @query()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 
 ITEMS = (
-    "article_id string, input_sha256 string, kind string, seq int, location string, text string, in_table boolean, "
+    "article_id string, input_sha256 string, name string, kind string, seq int, location string, text string, in_table boolean, "
     "label string, caption string, header_rows int, grid array<array<string>>"
 )
 
@@ -112,29 +112,29 @@ def as_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 500) -> Iter
 
 
 ITEM_SCHEMA = pa.schema(
-    [("article_id", pa.string()), ("input_sha256", pa.string()), ("kind", pa.string()), ("seq", pa.int32()), ("location", pa.string()), ("text", pa.string()), ("in_table", pa.bool_())]
+    [("article_id", pa.string()), ("input_sha256", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("seq", pa.int32()), ("location", pa.string()), ("text", pa.string()), ("in_table", pa.bool_())]
     + [("label", pa.string()), ("caption", pa.string()), ("header_rows", pa.int32()), ("grid", pa.list_(pa.list_(pa.string())))]
 )
 
 
 def parsed(found: DataFrame, parse=items_of) -> DataFrame:
-    """Paragraph and table rows of files (article_id, input_sha256, content),
-    parsed once. ``seq`` numbers a file's items of either kind."""
+    """Paragraph and table rows of files (article_id, input_sha256, name,
+    content), parsed once. ``seq`` numbers a file's items of either kind."""
 
     def rows(batches):
         for batch in batches:
-            for article, digest, content in zip(*(batch.column(c).to_pylist() for c in ("article_id", "input_sha256", "content"))):
+            for article, digest, name, content in zip(*(c.to_pylist() for c in batch.columns)):
                 n = {"p": 0, "table": 0}
                 for item in parse(content):
-                    yield {"article_id": article, "input_sha256": digest, "seq": n[item["kind"]], **item}
+                    yield {"article_id": article, "input_sha256": digest, "name": name, "seq": n[item["kind"]], **item}
                     n[item["kind"]] += 1
 
-    return found.select("article_id", "input_sha256", "content").mapInArrow(lambda batches: as_batches(rows(batches), ITEM_SCHEMA), ITEMS)
+    return found.select("article_id", "input_sha256", "name", "content").mapInArrow(lambda batches: as_batches(rows(batches), ITEM_SCHEMA), ITEMS)
 
 
 def nodes(items: DataFrame) -> DataFrame:
-    return items.where("kind = 'p'").select("article_id", "input_sha256", F.col("seq").alias("node_seq"), "location", "text", "in_table")
+    return items.where("kind = 'p'").select("article_id", "input_sha256", "name", F.col("seq").alias("node_seq"), "location", "text", "in_table")
 
 
 def tables(items: DataFrame) -> DataFrame:
-    return items.where("kind = 'table'").select("article_id", "input_sha256", F.col("seq").alias("table_seq"), "label", "caption", "header_rows", "grid")
+    return items.where("kind = 'table'").select("article_id", "input_sha256", "name", F.col("seq").alias("table_seq"), "label", "caption", "header_rows", "grid")

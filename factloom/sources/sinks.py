@@ -1,8 +1,8 @@
 """Outputs: single files with exact bytes, and Spark tables.
 
 A single file is written row by row from an ordered ``toLocalIterator``, so
-the driver holds one partition at a time. Where bytes don't matter, use
-``write_table``.
+the driver holds one partition at a time. Many files are written by the tasks
+(``write_files``). Where bytes don't matter, use ``write_table``.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import posixpath
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factloom.operators.predictions import for_sink
+from factloom.operators.written import written
 
 # Words of paths that extraction must not touch.
 GUARDED = ("final_reference", "reference_standard", "裁决", "医生a", "医生b")
@@ -53,33 +59,89 @@ def write_json(path: str | Path, payload: object) -> None:
     Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
 
 
+class JsonArray:
+    """One array in a file, indented by 2, written row by row."""
+
+    def __init__(self, path: str | Path):
+        self.file, self.n = Path(path).open("w", encoding="utf-8"), 0
+
+    def add(self, row: dict) -> None:
+        body = json.dumps(row, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        self.file.write(("[\n  " if not self.n else ",\n  ") + body)
+        self.n += 1
+
+    def close(self) -> None:
+        self.file.write("\n]\n" if self.n else "[]\n")
+        self.file.close()
+
+
+class CsvFile:
+    """UTF-8 with a byte-order mark and CRLF. Without ``columns`` the first
+    row's make the header, and no row an empty file; ``columns`` also leaves
+    out others."""
+
+    def __init__(self, path: str | Path, columns: list[str] | None = None):
+        self.path, self.columns, self.file, self.n = Path(path), columns, None, 0
+
+    def _open(self, columns: list[str]) -> None:
+        self.file = self.path.open("w", encoding="utf-8-sig", newline="")
+        self.writer = csv.DictWriter(self.file, columns, extrasaction="ignore", restval="")
+        self.writer.writeheader()
+
+    def add(self, row: dict) -> None:
+        if self.file is None:
+            self._open(self.columns or list(row))
+        self.writer.writerow(row)
+        self.n += 1
+
+    def close(self) -> None:
+        if self.file is None and self.columns is None:
+            self.path.write_bytes(b"")
+            return
+        if self.file is None:
+            self._open(self.columns)
+        self.file.close()
+
+
+def write_rows(rows: Iterable[dict], *sinks: JsonArray | CsvFile) -> int:
+    """Every row to every sink, in one pass; their number."""
+    for row in rows:
+        for sink in sinks:
+            sink.add(row)
+    for sink in sinks:
+        sink.close()
+    return sinks[0].n
+
+
 def write_json_array(path: str | Path, rows: Iterable[dict]) -> int:
-    """One array, indented by 2, without holding it; returns its length."""
-    n = 0
-    with Path(path).open("w", encoding="utf-8") as file:
-        for row in rows:
-            body = json.dumps(row, ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            file.write(("[\n  " if not n else ",\n  ") + body)
-            n += 1
-        file.write("\n]\n" if n else "[]\n")
-    return n
+    return write_rows(rows, JsonArray(path))
 
 
 def write_csv(path: str | Path, rows: Iterable[dict], columns: list[str] | None = None) -> int:
-    """UTF-8 with a byte-order mark and CRLF. Without rows and columns the
-    file is empty; ``columns`` also names those to leave out."""
-    rows, n = iter(rows), 0
-    first = next(rows, None)
-    if first is None and columns is None:
-        Path(path).write_bytes(b"")
-        return 0
-    with Path(path).open("w", encoding="utf-8-sig", newline="") as file:
-        writer = csv.DictWriter(file, columns or list(first), extrasaction="ignore", restval="")
-        writer.writeheader()
-        while first is not None:
-            writer.writerow(first)
-            first, n = next(rows, None), n + 1
-    return n
+    return write_rows(rows, CsvFile(path, columns))
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """A file per row of ``rows`` (name, content) in ``folder``, written by the
+    tasks that hold the rows: name, sha256, n_bytes of each. A file appears
+    under its name only when it is whole, so a repeated task replaces it by
+    the same; null content makes an empty file."""
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            names, digests, sizes = batch.column("name").to_pylist(), [], []
+            for name, content in zip(names, batch.column("content").to_pylist()):
+                part = posixpath.join(root, f"_{uuid.uuid4().hex}")
+                with fs.open_output_stream(part, compression=None) as file:
+                    file.write(content or b"")
+                fs.move(part, posixpath.join(root, name))
+                digests.append(hashlib.sha256(content or b"").hexdigest())
+                sizes.append(len(content or b""))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["name", "sha256", "n_bytes"])
+
+    return written(rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, sha256 string, n_bytes long"), "files")
 
 
 def union_rows(*parts: DataFrame) -> DataFrame:
@@ -95,12 +157,13 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
 
 
 def write_predictions(predictions: DataFrame, folder: str | Path, name: str, rules_version: str, run_mode: str, xml_files: int) -> dict:
-    """JSON, CSV and run_summary.json of numbered predictions; the summary."""
+    """JSON, CSV and run_summary.json of numbered predictions, by one pass
+    over them; the summary."""
+    guard_paths(folder)
     folder = new_folder(folder, allow_empty=True)
-    ordered = for_sink(predictions.orderBy("prediction_id"))
+    ordered = for_sink(predictions.orderBy(F.length("prediction_id"), "prediction_id"))
     json_path, csv_path = folder / f"{name}.json", folder / f"{name}.csv"
-    n = write_json_array(json_path, records(ordered))
-    write_csv(csv_path, records(ordered), ordered.columns if n else [])
+    n = write_rows(records(ordered), JsonArray(json_path), CsvFile(csv_path))
     summary = {
         "rules_version": rules_version, "run_mode": run_mode, "development_only": run_mode == "development", "xml_files": xml_files,
         "predictions": n, "json_sha256": sha256(json_path), "csv_sha256": sha256(csv_path),

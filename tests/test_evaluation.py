@@ -119,6 +119,13 @@ def test_bootstrap_draws(spark):
     assert E.bootstrap(df, "seed", 200).first().precision == pytest.approx([quantile(0.025), quantile(0.975)])
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_draws_are_those_of_the_seeded_sequence(n):
+    generator = random.Random(int(hashlib.sha256(b"label").hexdigest()[:16], 16))
+    rows = [row.tolist() for block in E.draws(n, "label", 40, 3000) for row in block]
+    assert rows == [[generator.randrange(n) for _ in range(n)] for _ in range(40)]
+
+
 def test_scoring_writes_everything(spark, tmp_path):
     articles, g, p = small(spark)
     short = {f"A{i}": f"AH-S2C-00{i}" for i in (1, 2, 3)}
