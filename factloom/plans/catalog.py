@@ -111,23 +111,71 @@ sentences AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_seq, parts[i] AS
 """
 
 
-@query(rf"""
+HITS_SQL = rf"""
 WITH p(seq, kind, category, rule_id, phrase) AS (VALUES {_PHRASE_ROWS}), {SENTENCES_SQL},
 m AS (SELECT *, '(?is)^((?:.*?[^A-Za-z0-9])??)(' || replace(phrase, ' ', '\s+') || ')(?:[^A-Za-z0-9]|$)' AS rx FROM sentences, p),
 f AS (SELECT doc_id, sentence_seq, seq, kind, category, rule_id, regexp_extract(sentence, rx, 2) AS term, length(regexp_extract(sentence, rx, 1)) AS start FROM m WHERE regexp_matches(sentence, rx)),
 o AS (SELECT *, count(*) FILTER (kind = 'category') OVER (PARTITION BY doc_id, sentence_seq) AS n, row_number() OVER (PARTITION BY doc_id, sentence_seq, kind ORDER BY seq) AS nth FROM f),
 l AS (SELECT doc_id, sentence_seq, list([{{'start': start, 'short': -length(term), 'seq': seq, 'category': category, 'term': term, 'rule_id': rule_id}}]
   ORDER BY CASE kind WHEN 'unmappable' THEN 1 WHEN 'unclear' THEN 2 ELSE 0 END, CASE WHEN kind IN ('unmappable', 'unclear') THEN seq ELSE start END, -length(term), seq) AS found FROM o WHERE kind <> 'generic' OR (n = 0 AND nth = 1) GROUP BY ALL),
-r AS (SELECT doc_id, sentence_seq, list_sort(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: greatest(y.start, x[1].start) < least(y.start - y.short, x[1].start - x[1].short))) > 0 THEN kept ELSE list_concat(kept, x) END)) AS kept FROM l)
-SELECT printf('D%09d', doc_id) AS article_id, sentence_seq, CAST(i - 1 AS INTEGER) AS hit_seq, CAST(kept[i].start AS INTEGER) AS start, kept[i].category AS category, kept[i].term AS term, kept[i].rule_id AS rule_id FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM r)
-""")
+r AS (SELECT doc_id, sentence_seq, list_sort(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: greatest(y.start, x[1].start) < least(y.start - y.short, x[1].start - x[1].short))) > 0 THEN kept ELSE list_concat(kept, x) END)) AS kept FROM l),
+hits AS (SELECT doc_id, sentence_seq, CAST(i - 1 AS INTEGER) AS hit_seq, CAST(kept[i].start AS INTEGER) AS start, kept[i].category AS category, kept[i].term AS term, kept[i].rule_id AS rule_id FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM r))
+"""
+
+
+@query(HITS_SQL + "SELECT printf('D%09d', doc_id) AS article_id, sentence_seq, hit_seq, start, category, term, rule_id FROM hits")
 def event_hits(spark, sf_dir):
     """Disjoint hits per sentence, in SQL a fold over its ordered matches."""
     s = sentence_rows(document_nodes(spark, sf_dir)).withColumn("hits", hits(F.col("sentence"), DOCUMENT_RULES))
     return s.select("article_id", "sentence_seq", F.posexplode("hits").alias("hit_seq", "h")).select("article_id", "sentence_seq", "hit_seq", "h.start", "h.category", "h.term", "h.rule_id")
 
 
-@query()
+def _unicode(pattern: str) -> str:
+    """The pattern ignoring case, its word boundaries spelt out, as RE2's are
+    those of ASCII; a group around it would take in what bounds it."""
+    return "(?i)" + pattern.replace(r"^\b", "").replace(r"\b$", r"(?:$|[^\p{L}\p{N}_])").replace(r"\b.{0,500}\b", r"[^\p{L}\p{N}_](?:.{0,499}[^\p{L}\p{N}_])?").replace(r"\b(", r"(?:^|[^\p{L}\p{N}_])(", 1).replace(r"\b", r"(?:$|[^\p{L}\p{N}_])")
+
+
+def _has_sql(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{_unicode(pattern)}')"
+
+
+def _group_sql(text: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({text}, '{_unicode(pattern)}', {group}), '')"
+
+
+def _phrases_sql(phrases: tuple[str, ...]) -> str:
+    return "regexp_matches(sentence, '(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(phrases) + ")(?:[^A-Za-z0-9]|$)')"
+
+
+_ARM_SQL = ", ".join(f"trim(regexp_replace({_group_sql('sentence', p)}, '\\s+', ' ', 'g'))" for p in T.ARM_PATTERNS[:2]) + f", {_group_sql('sentence', T.ARM_PATTERNS[2])}"
+_WORD_SQL = "list_position([" + ", ".join(f"'{w}'" for w in T.NUMBER_WORDS) + "], lower({0}))"
+FACTS_SQL = (
+    HITS_SQL
+    + f""",
+gated AS (SELECT h.*, sentence FROM hits h JOIN sentences USING (doc_id, sentence_seq) WHERE NOT {_phrases_sql(DOCUMENT_RULES.non_event)} AND ({_phrases_sql(DOCUMENT_RULES.occurrence)} OR {_has_sql("sentence", r"\b(\d+)\s*(?:/|of|\(|patients?|cases?|subjects?)")})),
+pieces AS (SELECT *, regexp_extract(substr(sentence, 1, start), '[^;,]*$') || substr(sentence, start + 1, 1) || regexp_extract(substr(sentence, start + 2), '^[^;,]*') AS clause,
+  substr(sentence, greatest(0, start - 80) + 1, start - greatest(0, start - 80)) AS before, substr(sentence, greatest(0, start - 20) + 1, start + 120 - greatest(0, start - 20)) AS near FROM gated),
+ruled AS (SELECT *, CASE WHEN {_has_sql("clause", T.RATIO)} THEN 'NUM_RATIO_CLAUSE' WHEN {_has_sql("clause", T.COUNT_PERCENT)} THEN 'NUM_COUNT_PCT_CLAUSE' WHEN {_has_sql("clause", T.COUNT)} THEN 'NUM_COUNT_CLAUSE' WHEN {_has_sql("clause", T.WORD_COUNT)} THEN 'NUM_WORD_CLAUSE'
+  WHEN {_has_sql("clause", T.ZERO)} THEN 'NUM_ZERO_CLAUSE' WHEN {_has_sql("clause", T.PERCENT)} THEN 'NUM_PCT_ONLY' WHEN {_has_sql("sentence", T.LIST_ZERO)} OR {_has_sql("sentence", r"\b(there)\s+(?:was|were|are)\s+no\b")} THEN 'NUM_LIST_ZERO'
+  WHEN {_has_sql("before", T.WORD_BEFORE)} THEN 'NUM_WORD_BEFORE_TERM' WHEN {_has_sql("near", T.RATIO)} THEN 'NUM_RATIO_LOCAL' ELSE 'NUM_NONE' END AS rule FROM pieces),
+counted AS (SELECT *, TRY_CAST(CASE rule WHEN 'NUM_RATIO_CLAUSE' THEN {_group_sql("clause", T.RATIO)} WHEN 'NUM_COUNT_PCT_CLAUSE' THEN {_group_sql("clause", T.COUNT_PERCENT)} WHEN 'NUM_COUNT_CLAUSE' THEN {_group_sql("clause", T.COUNT)} WHEN 'NUM_RATIO_LOCAL' THEN {_group_sql("near", T.RATIO)}
+    WHEN 'NUM_WORD_CLAUSE' THEN CAST({_WORD_SQL.format(_group_sql("clause", T.WORD_COUNT))} AS VARCHAR) WHEN 'NUM_WORD_BEFORE_TERM' THEN CAST({_WORD_SQL.format(_group_sql("before", T.WORD_BEFORE))} AS VARCHAR) WHEN 'NUM_ZERO_CLAUSE' THEN '0' WHEN 'NUM_LIST_ZERO' THEN '0' END AS BIGINT) AS numerator,
+  TRY_CAST(CASE rule WHEN 'NUM_RATIO_CLAUSE' THEN {_group_sql("clause", T.RATIO, 2)} WHEN 'NUM_RATIO_LOCAL' THEN {_group_sql("near", T.RATIO, 2)} END AS BIGINT) AS denominator,
+  TRY_CAST(CASE rule WHEN 'NUM_COUNT_PCT_CLAUSE' THEN {_group_sql("clause", T.COUNT_PERCENT, 2)} WHEN 'NUM_PCT_ONLY' THEN {_group_sql("clause", T.PERCENT)} END AS DOUBLE) / 100 AS reported_percentage,
+  CASE WHEN {_has_sql("sentence", T.OVERALL_ARM)} THEN 'Overall' ELSE coalesce({_ARM_SQL}) END AS arm, {_group_sql("sentence", r"\b(\d+(?:[-–]\d+)?\s*(?:hours?|days?|weeks?|months?|years?))\b")} AS time_window,
+  CASE WHEN {_has_sql("sentence", T.SERIOUS)} THEN 'Yes' ELSE 'Unclear' END AS serious, CASE WHEN {_has_sql("sentence", T.ATTRIBUTED)} THEN 'Yes' ELSE 'Unclear' END AS attribution, left(sentence, 200) AS quote FROM ruled WHERE rule <> 'NUM_NONE'),
+firsts AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id, lower(trim(regexp_replace(term, '\\s+', ' ', 'g'))), lower(arm), numerator, denominator, lower(quote) ORDER BY sentence_seq, hit_seq) = 1)
+SELECT printf('DOC-%04d', row_number() OVER (ORDER BY doc_id, sentence_seq, hit_seq)) AS prediction_id, printf('D%09d', doc_id) AS article_id, 'Body' AS source_type, 'Body' AS evidence_location, quote AS evidence_quote, term AS raw_event_term, category AS predicted_category, arm, numerator, denominator,
+  reported_percentage, CASE WHEN coalesce(numerator, denominator, reported_percentage) IS NULL THEN 'Unclear' ELSE 'patients' END AS count_unit, time_window, serious, attribution,
+  CASE WHEN numerator IS NOT NULL AND denominator IS NOT NULL AND arm IS NOT NULL THEN 'Directly poolable' WHEN numerator IS NOT NULL OR reported_percentage IS NOT NULL THEN 'Transformable' ELSE 'Not poolable' END AS poolability,
+  CASE WHEN category <> 'Unmappable' THEN 'High' ELSE 'Moderate' END AS confidence, rule_id || '+' || rule AS rule_id, sha256(text) AS input_sha256
+FROM firsts JOIN (SELECT doc_id, text FROM documents) USING (doc_id)
+"""
+)
+
+
+@query(FACTS_SQL)
 def facts(spark, sf_dir):
     """The flagship: documents to distinct, numbered prediction records."""
     records = first_wins(predictions(body_facts(document_nodes(spark, sf_dir), DOCUMENT_RULES), DOCUMENT_RULES))
