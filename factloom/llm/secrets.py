@@ -103,13 +103,20 @@ class Formats:
 
     by_kind: list[Automaton | None]
     background: Automaton | None
-    margin: float = 1.5
+    margin: float = 0.5
+    bits: float = 24.0
 
-    def secret(self, value: str) -> bool:
-        """Whether some format beats the background by ``margin`` bits per
-        character."""
+    def gain(self, value: str) -> float:
+        """How many bits per character, the end counted as one, the likeliest
+        format is ahead of the background and of even odds."""
         least = self.background.score(value) if self.background else UNIFORM
-        return max((a.score(value) for a in self.by_kind if a), default=-99.0) >= max(least, UNIFORM) + self.margin
+        return max((a.score(value) for a in self.by_kind if a), default=-99.0) - max(least, UNIFORM)
+
+    def secret(self, value: str) -> bool:
+        """Whether that is ``margin`` per character and ``bits`` in all, odds
+        that a corpus of many tokens doesn't beat by chance."""
+        gain = self.gain(value)
+        return gain >= self.margin and gain * (len(value) + 1) >= self.bits
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -363,3 +363,13 @@ def test_long_words_teach_all_their_characters():
     words = ["ab" * 150 + "x" * n for n in range(50, 90)]
     long, cut = automata.infer(words), automata.infer([w[:200] for w in words])
     assert long.score("ab" * 100 + "x" * 60) > cut.score("ab" * 100 + "x" * 60) + 1
+
+
+def test_a_prefixed_format_is_found_and_words_are_not(spark):
+    rnd = random.Random(8)
+    make = lambda: "sk-" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    plain = lambda: " ".join("".join(rnd.choices("aeiounrst", k=rnd.randrange(6, 26))) for _ in range(5))
+    rows = [(i, f"{plain()} token = '{make()}' {plain()}", None, None, 1) for i in range(200)] + [(900 + i, f"plain {make()} {plain()}", None, None, 1) for i in range(50)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    found = [s for r in got for s in r.spans.split(",") if s.startswith("grammar")]
+    assert len(found) >= 43 and set(found) == {"grammar:6:33"}
