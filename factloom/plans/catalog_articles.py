@@ -19,7 +19,7 @@ from factloom.operators.tables import table_facts
 from factloom.operators.written import folder
 from factloom.plans import adapters, extraction
 from factloom.plans.catalog import query, table
-from factloom.sources import articles, html, layout, sinks, tabular
+from factloom.sources import articles, html, layout, pdf, sinks, tabular
 from factloom.sources.rules import Rules, from_document
 
 #: A small lexicon of what happens to orders.
@@ -420,3 +420,44 @@ def ruled_tables(spark, sf_dir):
     pages = o.select(F.col("o_orderkey").cast("string").alias("article_id"), F.lit(3).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), words.alias("words"), edges.alias("edges"))
     found = layout.coordinate_tables(pages)
     return found.select("article_id", "page", "label", "caption", "header_rows", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("cells"), "box.x0", "box.top", "box.x1", "box.bottom")
+
+
+def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per supplier, which the functions below read in place of PDF."""
+    path, key = folder(spark, "pdf"), F.col("s_suppkey")
+    said = text("Results\nsaid by ", F.col("s_name"), "\fTable 1\n  Variable   Group A\n  early   ", key, "\n  late   3\n")
+    sinks.write_files(table(spark, sf_dir, "supplier").select(F.format_string("AH-V%03d_x.pdf", key % 1000).alias("name"), F.encode(said, "UTF-8").alias("content")), path)
+    return pdf.files(spark, path)
+
+
+def _plain_pages(content: bytes) -> str:
+    return content.decode().split("\f")[0]
+
+
+def _all_pages(content: bytes) -> str:
+    return content.decode()
+
+
+def _words(content: bytes):
+    """The lines of each page as words nine points wide, between two rules."""
+    for page in content.decode().split("\f"):
+        words = [{"text": w, "x0": 20.0 + 60 * i, "x1": 29.0 + 60 * i, "top": 90.0 + 20 * n, "bottom": 98.0 + 20 * n} for n, line in enumerate(page.splitlines()) for i, w in enumerate(line.split())]
+        yield {"width": 600.0, "height": 800.0, "words": words, "edges": [{"x0": 10.0, "x1": 500.0, "top": t} for t in (105.0, 300.0)]}
+
+
+@query("""
+WITH s AS (SELECT printf('AH-V%03d', s_suppkey % 1000) AS article_id, s_name, s_suppkey FROM supplier)
+SELECT article_id, 'Results' AS part, 'said by ' || s_name AS said FROM s UNION ALL SELECT article_id, 'Table 1', 'Variable,Group A;early,' || s_suppkey || ';late,3' FROM s
+""")
+def pdf_texts(spark, sf_dir):
+    """PDF files by a tool handed in: sections and tables of their texts."""
+    texts = pdf.texts(_pdf_files(spark, sf_dir), _plain_pages, _all_pages)
+    cells = F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";")
+    return layout.plain_sections(texts).select("article_id", F.col("section").alias("part"), F.col("text").alias("said")).unionByName(layout.parsed_layout(texts).select("article_id", F.col("label").alias("part"), cells.alias("said")))
+
+
+@query("SELECT printf('AH-V%03d', s_suppkey % 1000) AS article_id, 2 AS page, 'Table 1' AS label, 'Variable,Group,A;early,' || s_suppkey || ',;late,3,' AS cells FROM supplier")
+def pdf_tables(spark, sf_dir):
+    """The same by the words and rules of their pages."""
+    found = layout.coordinate_tables(pdf.pages(_pdf_files(spark, sf_dir), _words))
+    return found.select("article_id", "page", "label", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("cells"))

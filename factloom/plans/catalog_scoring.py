@@ -17,8 +17,9 @@ from factloom.operators import governance as G
 from factloom.operators import selection
 from factloom.operators.written import folder
 from factloom.plans import queueing
-from factloom.plans.catalog import SEED, query, table
+from factloom.plans.catalog import SEED, query, queue_sql, table
 from factloom.plans.catalog_articles import local_path, pick, text
+from factloom.plans.scoring import score
 from factloom.sources import sinks, tabular
 
 # ---- events against a reference ----
@@ -179,6 +180,42 @@ def normalised_ids(spark, sf_dir):
     return kept.groupBy(F.lit("kept").alias("kind"), "article_id").agg(F.count(F.lit(1)).alias("n")).unionByName(without.select(F.lit("without").alias("kind"), "article_id", F.lit(1).cast("long").alias("n")))
 
 
+PARTS_SQL = """
+WITH n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 2 = 0 THEN 'vor' ELSE 'aip' END AS v FROM supplier),
+g AS (SELECT p_partkey AS k, p_partkey % n AS s FROM part, n WHERE p_partkey % 3 <> 0), p AS (SELECT p_partkey AS k, p_partkey % n AS s FROM part, n WHERE p_partkey % 5 <> 0),
+m AS (SELECT k, s FROM g JOIN p USING (k, s) WHERE s % 4 <> 3), e AS (SELECT 'tp' AS kind, s FROM m UNION ALL SELECT 'fp', s FROM p WHERE s % 4 <> 3 AND k NOT IN (SELECT k FROM m) UNION ALL SELECT 'fn', s FROM g WHERE k NOT IN (SELECT k FROM m)),
+t AS (SELECT v AS part, kind FROM e JOIN a USING (s) UNION ALL SELECT 'main', kind FROM e)
+"""
+
+
+@query(
+    PARTS_SQL
+    + """
+SELECT part, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fp') AS fp, count(*) FILTER (kind = 'fn') AS fn, count(*) FILTER (kind = 'tp') AS match_rows, count(*) FILTER (kind = 'fp') AS positive_rows, count(*) FILTER (kind = 'fn') AS negative_rows, TRUE AS hash_holds FROM t GROUP BY part
+"""
+)
+def scoring_files(spark, sf_dir):
+    """A whole scoring run over parts of suppliers, its files read back."""
+    n, key = table(spark, sf_dir, "supplier").count(), F.col("p_partkey")
+    short = lambda k: F.format_string("AH-S2C-%03d", k)
+    s = table(spark, sf_dir, "supplier")
+    articles = s.select(short(F.col("s_suppkey")).alias("article_id"), F.when(F.col("s_suppkey") % 4 == 3, "no").otherwise("yes").alias("eligible"), F.lit("yes").alias("harms_status"), F.when(F.col("s_suppkey") % 2 == 0, "VOR").otherwise(selection.AIP).alias("publication_version"))
+    p = table(spark, sf_dir, "part").withColumn("article_id", short(key % n))
+    said = text("a", key, "x a", key, "y")
+    blank = lambda *names: [F.lit("").alias(x) for x in names]
+    gold = p.where(key % 3 != 0).select(text("G", key).alias("event_id"), "article_id", said.alias("evidence_quote_raw"), text("t", key, "q").alias("event_term_raw"), F.lit("C").alias("category_canonical"), *blank("numerator_value", "denominator_value", "arm_raw", "arm_canonical", "time_raw", "time_canonical", "poolability"))
+    predicted = p.where(key % 5 != 0).select(text("P", key).alias("prediction_id"), F.concat("article_id", F.lit("_doi")).alias("article_id"), said.alias("evidence_quote"), text("t", key, "q").alias("raw_event_term"), F.lit("C").alias("predicted_category"), *blank("arm", "time_window", "poolability"), *(F.lit(1).cast("bigint").alias(x) for x in ("numerator", "denominator")))
+    out = local_path(folder(spark, "scoring")) / "out"
+    out.parent.mkdir(parents=True)
+    score(articles, gold, predicted, out, "parts")
+    lock, rows = json.loads((out / "scoring_lock.json").read_text()), []
+    for part in ("main", "vor", "aip"):
+        level = json.loads((out / f"{part}_metrics.json").read_text())["event_level"]
+        counts = [tabular.read_csv(spark, f"file://{out}/{part}_{kind}.csv").count() for kind in ("matches", "false_positives", "false_negatives")]
+        rows.append((part, level["TP"], level["FP"], level["FN"], *counts, sinks.sha256(out / f"{part}_metrics.json") == lock[f"{part}_metrics.json_sha256"]))
+    return spark.createDataFrame(rows, "part string, tp long, fp long, fn long, match_rows long, positive_rows long, negative_rows long, hash_holds boolean")
+
+
 # ---- work queues ----
 
 
@@ -205,7 +242,7 @@ WITH RECURSIVE h AS (SELECT p_partkey AS k, p_brand || '-' || p_size AS journal,
   CASE WHEN p_partkey % 2 = 0 THEN 'PASS_PUBLISHER_HTML_STRUCTURAL_GATE' WHEN p_partkey % 5 = 0 THEN 'REVIEW_NO_RELIABLE_TABLE' WHEN p_partkey % 3 <> 0 THEN 'PASS_COORDINATE_TABLES' ELSE 'MISSING_PDF_AUDIT' END AS format_gate_final,
   CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '.nxml' WHEN p_partkey % 3 <> 0 OR p_partkey % 5 = 0 THEN 'pdf' || p_partkey || '.nxml' ELSE '' END AS final_normalized_file,
   CASE WHEN p_partkey % 8 = 0 THEN 'PUBLISHER_AIP_COMPLETE' WHEN p_partkey % 8 = 6 THEN 'PREPRINT' ELSE 'VOR' END AS publication_version FROM part),
-a AS MATERIALIZED (SELECT *, CASE oa_host WHEN 'Elsevier BV' THEN 'Elsevier' WHEN 'BioMed Central' THEN 'Springer Nature' WHEN 'Nature Portfolio' THEN 'Springer Nature' WHEN 'SAGE Publishing' THEN 'SAGE' WHEN '' THEN 'Independent/Unresolved' ELSE oa_host END AS publisher_family,
+a AS MATERIALIZED (SELECT *, CASE oa_host WHEN 'Elsevier BV' THEN 'Elsevier' WHEN 'BioMed Central' THEN 'Springer Nature' WHEN 'Nature Portfolio' THEN 'Springer Nature' WHEN 'SAGE Publishing' THEN 'SAGE' WHEN '' THEN 'Independent/Unresolved' ELSE oa_host END AS publisher_family, 'C' || k AS source_candidate_id,
   k % 10 <> 3 AND k % 20 <> 6 AND publication_version <> 'PREPRINT' AND format_gate_final LIKE 'PASS%' AS good, sha256('factloom-queue|C' || k || '|' || sha256('source' || k)) AS selection_key FROM h)
 """
 
@@ -213,7 +250,7 @@ a AS MATERIALIZED (SELECT *, CASE oa_host WHEN 'Elsevier BV' THEN 'Elsevier' WHE
 @query(
     POOL_SQL
     + """
-SELECT 'C' || k AS source_candidate_id, oa_host, publisher_family, final_normalized_file, CASE WHEN final_normalized_file = '' THEN '' WHEN k % 2 = 0 THEN sha256('own' || k) ELSE sha256('pdf' || k) END AS final_normalized_sha256, format_gate_final,
+SELECT source_candidate_id, oa_host, publisher_family, final_normalized_file, CASE WHEN final_normalized_file = '' THEN '' WHEN k % 2 = 0 THEN sha256('own' || k) ELSE sha256('pdf' || k) END AS final_normalized_sha256, format_gate_final,
   CASE WHEN good THEN 'ELIGIBLE_ALL_PREFREEZE_GATES' ELSE 'EXCLUDE_FORMAT_OR_SOURCE_GATE:' || format_gate_final END AS final_eligibility, selection_key FROM a
 """
 )
@@ -222,28 +259,13 @@ def audited_pool(spark, sf_dir):
     return selection.audited(*_pool(spark, sf_dir), SEED).select("source_candidate_id", "oa_host", "publisher_family", "final_normalized_file", "final_normalized_sha256", "format_gate_final", "final_eligibility", "selection_key")
 
 
-QUEUE_SQL = (
-    POOL_SQL
-    + """,
-robin AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY publisher_family ORDER BY selection_key) AS turn, sha256('factloom-queue|family|' || publisher_family) AS family_key FROM a WHERE good),
-first AS (SELECT *, row_number() OVER (ORDER BY family_key) AS role_order FROM robin WHERE turn = 1 QUALIFY row_number() OVER (ORDER BY family_key) <= 5),
-rest AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY turn, family_key) AS i FROM robin WHERE k NOT IN (SELECT k FROM first)),
-pass AS (
-  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS families, CAST([] AS VARCHAR[]) AS journals, 0 AS aip, FALSE AS taken
-  UNION ALL SELECT s.i, CASE WHEN s.ok THEN list_append(families, publisher_family) ELSE families END, CASE WHEN s.ok THEN list_append(journals, journal) ELSE journals END, s.aip + CASE WHEN s.ok AND is_aip THEN 1 ELSE 0 END, s.ok FROM (
-    SELECT r.i, families, journals, aip, publisher_family, journal, publication_version = 'PUBLISHER_AIP_COMPLETE' AS is_aip, len(families) < 50 AND len(list_filter(families, lambda x: x = publisher_family)) < 20 AND len(list_filter(journals, lambda x: x = journal)) < 5
-      AND NOT (publication_version = 'PUBLISHER_AIP_COMPLETE' AND aip >= 5) AS ok FROM pass JOIN rest r ON r.i = pass.i + 1) s),
-main AS (SELECT i FROM pass WHERE taken)
-"""
-)
+QUEUE_SQL = queue_sql(POOL_SQL, 50)
 
 
 @query(
     QUEUE_SQL
     + """
-SELECT 'CALIBRATION' AS queue_role, CAST(role_order AS INTEGER) AS role_order, 'C' || k AS source_candidate_id, publisher_family, journal FROM first
-UNION ALL SELECT 'MAIN_EXTERNAL', CAST(row_number() OVER (ORDER BY i) AS INTEGER), 'C' || k, publisher_family, journal FROM rest WHERE i IN (FROM main)
-UNION ALL SELECT 'RESERVE', CAST(row_number() OVER (ORDER BY i) AS INTEGER), 'C' || k, publisher_family, journal FROM rest WHERE i NOT IN (FROM main)
+SELECT queue_role, role_order, source_candidate_id, publisher_family, journal FROM queued
 """
 )
 def work_queue(spark, sf_dir):
@@ -299,7 +321,7 @@ def written_files(spark, sf_dir):
 
 @query("""
 SELECT 'inputs/' || n_nationkey || '.txt' AS item, sha256(n_name) AS said FROM nation UNION ALL SELECT 'code/rules.json', sha256('[1, 2]') UNION ALL SELECT 'seal', 'SEALED_BEFORE_STAGEII_CLINICIAN_ANNOTATION_AND_SCORING 2'
-UNION ALL SELECT 'verified', 'PASS' UNION ALL SELECT 'changed', 'FAIL' UNION ALL SELECT 'unsealed', 'the predictions are not those that were sealed'
+UNION ALL SELECT 'guarded', 'a path resembles reference or adjudication material' UNION ALL SELECT 'kept', 'refused' UNION ALL SELECT 'verified', 'PASS' UNION ALL SELECT 'changed', 'FAIL' UNION ALL SELECT 'unsealed', 'the predictions are not those that were sealed'
 """)
 def capsule_checks(spark, sf_dir):
     """A capsule of files by nation: frozen, sealed, verified, tampered with."""
@@ -313,6 +335,14 @@ def capsule_checks(spark, sf_dir):
     manifest = G.freeze(root / "frozen", inputs, {"rules.json": root / "rules.json"})
     said = list(manifest["files"].items())
     G.seal(root / "rules.json", [root / "frozen" / "MANIFEST.json"], root / "seal.json")
+    try:
+        sinks.guard_paths(root / "Reference_Standard")
+    except PermissionError as refused:
+        said.append(("guarded", str(refused)))
+    try:
+        G.freeze(root / "frozen", {}, {})
+    except FileExistsError:
+        said.append(("kept", "refused"))
     seal = G.check_seal(root / "seal.json", root / "rules.json", root / "frozen" / "MANIFEST.json")
     said.append(("seal", f"{seal['status']} {seal['prediction_count']}"))
     rerun = lambda capsule, out: (out / "0.txt").write_bytes((capsule / "inputs/0.txt").read_bytes())
