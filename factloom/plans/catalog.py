@@ -613,12 +613,19 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.format_string("P%09d", "page_id").alias("article_id"), "html")
 
 
-@query()
+PAGES_SQL = r"""
+WITH a AS (SELECT page_id, list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda x: regexp_replace(regexp_replace(x, '</p>.*$', '', 's'), '<[^>]*>', ' ', 'g')) AS parts FROM pages),
+b AS (SELECT page_id, list_transform(parts, lambda x: replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS parts FROM a),
+c AS (SELECT page_id, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM b)
+"""
+
+
+@query(PAGES_SQL + "SELECT printf('P%09d', page_id) AS article_id, 'p' AS kind, CAST(i - 1 AS INTEGER) AS seq, 'Article body' AS location, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)")
 def html_paragraphs(spark, sf_dir):
     return html.parsed_pages(_pages(spark, sf_dir)).select("article_id", "kind", "seq", "location", "text")
 
 
-@query()
+@query(PAGES_SQL + "SELECT 'REVIEW' AS structural_status, count(*) AS n, CAST(sum(len(parts)) AS BIGINT) AS paragraphs FROM c")
 def html_status(spark, sf_dir):
     return html.page_diagnostics(_pages(spark, sf_dir)).groupBy("structural_status").agg(F.count(F.lit(1)).alias("n"), F.sum("paragraph_count").alias("paragraphs"))
 
@@ -638,7 +645,13 @@ def layout_lines(spark, sf_dir):
     return o.select("o_orderkey", T.heading_name(F.col("line")).alias("heading"), T.table_label(F.col("line")).alias("label"), T.split_columns(F.col("line")).alias("cells"), T.clean_caption(F.col("line")).alias("caption"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, list_transform(string_split_regex(text, '\r\n|[\n\r\v\f\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS lines FROM documents),
+j AS (SELECT article_id, array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_full_match(x, '\d{1,4}')), lambda x: CASE WHEN x = '' THEN chr(1) ELSE x END), ' ') AS said FROM d),
+p AS (SELECT article_id, list_filter(list_transform(string_split(said, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS t FROM j),
+i AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM p)
+SELECT article_id, 'Introduction' AS section, 0 AS section_seq, CAST(i - 1 AS INTEGER) AS paragraph_seq, t[i] AS text FROM i UNION ALL SELECT article_id, 'Results', 1, CAST(len(t) + i - 1 AS INTEGER), t[i] FROM i
+""")
 def plain_text_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.concat(F.lit("Introduction\n"), "text", F.lit("\n\nResults\n\n"), "text", F.lit("\n17\nReferences\nlast")).alias("text"))
     return layout.plain_sections(d)
@@ -653,11 +666,21 @@ def layout_text_tables(spark, sf_dir):
     return layout.parsed_layout(o).select("article_id", "table_seq", "page", "label", "caption", "header_rows", cells.alias("cells"))
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS text, l_quantity * 4 AS x0, l_quantity * 4 + 3 AS x1, l_discount * 100 + l_linenumber * 0.7::DOUBLE AS top FROM lineitem),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY top, x0, text) AS i FROM w),
+runs AS (SELECT l_orderkey, i, top AS first, 0 AS line FROM o WHERE i = 1
+  UNION ALL SELECT o.l_orderkey, o.i, CASE WHEN abs(first - top) > 2.2::DOUBLE THEN top ELSE first END, line + CASE WHEN abs(first - top) > 2.2::DOUBLE THEN 1 ELSE 0 END FROM runs JOIN o ON o.l_orderkey = runs.l_orderkey AND o.i = runs.i + 1),
+p AS MATERIALIZED (SELECT l_orderkey, line, text, x0, x1, row_number() OVER (PARTITION BY l_orderkey, line ORDER BY x0, i) AS place FROM runs JOIN o USING (l_orderkey, i)),
+c AS (SELECT l_orderkey, line, place, x1 AS reach, 0 AS cell FROM p WHERE place = 1
+  UNION ALL SELECT p.l_orderkey, p.line, p.place, greatest(reach, x1), cell + CASE WHEN x0 - reach >= 12 THEN 1 ELSE 0 END FROM c JOIN p ON p.l_orderkey = c.l_orderkey AND p.line = c.line AND p.place = c.place + 1),
+j AS (SELECT l_orderkey, line, cell, string_agg(text, ' ' ORDER BY place) AS said FROM c JOIN p USING (l_orderkey, line, place) GROUP BY ALL)
+SELECT l_orderkey, line, list(said ORDER BY cell) AS cells FROM j GROUP BY ALL
+""")
 def word_clusters(spark, sf_dir):
     """Line items as words of a page: their lines, and the lines' cells."""
     li = table(spark, sf_dir, "lineitem")
     word = F.struct(F.col("l_partkey").cast("string").alias("text"), (F.col("l_quantity") * 4).alias("x0"), (F.col("l_quantity") * 4 + 3).alias("x1"), (F.col("l_discount") * 100 + F.col("l_linenumber") * 0.7).alias("top"), (F.col("l_discount") * 100 + 9).alias("bottom"))
-    pages = li.groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))
+    pages = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(word)).alias("words"))
     lines: Column = layout.word_lines(F.col("words"))
     return pages.select("l_orderkey", F.posexplode(F.transform(lines, lambda line: layout.line_cells(line))).alias("line", "cells"))
