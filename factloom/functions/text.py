@@ -101,6 +101,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column of its own that is computed once: a condition on
+    it stays above it, where the optimiser would else compute it in the
+    condition as well, once for each time it is written there. What keeps it
+    from doing so is a random number below 1, which is never 2."""
+    return F.when(F.rand(0) != 2, value)
+
+
 def clean(text: Column) -> Column:
     """White space collapsed to single blanks and stripped; null is ""."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))

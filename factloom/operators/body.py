@@ -41,9 +41,9 @@ def body_facts(nodes: DataFrame, rules: Rules, version: str = "1.2") -> DataFram
     occurs = T.has_phrase(s, rules.occurrence)
     gated = sentence_rows(nodes).where(context_allowed(F.col("location"), s, rules)).where(occurs | s.rlike(RESULT_NUMBER) if new else occurs)
     tagged = gated.select("*", F.posexplode(hits(s, rules, extended=new)).alias("hit_seq", "hit"))
-    counted = tagged.withColumn("clause", T.clause_of(s, F.col("hit.start"))).withColumn("numbers", T.clause_numbers(F.col("clause")))
+    counted = tagged.withColumn("clause", T.once(T.clause_of(s, F.col("hit.start")))).withColumn("numbers", T.once(T.clause_numbers(F.col("clause"))))
     if new:
-        counted = counted.withColumn("numbers", F.when(F.col("numbers.rule") == "NUM_NONE", T.sentence_numbers(s, F.col("hit.start"))).otherwise(F.col("numbers"))).where("numbers.rule <> 'NUM_NONE'")
+        counted = counted.withColumn("numbers", T.once(F.when(F.col("numbers.rule") == "NUM_NONE", T.sentence_numbers(s, F.col("hit.start"))).otherwise(F.col("numbers")))).where("numbers.rule <> 'NUM_NONE'")
     arm = T.arm(s)
     if new:
         arm = F.when(s.rlike(f"(?iU){T.OVERALL_ARM}"), "Overall").otherwise(arm)

@@ -38,9 +38,9 @@ def edges(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     p = side(predicted, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p")
     quote, term, same = F.col("quote_jaccard"), F.col("term_similarity"), F.col("category_exact")
     first, second = (quote >= 0.5) & ((term >= 0.5) | same), (term >= 0.85) & (quote >= 0.15)
-    near = g.join(p, "article_id").withColumn("quote_jaccard", T.set_jaccard(F.col("g_quote"), F.col("p_quote"))).where(quote >= 0.15)
+    near = g.join(p, "article_id").withColumn("quote_jaccard", T.once(T.set_jaccard(F.col("g_quote"), F.col("p_quote")))).where(quote >= 0.15)
     similar = T.similarity_of(F.col("g_term"), F.col("p_term"), T.set_jaccard(F.col("g_words"), F.col("p_words")))
-    scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", similar).where(first | second)
+    scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", T.once(similar)).where(first | second)
     # The order of these additions decides ties in the last bit.
     rank = F.lit(0.60) * quote + F.lit(0.30) * term + F.lit(0.10) * same.cast("double")
     return scored.select("article_id", "event_id", "prediction_id", "quote_jaccard", "term_similarity", "category_exact", F.when(first, "route_1").otherwise("route_2").alias("route"), rank.alias("rank_score"))

@@ -60,10 +60,11 @@ def numbered(records: DataFrame, prefix: str = "AH12", order: tuple[str, ...] =
     """prediction_id: the prefix and each record's place, four digits or more.
 
     Places come from counts of the range partitions of the order, one row per
-    partition, not from a sort of all records in one task. The partitions are
-    written first, so that counts and records see the same ones.
+    partition, not from a sort of all records in one task. The records are
+    written first, as finding the ranges reads them once and dealing them once
+    more, and so are the partitions, so that counts and records see the same.
     """
-    parts = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    parts = written(records, "records").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     parts = written(parts, "numbered")
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
