@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.tagging import hits
+from factloom.operators.tagging import reported_hits
 from factloom.sources.rules import Rules
 
-RESULT_NUMBER = r"(?iU)\b\d+\s*(?:/|of|\(|patients?|cases?|subjects?)"
+RESULT_NUMBER = r"\b\d+\s*(?:/|of|\(|patients?|cases?|subjects?)"
 
 
 def file_name(rows: DataFrame) -> Column:
@@ -25,22 +25,21 @@ def sentence_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
-def context_allowed(location: Column, sentence: Column, rules: Rules) -> Column:
-    """Sections that may report events, sentences that don't speak of others."""
-    return ~T.contains_any(location, rules.sections_excluded) & T.contains_any(location, rules.sections_allowed) & ~T.has_phrase(sentence, rules.non_event)
+def section_allowed(location: Column, rules: Rules) -> Column:
+    """Sections that may report events."""
+    return ~T.contains_any(location, rules.sections_excluded) & T.contains_any(location, rules.sections_allowed)
 
 
 def body_facts(nodes: DataFrame, rules: Rules, version: str = "1.2") -> DataFrame:
     """Facts of paragraphs, one per sentence and event it names.
 
-    Cheap gates run before tagging. Version 1.2 wants a word of occurrence or
-    a number and drops events without a number; 1.1 wants the word and keeps
-    all. Null text has no sentence.
+    Version 1.2 wants a word of occurrence or a number and drops events
+    without a number; 1.1 wants the word and keeps all. Null text has no
+    sentence.
     """
     s, new = F.col("sentence"), version != "1.1"
-    occurs = T.has_phrase(s, rules.occurrence)
-    gated = sentence_rows(nodes).where(context_allowed(F.col("location"), s, rules)).where(occurs | s.rlike(RESULT_NUMBER) if new else occurs)
-    tagged = gated.select("*", F.posexplode(hits(s, rules, extended=new)).alias("hit_seq", "hit"))
+    found = reported_hits(s, rules, new, RESULT_NUMBER if new else None)
+    tagged = sentence_rows(nodes.where(section_allowed(F.coalesce("location", F.lit("Body")), rules))).select("*", F.posexplode(found).alias("hit_seq", "hit"))
     counted = tagged.withColumn("clause", T.once(T.clause_of(s, F.col("hit.start")))).withColumn("numbers", T.once(T.clause_numbers(F.col("clause"))))
     if new:
         counted = counted.withColumn("numbers", T.once(F.when(F.col("numbers.rule") == "NUM_NONE", T.sentence_numbers(s, F.col("hit.start"))).otherwise(F.col("numbers")))).where("numbers.rule <> 'NUM_NONE'")

@@ -49,6 +49,10 @@ def _words(text: str) -> list[str]:
     return WORDS(text.translate(ALIKE).lower())
 
 
+def words_of(text: str) -> set[str]:
+    return {"", *_words(text)}
+
+
 def _pattern(phrase: str) -> re.Pattern:
     """The phrase between non-alphanumerics; blanks match any white space."""
     return re.compile(rf"(?<![A-Za-z0-9]){r'\s+'.join(map(re.escape, phrase.strip().split(' ')))}(?![A-Za-z0-9])", re.IGNORECASE)
@@ -62,18 +66,22 @@ class Lexicon:
         for p in phrases:
             self.by_word.setdefault(next(iter(_words(p.text)), ""), []).append((p, _pattern(p.text)))
 
-    def matches(self, text: str) -> list[Match]:
+    def occur(self, text: str, words: set[str]) -> bool:
+        """Whether any phrase does; ``words`` are those of the text."""
+        return any(pattern.search(text) for word in self.by_word.keys() & words for _, pattern in self.by_word[word])
+
+    def matches(self, text: str, words: set[str] | None = None) -> list[Match]:
         """All phrases that occur, each at its first match, by ``seq``."""
         found = []
-        for word in self.by_word.keys() & {"", *_words(text)}:
+        for word in self.by_word.keys() & (words or words_of(text)):
             for p, pattern in self.by_word[word]:
                 if m := pattern.search(text):
                     found.append(Match(m.start(), m.end() - m.start(), p.seq, p.kind, p.category, p.rule_id, m[0]))
         return sorted(found, key=lambda m: m.seq)
 
-    def hits(self, text: str, extended: bool) -> list[Match]:
+    def hits(self, text: str, extended: bool, words: set[str] | None = None) -> list[Match]:
         """What ``hits`` says of one text."""
-        found = self.matches(text)
+        found = self.matches(text, words)
         of = lambda kind: [m for m in found if m.kind == kind]
         first = sorted(of("category") or of("generic")[:1], key=lambda m: (m.start, -m.length))
         kept: list[Match] = []
@@ -133,6 +141,25 @@ def hits(text: Column, rules: Rules, extended: bool = True) -> Column:
     return F.arrow_udf(found, HITS)(text)
 
 
+def reported_hits(text: Column, rules: Rules, extended: bool, number: str | None) -> Column:
+    """``hits`` of a sentence that may report events: one with a word of
+    occurrence, or with what matches ``number``, and without a word of other
+    things. Any other has none."""
+    phrases, plain = rules.phrases, lambda texts: tuple(Phrase(i, "", "", "", t) for i, t in enumerate(texts))
+    occurrence, others = plain(rules.occurrence), plain(rules.non_event)
+
+    def found(text: pa.Array) -> pa.Array:
+        of, some, none = lexicon(phrases).hits, lexicon(occurrence).occur, lexicon(others).occur
+        counted = re.compile(number, re.IGNORECASE).search if number else lambda _: False
+        lists = []
+        for t in _plain(text):
+            words = words_of(t)
+            lists.append(of(t, extended, words) if (some(t, words) or counted(t)) and not none(t, words) else [])
+        return _lists(lists, HIT_TYPE)
+
+    return F.arrow_udf(found, HITS)(text)
+
+
 def hits_of_each(texts: Column, rules: Rules, extended: bool = True) -> Column:
     """``hits`` of every element of an array of texts."""
     if not rules.phrases:
