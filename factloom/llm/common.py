@@ -64,7 +64,7 @@ class Memo(dict):
     the old generation, from which what is asked for again moves back, so that
     memory stays bounded and frequent keys stay known on any vocabulary."""
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 100_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

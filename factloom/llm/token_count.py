@@ -66,7 +66,7 @@ class Counter:
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.splices_at_spaces = self.splices and not any(b" " in a for a in self.added)
         self.model = self.tokenizer.model
-        self.pieces, self.words = Memo(self._piece), Memo(self._word, 400_000)
+        self.pieces, self.words = Memo(self._piece, 200_000), Memo(self._word, 400_000)
         self.room = max([1, *(len(t["content"]) for t in spec["added_tokens"])])
 
     def _tokens(self, text: bytes) -> int:

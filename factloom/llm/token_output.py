@@ -54,7 +54,7 @@ class WordEncoder:
         self.by_word, self.lowers = drops_white_space(spec), any(n["type"] == "Lowercase" for n in parts_of(spec["normalizer"], "normalizers"))
         self.added = {t["content"].encode().lower() for t in spec["added_tokens"]}
         self.model = self.tokenizer.model
-        self.pieces, self.words = Memo(self._piece, 300_000), Memo(self._word, 300_000)
+        self.pieces, self.words = Memo(self._piece, 200_000), Memo(self._word, 200_000)
 
     def _encode(self, text: bytes) -> bytes:
         return array(self.dtype.char, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
