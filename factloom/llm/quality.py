@@ -102,7 +102,7 @@ def training_rows(labels: DataFrame, sample: int) -> DataFrame:
     return marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> Discriminant:
+def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 20_000) -> Discriminant:
     """Fit on the documents of at most ``sample`` labels (see training_rows),
     so many rows being what is broadcast. Only class sums leave the executors:
     per class one count, p sums and p(p+1)/2 products."""
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int
     return discriminant(sums[:, 0], sums[:, 1 : 1 + p], squares, shrinkage)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 20_000) -> DataFrame:
     """Per document of ``docs`` (doc_id, text): held_out, score, predicted.
 
     Labels (doc_id, quality) other than 0 and 1 or without id are ignored;
@@ -153,7 +153,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sa
     return narrow.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 50_000) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns as they are."""
     model, at = fit(docs, labels, shrinkage, sample), docs.columns.index("text")
 
