@@ -31,19 +31,23 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def frequent(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """The keys that more than one row in ``share`` of a written table holds:
-    fewer than ``share`` of them, whatever the input."""
-    return rows.groupBy(key).count().where(F.col("count") > rows.count() // share + share).select(key)
+def frequent(rows: DataFrame, key: str, share: int = 1000) -> DataFrame | None:
+    """The keys that more than ``share`` rows and one in ``share`` of a written
+    table hold: fewer than ``share`` of them, whatever the input. None where
+    the table is too small for any."""
+    total = rows.count()
+    return rows.groupBy(key).count().where(F.col("count") > total // share + share).select(key) if total > share else None
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """``rows`` left-joined with ``table``, which has a row per ``key``.
 
     The keys of ``hot``, a table of bounded size as ``frequent`` gives it, are
     looked up in a broadcast; their rows are dealt evenly in the join by key,
     in which they find nothing, so no task gets all rows of a frequent key.
     """
+    if hot is None:
+        return rows.join(table, key, "left")
     values = [c for c in table.columns if c != key]
     own = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("_hot"), F.struct(*values).alias("_near"))
     spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns).bitwiseOR(1)).otherwise(0)

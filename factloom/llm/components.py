@@ -16,7 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     are joins and sums with map-side combining: no component is gathered, and
     nodes with many links and labels of many nodes are looked up apart."""
     both = materialize(links.union(links.select("b", "a")).toDF("u", "v").where("u <> v").distinct(), "component-links")
-    hubs = materialize(frequent(both, "v"), "component-hubs")
+    hubs = frequent(both, "v")
+    hubs = hubs and materialize(hubs, "component-hubs")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "component-labels")
     while True:
         around = lookup(both, labels.toDF("v", "l"), "v", hubs).groupBy("u").agg(F.min("l").alias("l"))

@@ -226,6 +226,8 @@ def components_of(docs: DataFrame, signed: DataFrame, banding: Banding, sweeps:
         for t in tested:
             pairs = pairs.join(t.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
+        if pairs.isEmpty():
+            continue
         found = materialize(confirm(pairs, sets, banding.similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "near-links")
         tested.append(pairs)
         if not found.isEmpty():

@@ -66,7 +66,8 @@ def test_lookup_equals_a_join(spark):
     for hot in ([0, 2, 5], [], range(300)):
         found = common.lookup(rows, table, "k", spark.createDataFrame([(k,) for k in hot], "k long"))
         assert sorted(map(str, found.collect())) == expected
-    assert sorted(r.k for r in common.frequent(rows, "k", 20).collect()) == []
+    assert sorted(map(str, common.lookup(rows, table, "k", None).select("k", "r", "t", "u").collect())) == expected
+    assert common.frequent(rows, "k") is None and common.frequent(rows.where("k > 9"), "k", 20).collect() == []
     assert sorted(r.k for r in common.frequent(rows.union(rows.where("k < 3")).union(rows.where("k < 3")), "k", 20).collect()) == [0, 1, 2]
 
 
