@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from array import array
@@ -52,9 +53,10 @@ class WordEncoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
         spec = json.loads(self.tokenizer.to_str())
         self.by_word, self.lowers = drops_white_space(spec), any(n["type"] == "Lowercase" for n in parts_of(spec["normalizer"], "normalizers"))
-        self.added = {t["content"].encode().lower() for t in spec["added_tokens"]}
+        added = b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"])
+        self.added = re.compile(added or b"(?!)", re.IGNORECASE).search
         self.model = self.tokenizer.model
-        self.pieces, self.words = Memo(self._piece, 200_000), Memo(self._word, 200_000)
+        self.pieces, self.words = Memo(self._piece, 300_000), Memo(self._word, 300_000)
 
     def _encode(self, text: bytes) -> bytes:
         return array(self.dtype.char, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
@@ -67,11 +69,10 @@ class WordEncoder:
         return self._encode(word)
 
     def _piece(self, piece: bytes) -> bytes:
-        lower = piece.lower()
-        if any(added in lower for added in self.added):
+        if self.added(piece):
             return self._encode(piece)
         head, tail = head_and_tail(piece)
-        lower = lower[: len(head)]
+        lower = head.lower()
         ids = self.words[lower if self.lowers and (lower.isascii() or LOWER_LETTERS(lower)) else head]
         return ids + self.words[tail] if tail else ids
 
