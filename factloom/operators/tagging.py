@@ -5,9 +5,9 @@ look up the phrases that begin with them, so that only those few are matched
 by their exact pattern, however long the lexicon is. Each phrase counts with
 its first match; overlaps are resolved by a fold over the matches in order.
 
-Measured against the same in column expressions, whose patterns come from a
-map and so are compiled anew at every change: 27 s and 3 s for the sentences
-of 10,000 documents, on 8 threads, with 20 phrases.
+Column expressions, whose patterns come from a map and so are compiled anew at
+every change, took 27 s for the sentences of 10,000 documents on 8 threads with
+20 phrases; this takes 11 s, of which splitting the sentences is 2.
 """
 
 from __future__ import annotations
