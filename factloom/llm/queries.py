@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, near_duplicates, neighbours, quality, secrets, token_count, token_output, warc
+from . import decontamination, divergence, language, mixing, near_duplicates, neighbours, quality, secrets, token_count, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours)
+    for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours, op11_divergence)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op6_near_duplicates": near_duplicates.ORACLE, "op7_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op6_near_duplicates": near_duplicates.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+}
