@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, language, mixing, near_duplicates, neighbours, quality, secrets, token_count, token_output, warc
+from . import decontamination, divergence, hard_negatives, language, mixing, near_duplicates, neighbours, quality, secrets, token_count, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours, op11_divergence)
+    for f in (op1_decontamination, op2_token_output, op3_token_count, op4_quality, op5_secrets, op6_near_duplicates, op7_mixing, op8_language, op9_warc, op10_neighbours, op11_divergence, op12_hard_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
