@@ -8,12 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders handed out and not yet removed, in order.
-_made: list[str] = []
+#: Folders handed out inside the innermost ``scratch`` of this context; a
+#: thread begins outside of any, so queries of other threads don't meet here.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @cache
@@ -45,7 +47,8 @@ def folder(spark: SparkSession, name: str) -> str:
     if root is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{_of_application(spark, root or _own_folder())}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (inside := _made.get()) is not None:
+        inside.append(path)
     return path
 
 
@@ -57,19 +60,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, keep: str = "\0") -> Iterator[None]:
-    """Folders made inside are removed at the end, but those whose name begins
-    with ``keep``. What is needed later must be written to one made before."""
-    before = len(_made)
+    """Folders made inside, by this thread, are removed at the end, but those
+    whose name begins with ``keep``, which then count as made around it. What
+    is needed later must be written to one made before."""
+    around, inside = _made.get(), []
+    token = _made.set(inside)
     try:
         yield
     finally:
-        inside = _made[before:]
-        del _made[before:]
+        _made.reset(token)
         for path in inside:
-            if path.rsplit("/", 1)[1].startswith(keep):
-                _made.append(path)
-            else:
+            if not path.rsplit("/", 1)[1].startswith(keep):
                 remove(spark, path)
+            elif around is not None:
+                around.append(path)
 
 
 def write_to(path: str, df: DataFrame, compression: str = "zstd") -> DataFrame:

@@ -82,3 +82,14 @@ def test_hits_equal_a_plain_version(spark):
     assert len(rows) == 300
     for r in rows:
         assert [tuple(h) for h in r.h] == plain(r.t), r.t
+
+
+@pytest.mark.parametrize("module", ["xxhash", "tokenizers", "public_tokenizers"])
+def test_imports_without_packages_of_the_optional_part(module):
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'facts' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_a_broken_module_of_the_library_is_not_hidden():
+    code = "import sys; sys.modules['factloom.operators.written'] = None; import __spark_entry__"
+    assert b"factloom.operators.written" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).stderr

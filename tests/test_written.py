@@ -1,6 +1,7 @@
 """Intermediate folders: where they lie and when they go."""
 
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,31 @@ def test_scratch_removes_what_was_made_inside(spark):
     assert spark.sparkContext.applicationId in gone
 
 
+def test_threads_keep_their_own_folders(spark):
+    """What one thread writes while another is inside scratch stays."""
+    written = {}
+
+    def other():
+        written["table"] = W.written(spark.range(5), "other")
+
+    with W.scratch(spark):
+        mine = W.folder(spark, "mine")
+        W.write_to(mine, spark.range(2))
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+    assert written["table"].count() == 5 and not os.path.exists(local(mine))
+
+
+def test_nested_scratch_hands_on_what_it_keeps(spark):
+    with W.scratch(spark):
+        with W.scratch(spark, keep="kept"):
+            kept = W.folder(spark, "kept")
+            W.write_to(kept, spark.range(2))
+        assert os.path.exists(local(kept))
+    assert not os.path.exists(local(kept))
+
+
 def test_parts_are_one_table(spark):
     parts = (spark.range(i, i + 2).withColumn("x", F.lit(i)) for i in range(3))
     assert W.appended(spark, parts, "id long, x int", "parts").count() == 6
