@@ -306,12 +306,11 @@ def norm(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The distinct content words of a text, plurals cut: by replacing words
-    in the normal form, where blanks alone part them."""
-    words = F.regexp_replace(norm(text), rf"(?<![^ ])(?:{'|'.join(STOPWORDS)}|[^ ])(?![^ ])", "")
-    words = F.regexp_replace(words, r"(?<![^ ])([^ ]{2,})ies(?![^ ])", "$1y")
-    words = F.regexp_replace(words, r"(?<![^ ])([^ ]{3,}[^ s])s(?![^ ])", "$1")
-    return F.array_distinct(F.array_remove(F.split(words, " "), ""))
+    """The distinct content words of a text, plurals cut."""
+    words = F.array_except(F.split(norm(text), " "), F.array(*map(F.lit, STOPWORDS)))
+    long = lambda w: F.length(w) >= 5
+    single = lambda w: F.when(long(w) & F.endswith(w, F.lit("ies")), F.concat(F.left(w, F.length(w) - 3), F.lit("y"))).when(long(w) & F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")), F.left(w, F.length(w) - 1)).otherwise(w)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 1), single))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

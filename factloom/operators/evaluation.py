@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.components import connected_components, frequent, lookup
 from factloom.operators.written import written
 
 # The normal quantile of the intervals, bootstrap replicates.
@@ -19,53 +20,172 @@ Z = 1.959963984540054
 REPLICATES = 10_000
 
 
+#: Articles with more pairs than PAIRS have theirs made from rare shared words;
+#: those with more edges than EDGES are matched one component at a time.
+PAIRS, EDGES = 1 << 14, 1 << 17
+
+#: The least Jaccard of quotes on either route, and of similar terms' words.
+FIRST, SECOND, SIMILAR = (1, 2), (3, 20), (17, 20)
+
+
+def _features(rows: DataFrame, key: str, quote: str, term: str, category: str, x: str) -> DataFrame:
+    return rows.select(
+        "article_id", F.col(key).cast("string").alias(key), T.tokens(F.col(quote)).alias(f"{x}_quote"), T.norm(F.col(term)).alias(f"{x}_term"),
+        T.tokens(F.col(term)).alias(f"{x}_words"), T.norm(F.col(category)).alias(f"{x}_category"),
+    )
+
+
+def word_pairs(gold: DataFrame, predicted: DataFrame, unit: list[str], least: tuple[int, int]) -> DataFrame:
+    """unit, event_id, prediction_id of the pairs of a unit (article, or
+    article and term) whose words may have the ``least`` Jaccard; all that have
+    it are among them. Both sides are unit, id, words (distinct).
+
+    At a Jaccard of r/s, sets of n and m words have at least r(n + m) / (r + s)
+    in common. In a fixed order of a unit's words the first common one
+    therefore has as many behind it, itself included, on both sides, which
+    rules out the last ones of a set. Words of one side only come first, rare
+    ones next, so what is ruled out are the unit's common words. How many are,
+    hangs on the partner's size: sizes go by powers of two, and each side gives
+    its words once for each power that the other side may have.
+    """
+    num, den = least
+    words = [rows.select(*unit, "id", F.size("words").alias("n"), F.explode("words").alias("word")) for rows in (gold, predicted)]
+    g, p = (w.groupBy(*unit, "word").agg(F.count(F.lit(1)).alias(f"n_{x}")) for w, x in zip(words, "gp"))
+    shared = written(g.join(p, [*unit, "word"]).select(*unit, "word", (F.col("n_g") * F.col("n_p")).alias("weight")), "shared-words")
+
+    def prefixes(rows: DataFrame, x: str) -> DataFrame:
+        n = F.col("n")
+        placed = rows.join(shared, [*unit, "word"]).groupBy(*unit, "id", "n").agg(F.array_sort(F.collect_list(F.struct("weight", "word"))).alias("own"))
+        # Behind the i-th shared word, itself included, are this many.
+        kept = placed.select(*unit, "id", "n", F.size("own").alias("shared"), F.posexplode("own").alias("i", "w")).withColumn("left", F.col("shared") - F.col("i"))
+        power = lambda c: F.floor(F.log2(c))
+        fewest, most = F.ceil(n * num / den), F.floor(n * den / num)
+        dealt = kept.withColumn("other", F.explode(F.sequence(power(fewest), power(most))))
+        fewest = F.greatest(fewest, F.expr("shiftleft(1L, CAST(other AS INT))"))
+        dealt = dealt.where(F.col("left") * (num + den) >= (n + fewest) * num)
+        own, other = power(n), F.col("other")
+        sizes = (own.alias("size_g"), other.alias("size_p")) if x == "g" else (other.alias("size_g"), own.alias("size_p"))
+        return dealt.select(*unit, F.col("w.word").alias("word"), *sizes, F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}"))
+
+    a, b = (prefixes(w, x) for w, x in zip(words, "gp"))
+    sizes = F.least("n_g", "n_p") * den >= F.greatest("n_g", "n_p") * num
+    enough = F.least("left_g", "left_p") * (num + den) >= (F.col("n_g") + F.col("n_p")) * num
+    found = a.join(b, [*unit, "word", "size_g", "size_p"]).where(sizes & enough)
+    return found.select(*unit, F.col("id_g").alias("event_id"), F.col("id_p").alias("prediction_id")).distinct()
+
+
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct character n-grams of a text."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (k - 1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(*(F.when(F.length(text) >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in sizes)))
+
+
+def holding_terms(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """article_id, whole, part: terms of an article of which one holds the
+    other. What holds a term holds its rarest three characters."""
+    grams = written(whole.select("article_id", F.col("term").alias("whole"), F.explode(_grams(F.col("term"), (1, 2, 3))).alias("gram")), "term-grams")
+    counts = grams.groupBy("article_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("term") < 3, F.array("term")).otherwise(_grams(F.col("term"), (3,)))
+    rarest = part.select("article_id", F.col("term").alias("part"), F.explode(own).alias("gram")).join(counts, ["article_id", "gram"], "left")
+    # A gram that no term has rules its own term out.
+    rarest = rarest.groupBy("article_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("article_id", "part", "r.gram")
+    return grams.join(rarest, ["article_id", "gram"]).where(F.contains("whole", "part")).select("article_id", "whole", "part")
+
+
+def similar_terms(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """article_id, event_term, term: each term of the events of an article,
+    and each of its predictions that is as similar as the second route asks:
+    equal, one in the other, or of about the same words."""
+    g, p = (written(rows.where(F.col(f"{x}_term") != "").select("article_id", F.col(f"{x}_term").alias("term"), F.col(f"{x}_words").alias("words")).distinct(), "terms") for rows, x in ((gold, "g"), (predicted, "p")))
+    sides = [rows.select("article_id", F.col("term").alias("id"), "words") for rows in (g, p)]
+    alike = word_pairs(*sides, ["article_id"], SIMILAR).select("article_id", F.col("event_id").alias("event_term"), F.col("prediction_id").alias("term"))
+    inside = holding_terms(g, p).select("article_id", F.col("whole").alias("event_term"), F.col("part").alias("term"))
+    around = holding_terms(p, g).select("article_id", F.col("part").alias("event_term"), F.col("whole").alias("term"))
+    return alike.union(inside).union(around).distinct()
+
+
+def rare_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """article_id, event_id, prediction_id of all pairs that may be edges:
+    for the first route those that share half of their words, for the second
+    those of similar terms that share some."""
+    g, p = (rows.select("article_id", F.col(key).alias("id"), F.col(f"{x}_term").alias("own"), F.col(f"{x}_quote").alias("words")) for rows, key, x in ((gold, "event_id", "g"), (predicted, "prediction_id", "p")))
+    first = word_pairs(g, p, ["article_id"], FIRST)
+    terms = written(similar_terms(gold, predicted), "similar-terms")
+    named = g.join(terms.withColumnRenamed("event_term", "own"), ["article_id", "own"])
+    second = word_pairs(named, p.withColumnRenamed("own", "term"), ["article_id", "term"], SECOND).drop("term")
+    return first.union(second).distinct()
+
+
+def near_records(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Pairs of records of an article, all edges among them: the product in
+    small articles, rare_pairs in large ones."""
+    counts = [rows.groupBy("article_id").agg(F.count(F.lit(1)).alias(n)) for rows, n in ((gold, "n_g"), (predicted, "n_p"))]
+    large = written(counts[0].join(counts[1], "article_id").where(F.col("n_g") * F.col("n_p") > PAIRS).select("article_id"), "large-articles")
+    if large.isEmpty():
+        return gold.join(predicted, "article_id")
+    (g, large_g), (p, large_p) = ((rows.join(large, "article_id", "left_anti"), rows.join(large, "article_id", "left_semi")) for rows in (gold, predicted))
+    pairs = rare_pairs(large_g, large_p).join(large_g, ["article_id", "event_id"]).join(large_p, ["article_id", "prediction_id"])
+    return g.join(p, "article_id").unionByName(pairs)
+
+
 def edges(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Pairs of the same article that may be the same event, with features.
 
     gold: event_id, article_id, evidence_quote_raw, event_term_raw,
     category_canonical. predicted: prediction_id, article_id, evidence_quote,
     raw_event_term, predicted_category. Normal forms and word sets are made
-    once per record, before the join.
+    once per record, and written before the join.
     """
-
-    def side(rows: DataFrame, key: str, quote: str, term: str, category: str, x: str) -> DataFrame:
-        return rows.select(
-            "article_id", F.col(key).cast("string").alias(key), T.tokens(F.col(quote)).alias(f"{x}_quote"), T.norm(F.col(term)).alias(f"{x}_term"),
-            T.tokens(F.col(term)).alias(f"{x}_words"), T.norm(F.col(category)).alias(f"{x}_category"),
-        )
-
-    g = side(gold, "event_id", "evidence_quote_raw", "event_term_raw", "category_canonical", "g")
-    p = side(predicted, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p")
+    g = written(_features(gold, "event_id", "evidence_quote_raw", "event_term_raw", "category_canonical", "g"), "events")
+    p = written(_features(predicted, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p"), "predictions")
     quote, term, same = F.col("quote_jaccard"), F.col("term_similarity"), F.col("category_exact")
-    first, second = (quote >= 0.5) & ((term >= 0.5) | same), (term >= 0.85) & (quote >= 0.15)
-    near = g.join(p, "article_id").withColumn("quote_jaccard", T.once(T.set_jaccard(F.col("g_quote"), F.col("p_quote")))).where(quote >= 0.15)
+    first, second = (quote >= 0.5) & ((term >= 0.5) | same), (term >= 0.85) & (quote >= SECOND[0] / SECOND[1])
+    near = near_records(g, p).withColumn("quote_jaccard", T.set_jaccard(F.col("g_quote"), F.col("p_quote"))).where(quote >= SECOND[0] / SECOND[1])
     similar = T.similarity_of(F.col("g_term"), F.col("p_term"), T.set_jaccard(F.col("g_words"), F.col("p_words")))
-    scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", T.once(similar)).where(first | second)
+    scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", similar).where(first | second)
     # The order of these additions decides ties in the last bit.
     rank = F.lit(0.60) * quote + F.lit(0.30) * term + F.lit(0.10) * same.cast("double")
     return scored.select("article_id", "event_id", "prediction_id", "quote_jaccard", "term_similarity", "category_exact", F.when(first, "route_1").otherwise("route_2").alias("route"), rank.alias("rank_score"))
 
 
+def match_units(rows: DataFrame) -> DataFrame:
+    """``rows`` (written edges) with ``unit``: rows of different units have no
+    record in common. It is 0 for small articles, and in large ones names the
+    connected component of the article's records."""
+    zero = F.lit(0).cast("long").alias("unit")
+    large = written(rows.groupBy("article_id").count().where(F.col("count") > EDGES).select("article_id"), "large-articles")
+    if large.isEmpty():
+        return rows.select("*", zero)
+    event, record = (F.xxhash64(F.lit(side), "article_id", key) for side, key in (("g", "event_id"), ("p", "prediction_id")))
+    many = rows.join(large, "article_id", "left_semi").withColumn("node", event)
+    labels = connected_components(many.select(F.col("node").alias("a"), record.alias("b")))
+    units = lookup(many, labels.withColumnRenamed("label", "unit"), "node", frequent(many, "node")).drop("node")
+    return rows.join(large, "article_id", "left_anti").select("*", zero).unionByName(units)
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
     """One-to-one matches of an article's edges, best first: by rank_score,
     quote_jaccard, term_similarity, then the ids as text. Rows of candidates
     must have article_id, event_id, prediction_id and those three.
 
-    Spark brings an article's edges together and in order, spilling as it
-    needs; one pass over them holds no edge, only the ids the current article
-    has used. (Taking mutually best edges in distributed rounds was tried: n
-    equal records on both sides then need n rounds.)
+    What is taken in one component of the match graph says nothing about
+    another, so a large article is as many units as it has components. Spark
+    brings a unit's edges together and in order, spilling as it needs; one pass
+    over them holds no edge, only the ids the current unit has used. (Taking
+    mutually best edges in distributed rounds was tried: n equal records on
+    both sides then need n rounds.)
     """
     order = [F.col(c).desc() for c in ("rank_score", "quote_jaccard", "term_similarity")] + [F.col("event_id"), F.col("prediction_id")]
-    ordered = candidates.repartition("article_id").sortWithinPartitions("article_id", *order)
+    units = match_units(written(candidates, "edges"))
+    ordered = units.repartition("article_id", "unit").sortWithinPartitions("article_id", "unit", *order)
 
     def run(batches):
-        article, events, records = None, set(), set()
+        current, events, records = None, set(), set()
         for batch in batches:
             keep = []
-            for a, e, p in zip(*(batch.column(c).to_pylist() for c in ("article_id", "event_id", "prediction_id"))):
-                if a != article:
-                    article, events, records = a, set(), set()
+            for *unit, e, p in zip(*(batch.column(c).to_pylist() for c in ("article_id", "unit", "event_id", "prediction_id"))):
+                if unit != current:
+                    current, events, records = unit, set(), set()
                 free = e not in events and p not in records
                 if free:
                     events.add(e)
@@ -73,7 +193,7 @@ def greedy(candidates: DataFrame) -> DataFrame:
                 keep.append(free)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return ordered.mapInArrow(run, candidates.schema)
+    return ordered.mapInArrow(run, units.schema).drop("unit")
 
 
 def eligible_ids(articles: DataFrame) -> DataFrame:

@@ -52,7 +52,11 @@ DOCUMENT_RULES: Rules = from_document(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One with fewer splits than there are cores, as a small file of
+    one row group is, is dealt out anew: what is computed per row would run on
+    one core otherwise. Tables of many splits are read as they are."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,65 @@ def test_bootstrap_query_draws_all_replicates(spark, monkeypatch):
     asked, bootstrap = [], E.bootstrap
     monkeypatch.setattr(E, "bootstrap", lambda counts, label, replicates=E.REPLICATES: asked.append(replicates) or bootstrap(counts, label, replicates))
     assert catalog.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").count() == 1 and asked == [10_000]
+
+
+def records_of(rnd, articles, n, words, common=()):
+    """n gold and n predicted records an article, some of them near copies."""
+    g, p = [], []
+    for a in range(articles):
+        for i in range(n):
+            quote = rnd.choices(words, k=rnd.choice([1, 2, 3, 6, 14])) + [c for c in common if rnd.random() < 0.8]
+            term, category = " ".join(quote[:2]), rnd.choice("CD")
+            g.append(gold(f"G{a}-{i:03d}", f"A{a}", " ".join(quote), term, category))
+            other = [w if rnd.random() < 0.6 else rnd.choice(words) for w in quote]
+            p.append(pred(f"P{a}-{i:03d}", f"A{a}", " ".join(other), rnd.choice([term, rnd.choice(words)]), rnd.choice("CD")))
+    return g, p
+
+
+@pytest.mark.parametrize("words, common", [(12, ()), (60, ("heavy", "light", "round", "square")), (400, ("heavy", "light"))])
+def test_rare_words_find_every_edge_of_the_product(spark, monkeypatch, words, common):
+    g, p = records_of(random.Random(words), 3, 60, [f"w{i}" for i in range(words)], common)
+    g, p = spark.createDataFrame(g, GOLD), spark.createDataFrame(p, PRED)
+    rows = lambda: sorted(map(tuple, E.edges(g, p).collect()))
+    product = rows()
+    monkeypatch.setattr(E, "PAIRS", 0)
+    assert len(product) > 100 and {r[6] for r in product} == {"route_1", "route_2"} and rows() == product
+
+
+def test_terms_that_hold_one_another(spark):
+    terms = ["a", "ab", "abc", "xabcx", "pain in knee", "in k", "knee", "%", "5%", "zz"]
+    df = spark.createDataFrame([("A", t) for t in terms], "article_id string, term string")
+    got = {(r.whole, r.part) for r in E.holding_terms(df, df).collect()}
+    assert got == {(w, t) for w in terms for t in terms if t in w}
+
+
+def test_pairs_grow_with_the_records_of_an_article(spark):
+    """20,000 records a side that share common words: a few pairs each."""
+    rnd = random.Random(8)
+    record = lambda i, n: f"w{i}a w{i}b w{i % (n // 4)}c w{i % (n // 3)}d heavy light round {rnd.choice(['x1', 'x2', 'x3'])}"
+    sides = {}
+    for n in (5_000, 20_000):
+        g = spark.createDataFrame([gold(f"G{i}", "A", record(i, n), f"w{i}a") for i in range(n)], GOLD)
+        p = spark.createDataFrame([pred(f"P{i}", "A", record(i, n), f"w{i}a") for i in range(n)], PRED)
+        sides[n] = g, p
+    pairs = {}
+    for n, (g, p) in sides.items():
+        features = E._features(g, "event_id", "evidence_quote_raw", "event_term_raw", "category_canonical", "g"), E._features(p, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p")
+        pairs[n] = E.rare_pairs(*features).count()
+    assert 20_000 <= pairs[20_000] < 10 * 20_000 and pairs[20_000] < 6 * pairs[5_000]
+    matches = E.greedy(E.edges(*sides[20_000]))
+    assert matches.where("substring(event_id, 2) = substring(prediction_id, 2)").count() == matches.count() == 20_000
+
+
+def test_a_large_article_is_matched_by_components(spark, monkeypatch):
+    """Chains, a large component and single edges; and their tasks."""
+    rnd = random.Random(6)
+    rows = [("A", f"G{i}", f"P{j}", rnd.choice([0.9, 0.5]), 0.5, 0.5) for i in range(40) for j in (i, i + 1)]
+    rows += [("A", f"H{rnd.randrange(30)}", f"Q{rnd.randrange(30)}", rnd.choice([0.9, 0.5, 0.1]), rnd.choice([0.1, 0.2]), 0.5) for _ in range(400)]
+    rows += [("A", f"S{i}", f"S{i}", 0.5, 0.5, 0.5) for i in range(300)] + [("B", "G1", "P1", 0.5, 0.5, 0.5), ("B", "G1", "P2", 0.4, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "article_id string, event_id string, prediction_id string, rank_score double, quote_jaccard double, term_similarity double").distinct()
+    expected = sequential(df.collect())
+    monkeypatch.setattr(E, "EDGES", 100)
+    units = E.match_units(E.written(df, "edges"))
+    assert units.where("article_id = 'A'").select("unit").distinct().count() > 300 and units.where("article_id = 'B'").select("unit").distinct().first().unit == 0
+    assert sorted((r.article_id, r.event_id, r.prediction_id) for r in E.greedy(df).collect()) == expected
