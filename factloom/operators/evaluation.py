@@ -140,8 +140,10 @@ def edges(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     p = written(_features(predicted, "prediction_id", "evidence_quote", "raw_event_term", "predicted_category", "p"), "predictions")
     quote, term, same = F.col("quote_jaccard"), F.col("term_similarity"), F.col("category_exact")
     first, second = (quote >= 0.5) & ((term >= 0.5) | same), (term >= 0.85) & (quote >= SECOND[0] / SECOND[1])
-    near = near_records(g, p).withColumn("quote_jaccard", T.set_jaccard(F.col("g_quote"), F.col("p_quote"))).where(quote >= SECOND[0] / SECOND[1])
     similar = T.similarity_of(F.col("g_term"), F.col("p_term"), T.set_jaccard(F.col("g_words"), F.col("p_words")))
+    # Either route wants one of these two, which are cheaper than the quotes.
+    alike = (F.col("g_category") == F.col("p_category")) | (similar >= 0.5)
+    near = near_records(g, p).where(alike).withColumn("quote_jaccard", T.set_jaccard(F.col("g_quote"), F.col("p_quote"))).where(quote >= SECOND[0] / SECOND[1])
     scored = near.withColumn("category_exact", F.col("g_category") == F.col("p_category")).withColumn("term_similarity", similar).where(first | second)
     # The order of these additions decides ties in the last bit.
     rank = F.lit(0.60) * quote + F.lit(0.30) * term + F.lit(0.10) * same.cast("double")
