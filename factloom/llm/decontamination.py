@@ -1,8 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item is contained in a document when at least ``containment`` of its
-distinct k-word shingles occur there. The items' shingles together are the
-universe; a document is first reduced to its shingles in that universe, which
+distinct k-word shingles occur there. An item of fewer than k words is one
+shingle of them all, sought at that width: a document is the set of its k-word
+shingles and of its shorter ones, of the widths that such items have, so the
+item is found wherever its words follow one another. The items' shingles
+together are the universe; a document is first reduced to its shingles in that universe, which
 changes no containment and leaves a set that a short item can match. One pass
 over the texts does that against a bit table of the universe, of a fixed size
 however many items there are; few documents keep a shingle, and the search
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -58,9 +61,20 @@ class Shingler:
     def __init__(self, k: int):
         self.k, self.words = k, Memo(xxhash.xxh3_64_intdigest)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def hashes(self, text: str | None) -> np.ndarray:
         words = WORD.findall((text or "").lower())
-        return shingle_set(np.fromiter(map(self.words.__getitem__, map(str.encode, words)), np.uint64, len(words)), self.k)
+        return np.fromiter(map(self.words.__getitem__, map(str.encode, words)), np.uint64, len(words))
+
+    def item(self, text: str | None) -> tuple[np.ndarray, int]:
+        """An item's shingles and their width, 0 without a word."""
+        h = self.hashes(text)
+        return shingle_set(h, self.k), min(self.k, len(h))
+
+    def document(self, text: str | None, widths: Sequence[int]) -> np.ndarray:
+        """The distinct shingles of the given widths."""
+        h = self.hashes(text)
+        sets = [shingle_set(h, w) for w in widths if w <= len(h)]
+        return sets[0] if len(sets) == 1 else np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
 
 
 def size_class(n: int) -> int:
@@ -177,17 +191,18 @@ class ItemIndex:
 
 
 def item_sets(benchmark: DataFrame, search: Search, unnamed: bool) -> DataFrame:
-    """item_id, shingles (array of long) of the items; those without a word
-    are skipped, those without an id unless ``unnamed``, equal rows count
+    """item_id, width, shingles (array of long) of the items; those without a
+    word are skipped, those without an id unless ``unnamed``, equal rows count
     once."""
     rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where(F.lit(unnamed) | F.col("item_id").isNotNull()).distinct()
 
     def run(batches):
         shingler = Shingler(search.k)
         for batch in slices(batches):
-            yield _with_sets([batch.column("item_id")], ["item_id"], [shingler(t) for t in batch.column("text").to_pylist()])
+            found = [shingler.item(t) for t in batch.column("text").to_pylist()]
+            yield _with_sets([batch.column("item_id"), pa.array([w for _, w in found], pa.int32())], ["item_id", "width"], [s for s, _ in found])
 
-    return materialize(rows.mapInArrow(run, "item_id long, shingles array<long>").where("size(shingles) > 0"), "benchmark-items")
+    return materialize(rows.mapInArrow(run, "item_id long, width int, shingles array<long>").where("width > 0"), "benchmark-items")
 
 
 def _with_sets(columns: list[pa.Array], names: list[str], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -216,13 +231,14 @@ def reduced_sets(docs: DataFrame, items: DataFrame, search: Search) -> DataFrame
     """doc_id, text_hash, shingles of the rows that keep one by the bit
     table. Texts are read here alone, once."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(items, search))
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # k at most
 
     def run(batches):
         table, shingler = shared.value, Shingler(search.k)
         for batch in slices(batches):
             sets, some = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                s = shingler(text)
+                s = shingler.document(text, widths)
                 at = s & np.uint64((1 << search.bits) - 1)
                 s = s[(table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
                 if len(s):
@@ -291,8 +307,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search(
     """One row per (document, item) found: doc_id, item_id, n_shared, n_item,
     containment.
 
-    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). A text of fewer
-    than k words is one shingle of them all. Null and empty texts contain and
+    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). An item of fewer
+    than k words is one shingle of them all, found in documents of any length
+    that hold these words in a row. Null and empty texts contain and
     are nothing; repeated documents give repeated rows, equal items count
     once, a repeated item_id with another text is searched on its own. An item
     whose item_id is null could not be named and gives no row, though
@@ -314,10 +331,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, search: Search = Sear
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN widths ON len(w) >= k)),
+bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment
 FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
 """

@@ -21,7 +21,7 @@ import re
 import uuid
 import zlib
 from array import array
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -207,12 +207,43 @@ def open_shard(path: str):
     return [pa.ipc.open_file(pa.memory_map(p) if local else fs.open_input_file(p)) for p in (f"{root}.arrow", f"{root}.docs.arrow")]
 
 
+class Shard:
+    """Random access to the sequences of a shard. Files are opened once, and
+    ids and packed mask bits are views of the mapped file."""
+
+    def __init__(self, path: str, rows: int = 256):
+        self.rows, self.reader = rows, open_shard(path)[0]
+        self.length = self.reader.schema.field("ids").type.list_size
+        self.batch = lru_cache(4)(self.reader.get_batch)
+
+    def _values(self, row: int, name: str) -> tuple[pa.Array, int]:
+        return self.batch(row // self.rows).column(name).values, row % self.rows * self.length
+
+    def ids(self, row: int) -> np.ndarray:
+        values, at = self._values(row, "ids")
+        return values.to_numpy()[at : at + self.length]
+
+    def mask_bits(self, row: int) -> tuple[np.ndarray, int]:
+        """The bytes that hold the row's mask, least bits first, and the bit
+        of the first one at which it begins."""
+        values, at = self._values(row, "mask")
+        at += values.offset
+        return np.frombuffer(values.buffers()[1], np.uint8)[at // 8 : -(-(at + self.length) // 8)], at % 8
+
+    def mask(self, row: int) -> np.ndarray:
+        """The row's mask, a boolean each: only its own bits are unpacked."""
+        held, begin = self.mask_bits(row)
+        return np.unpackbits(held, bitorder="little")[begin : begin + self.length].view(bool)
+
+
+_shard = lru_cache(64)(Shard)
+
+
 def sequence(path: str, row: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Random access: ids (a view of the mapped file) and mask of a row."""
-    batch = open_shard(path)[0].get_batch(row // rows)
-    length = batch.schema.field("ids").type.list_size
-    at = slice(row % rows * length, (row % rows + 1) * length)
-    return batch.column("ids").values.to_numpy()[at], batch.column("mask").values.to_numpy(zero_copy_only=False)[at]
+    """Ids (a view of the mapped file) and mask of a row of the shard, whose
+    reader stays open for the next."""
+    shard = _shard(path, rows)
+    return shard.ids(row), shard.mask(row)
 
 
 def _documents_of(path: str, start: int):

@@ -22,16 +22,21 @@ def plain_words(text):
 
 
 def plain_hits(docs, items, k, t):
+    """Items of fewer than k words are sought as they are, at their width."""
+
+    def grams(w, width):
+        return {tuple(w[j : j + width]) for j in range(len(w) - width + 1)}
+
     sets = {}
     for i, text in items:
         w = plain_words(text)
         if w and i is not None:
-            sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+            sets[i] = min(k, len(w)), grams(w, min(k, len(w)))
     out = []
     for d, text in docs:
         w = plain_words(text)
-        s = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-        out += [(d, i, len(s & q), len(q)) for i, q in sets.items() if len(s & q) >= t * len(q)]
+        of = {width: grams(w, width) for width, _ in sets.values()}
+        out += [(d, i, len(of[width] & q), len(q)) for i, (width, q) in sets.items() if len(of[width] & q) >= t * len(q)]
     return sorted(out, key=str)
 
 
@@ -86,6 +91,19 @@ def test_bands_miss_little():
                 assert (1 - shared / (q + x - shared)) ** bands <= search.miss * 1.0001
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    """Items of one to four words, in order and in a row; other documents
+    stay."""
+    filler = " ".join(f"f{i}" for i in range(300))
+    docs = [(1, f"{filler} Quantum tomato -- flies\nbackwards {filler}"), (2, f"{filler} tomato quantum flies backwards"), (3, "quantum tomato flies"), (4, f"one {filler} TWO three"), (5, "xylophone"), (6, filler), (7, "")]
+    items = [(10, "quantum tomato flies backwards"), (11, "Two, three"), (12, "xylophone"), (13, "tomato flies"), (14, "f1 f2 f3 f5"), (15, "f0 f1 f2 f3 f4 f5")]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], SCHEMA)
+    bench = spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(1, 10), (1, 13), (3, 13), (4, 11), (5, 12), (1, 15), (2, 15), (4, 15), (6, 15)}
+    assert [r.doc_id for r in decontamination.clean_documents(df, bench.where("item_id < 15")).orderBy("doc_id").collect()] == [2, 6, 7]
+
+
 def test_items_without_id_are_cleaned(spark):
     docs = spark.createDataFrame([(1, "x " * 9 + "a b c d e f g", None, None, None), (2, "x " * 9 + "h i j k l m n", None, None, None), (3, "x " * 9, None, None, None)], SCHEMA)
     bench = spark.createDataFrame([(None, "A b c d e f g", ""), (None, "h i j k l m n", ""), (None, None, ""), (7, "a b c d e f g", "")], ITEMS)

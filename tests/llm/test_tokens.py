@@ -107,11 +107,20 @@ def test_files_hold_the_documents_in_order(spark):
     assert len(ids) == start and zlib.crc32(np.array(ids[expected[0][1] : expected[0][2]], "<u4").tobytes()) == expected[0][3]
 
 
-def test_random_access_is_a_view(spark):
-    df = spark.createDataFrame([(1, "some words " * 50, "en", "s", 1)], SCHEMA)
-    path = token_output.write_sequences(df, WORD, 2, length=8, rows=4, shards=1).first().path
-    row, _ = token_output.sequence(path, 5, 4)
-    assert not row.flags.owndata and row.dtype == np.uint16
+@pytest.mark.parametrize("length, rows", [(8, 4), (13, 3), (1024, 40)])
+def test_random_access_is_a_view(spark, length, rows):
+    """Ids and packed masks are views, and a row's mask is its own bits."""
+    df = spark.createDataFrame([(1, "some words " * 300, "en", "s", 1)], SCHEMA)
+    path = token_output.write_sequences(df, WORD, 2, length=length, rows=rows, shards=1).first().path
+    table, shard = token_output.open_shard(path)[0].read_all(), token_output.Shard(path, rows)
+    for row, (ids, mask) in enumerate(zip(table.column("ids").to_pylist(), table.column("mask").to_pylist())):
+        got = token_output.sequence(path, row, rows)
+        assert got[0].tolist() == ids and got[1].tolist() == mask and got[1].dtype == bool
+        bits, _ = shard.mask_bits(row)
+        assert not got[0].flags.owndata and got[0].dtype == np.uint16 and not bits.flags.owndata and len(bits) <= length // 8 + 2
+    assert not mask[-1] or length == 8
+    first, again = (token_output.sequence(path, 0, rows)[0].__array_interface__["data"][0] for _ in range(2))
+    assert first == again
 
 
 def test_no_documents_no_shards(spark):
