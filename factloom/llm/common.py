@@ -7,15 +7,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from factloom.operators.components import connected_components, frequent, lookup
 from factloom.operators.written import appended, scratch
 from factloom.operators.written import folder as shared_dir
 from factloom.operators.written import write_to
 from factloom.operators.written import written as materialize
 
-__all__ = ["appended", "materialize", "scratch", "shared_dir", "write_to"]
+__all__ = ["appended", "connected_components", "frequent", "lookup", "materialize", "scratch", "shared_dir", "write_to"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -31,32 +31,6 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def frequent(rows: DataFrame, key: str, share: int = 1000) -> DataFrame | None:
-    """The keys that more than ``share`` rows and one in ``share`` of a written
-    table hold: fewer than ``share`` of them, whatever the input. None where
-    the table is too small for any."""
-    total = rows.count()
-    return rows.groupBy(key).count().where(F.col("count") > total // share + share).select(key) if total > share else None
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``rows`` left-joined with ``table``, which has a row per ``key``.
-
-    The keys of ``hot``, a table of bounded size as ``frequent`` gives it, are
-    looked up in a broadcast; their rows are dealt evenly in the join by key,
-    in which they find nothing, so no task gets all rows of a frequent key.
-    """
-    if hot is None:
-        return rows.join(table, key, "left")
-    values = [c for c in table.columns if c != key]
-    own = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("_hot"), F.struct(*values).alias("_near"))
-    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns).bitwiseOR(1)).otherwise(0)
-    marked = rows.join(F.broadcast(own), F.col(key) == F.col("_hot"), "left").withColumn("_spread", spread)
-    rest = table.select(key, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_far"))
-    found = marked.join(rest, [key, "_spread"], "left")
-    return found.select(*rows.columns, *(F.coalesce(f"_near.{v}", f"_far.{v}").alias(v) for v in values))
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's values as UTF-8 bytes; null becomes empty."""
     binary = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

@@ -248,7 +248,9 @@ def reduced_sets(docs: DataFrame, items: DataFrame, search: Search) -> DataFrame
                 yield _with_sets([batch.column(c).take(pa.array(some)) for c in ("doc_id", "text_hash")], ["doc_id", "text_hash"], sets)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return materialize(narrow.mapInArrow(run, "doc_id long, text_hash long, shingles array<long>"), "benchmark-reduced")
+    sets = materialize(narrow.mapInArrow(run, "doc_id long, text_hash long, shingles array<long>"), "benchmark-reduced")
+    shared.destroy()
+    return sets
 
 
 def text_hash(text: Column) -> Column:
@@ -286,9 +288,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, search: Search, unnamed:
     items = item_sets(benchmark, search, unnamed)
     reduced = reduced_sets(docs, items, search)
 
-    def scan(ids, sets):
-        shared = docs.sparkSession.sparkContext.broadcast(_Block(search, ids, sets))
-
+    def scan(shared):
         def run(batches):
             index = shared.value.index
             for batch in slices(batches):
@@ -300,7 +300,13 @@ def found_items(docs: DataFrame, benchmark: DataFrame, search: Search, unnamed:
 
         return reduced.mapInArrow(run, HITS)
 
-    return appended(docs.sparkSession, (scan(*block) for block in item_blocks(items, search.block)), HITS, "benchmark-hits")
+    def parts() -> Iterator[DataFrame]:
+        for block in item_blocks(items, search.block):
+            shared = docs.sparkSession.sparkContext.broadcast(_Block(search, *block))
+            yield scan(shared)
+            shared.destroy()
+
+    return appended(docs.sparkSession, parts(), HITS, "benchmark-hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:

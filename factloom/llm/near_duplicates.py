@@ -32,8 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, frequent, lookup, materialize, mix64, scratch, shared_dir, shingle_set, slices, utf8, write_to
-from .components import connected_components
+from .common import Memo, connected_components, frequent, lookup, materialize, mix64, scratch, shared_dir, shingle_set, slices, utf8, write_to
 
 #: Nodes of a part of a bucket; a key that more than one row in SHARE holds
 #: is looked up apart.

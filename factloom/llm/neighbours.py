@@ -13,6 +13,7 @@ is scored as well, so the result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,15 +173,22 @@ def search(index: Index, queries: DataFrame, k: int, rerank: int = 100, block: i
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block)) if index.quantiser else 0
-    found = appended(spark, (_scan(index, queries, b, blocks, k + 1, rerank) for b in range(blocks)), FOUND, "ann-found")
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            held = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").toArrow()
+            shared = spark.sparkContext.broadcast((held.column("qid").to_numpy(), matrix(held.column("vector").combine_chunks()), index.quantiser.books))
+            yield _scan(index, shared, k + 1, rerank)
+            shared.destroy()
+
+    found = appended(spark, parts(), FOUND, "ann-found")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 
 
-def _scan(index: Index, queries: DataFrame, b: int, blocks: int, per_query: int, rerank: int) -> DataFrame:
-    """The best rows of each task for the queries of block ``b``."""
-    held = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((held.column("qid").to_numpy(), matrix(held.column("vector").combine_chunks()), index.quantiser.books))
+def _scan(index: Index, shared, per_query: int, rerank: int) -> DataFrame:
+    """The best rows of each task for a block of queries: their ids, vectors
+    and the codebooks."""
 
     def run(batches):
         qids, q, books = shared.value

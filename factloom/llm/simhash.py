@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, lookup, materialize, slices, utf8
-from .components import connected_components
+from .common import connected_components, frequent, lookup, materialize, slices, utf8
 
 #: Rows of a part of a group; a fingerprint that more than one row in SHARE
 #: has is looked up apart.

@@ -7,7 +7,7 @@ import pytest
 
 from factloom.llm import common
 from factloom.llm import near_duplicates as nd
-from factloom.llm.components import connected_components
+from factloom.operators.components import connected_components
 
 from .brute import AWKWARD, SCHEMA, awkward, components, shingles
 

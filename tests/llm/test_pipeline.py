@@ -1,6 +1,7 @@
 """All stages of the pipeline against plain versions, and on awkward rows."""
 
 import random
+import threading
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from factloom.llm import mixing  # noqa: E402
+from factloom.llm import mixing, near_duplicates, token_output  # noqa: E402
 
 from .brute import SCHEMA, awkward, components  # noqa: E402
 from .test_filters import plain_hits, plain_quality, prose  # noqa: E402
@@ -102,3 +103,24 @@ def test_awkward_rows_go_through_all_stages(spark, tmp_path):
 def test_an_empty_corpus(spark, tmp_path):
     folder = written(spark, tmp_path, awkward(spark).where("false"), [], [])
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_queries_of_two_threads_at_once(spark):
+    """What one removes of its own is not the other's."""
+    docs, _, _ = corpus(5)
+    df, found, failed = spark.createDataFrame(docs, SCHEMA), {}, []
+
+    def run(name, f):
+        try:
+            found[name] = [sorted(map(tuple, f(df).collect())) for _ in range(2)]
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    tokens = lambda d: token_output.read_documents(token_output.write_sequences(d, corpus_pipeline.TOKENIZER, 2))
+    jobs = {"near": lambda d: near_duplicates.near_duplicates(d).select("doc_id", "component_id"), "tokens": tokens}
+    threads = [threading.Thread(target=run, args=job) for job in jobs.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and all(a == b and len(a) == len(docs) for a, b in found.values())
