@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators.components import connected_components, frequent, lookup
-from factloom.operators.written import written
+from factloom.operators.written import appended, written
 
 # The normal quantile of the intervals, bootstrap replicates.
 Z = 1.959963984540054
@@ -249,43 +249,121 @@ def article_counts(articles: DataFrame, matches: DataFrame, positives: DataFrame
     return out
 
 
-def draws(n: int, seed_label: str, replicates: int = REPLICATES, block: int = 1 << 22) -> Iterator[np.ndarray]:
-    """Blocks of rows of n drawn places, a row per replicate: the places that
-    ``randrange(n)`` of Python's Mersenne Twister gives, seeded with the first
-    64 bits of the label's SHA-256. A place takes as many leading bits of the
-    next word as n has, and the next word again while that is n or more."""
-    _, (*key, at), _ = random.Random(int(hashlib.sha256(seed_label.encode()).hexdigest()[:16], 16)).getstate()
+def seeded(label: str) -> dict:
+    """The state of Python's Mersenne Twister that the first 64 bits of the
+    label's SHA-256 seed, as numpy takes it."""
+    _, (*key, at), _ = random.Random(int(hashlib.sha256(label.encode()).hexdigest()[:16], 16)).getstate()
+    return {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+
+
+def drawn(twister: np.random.MT19937, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the next ``words`` words of the sequence give to ``randrange(n)``:
+    the leading bits of each, as many as n has, and whether they are a place
+    below n. Those that aren't are passed over."""
+    places = twister.random_raw(words) >> np.uint64(32 - n.bit_length())
+    return places, places < n
+
+
+def replicate_states(n: int, label: str, replicates: int, each: int = 100, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """Where the draws of every ``each``-th replicate of n places begin:
+    (first replicate, replicates, key and position of the generator, words to
+    skip). How many words a replicate takes is known only by looking at them,
+    so this passes over the sequence once, keeping none of it."""
+    twister, seen, first = np.random.MT19937(), 0, 0
+    twister.state = seeded(label)
+    while first < replicates:
+        state = twister.state["state"]
+        fit = np.flatnonzero(drawn(twister, n, step)[1])
+        while first < replicates and first * n <= seen + len(fit):
+            used = first * n - seen  # places of this step that are drawn before
+            yield first, min(each, replicates - first), state["key"].tobytes(), int(state["pos"]), int(fit[used - 1]) + 1 if used else 0
+            first += each
+        seen += len(fit)
+
+
+def replicate_places(n: int, replicates: int, key: bytes, position: int, skip: int, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(replicate, places) of a state: some or all of the n places of one
+    replicate after another, ``block`` words at a time."""
     twister = np.random.MT19937()
-    twister.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
-    shift, rows, held = np.uint64(32 - n.bit_length()), max(1, block // n), np.empty(0, np.int64)
-    while replicates:
-        rows = min(rows, replicates)
-        while len(held) < rows * n:
-            words = twister.random_raw(max(1024, (rows * n - len(held)) * 5 // 4)) >> shift
-            held = np.concatenate([held, words[words < n].astype(np.int64)])
-        yield held[: rows * n].reshape(rows, n)
-        held, replicates = held[rows * n :], replicates - rows
-
-
-def bootstrap(counts: DataFrame, seed_label: str, replicates: int = REPLICATES) -> DataFrame:
-    """Percentile intervals (2.5%, 97.5%) of precision, recall and f1 when
-    the articles of counts (article_id, tp, fp, fn) are drawn anew: one row.
-
-    The draws are one sequence over the articles in the order of their ids, so
-    one task makes them all; it holds three numbers per article and returns
-    three per replicate.
+    twister.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(key, np.uint32), "pos": position}}
+    twister.random_raw(skip)
+    at, left = 0, n
+    while at < replicates:
+        places, fit = drawn(twister, n, min(block, max(1024, 2 * n * replicates)))
+        places = places[fit].astype(np.int64)
+        while len(places) and at < replicates:
+            yield at, places[:left]
+            places, left = places[left:], left - min(left, len(places))
+            if not left:
+                at, left = at + 1, n
+
+
+def replicate_sums(counts: DataFrame, seed_label: str, replicates: int = REPLICATES, chunk: int = 1 << 20) -> DataFrame:
+    """replicate, tp, fp, fn: the sums over the articles that each replicate
+    draws, of ``counts`` (article_id, tp, fp, fn); no row without an article.
+
+    The draws are one seeded sequence over the articles in the order of their
+    ids. One task passes over it and writes the generator's state before every
+    hundredth replicate; from these, tasks draw independently. They get the
+    counts in chunks of at most ``chunk`` articles, one after another, and
+    sum the draws that fall into it.
     """
     names = ("tp", "fp", "fn")
+    spark = counts.sparkSession
+    ordered = written(counts.select("article_id", *(F.col(c).cast("long").alias(c) for c in names)).orderBy("article_id"), "bootstrap-counts")
+    n = ordered.count()
+    schema = "replicate long, tp long, fp long, fn long"
+    if not n:
+        return spark.createDataFrame([], schema)
+
+    def states(_):
+        for row in replicate_states(n, seed_label, replicates):
+            yield pa.record_batch([pa.array([v]) for v in row], names=["first", "replicates", "key", "position", "skip"])
+
+    starts = spark.range(1, numPartitions=1).mapInArrow(states, "first long, replicates long, key binary, position long, skip long")
+    starts = written(starts, "bootstrap-states").repartition(max(1, min(-(-replicates // 100), 4 * spark.sparkContext.defaultParallelism)))
+
+    def scan(shared) -> DataFrame:
+        def run(batches):
+            low, values = shared.value
+            for batch in batches:
+                for first, *state in zip(*(c.to_pylist() for c in batch.columns)):
+                    sums = np.zeros((state[0], 3), np.int64)
+                    for at, places in replicate_places(n, *state):
+                        places = places[(places >= low) & (places < low + values.shape[1])] - low
+                        sums[at] += values[:, places].sum(1)
+                    yield pa.record_batch([pa.array(c) for c in (first + np.arange(state[0]), *sums.T)], names=["replicate", *names])
+
+        return starts.mapInArrow(run, schema)
+
+    def parts() -> Iterator[DataFrame]:
+        for low, values in _chunks(ordered, names, chunk):
+            shared = spark.sparkContext.broadcast((low, values))
+            yield scan(shared)
+            shared.destroy()
+
+    sums = appended(spark, parts(), schema, "bootstrap-sums")
+    return sums.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _chunks(ordered: DataFrame, names: tuple[str, ...], chunk: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The first place and the columns of every ``chunk`` rows of a table
+    that is written in order; the driver holds one chunk."""
+    low, held = 0, []
+    for row in ordered.orderBy("article_id").select(*names).toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == chunk:
+            yield low, np.array(held, np.int64).T
+            low, held = low + chunk, []
+    if held:
+        yield low, np.array(held, np.int64).T
 
-    def run(batches):
-        of = [np.concatenate(x) for x in zip(*([b.column(c).to_numpy() for c in names] for b in batches if b.num_rows))]
-        if of:
-            for places in draws(len(of[0]), seed_label, replicates):
-                yield pa.record_batch([pa.array(x[places].sum(1), pa.int64()) for x in of], names=names)
 
-    ordered = counts.select("article_id", *(F.col(c).cast("long").alias(c) for c in names)).repartition(1).sortWithinPartitions("article_id")
-    sums = ordered.select(*names).mapInArrow(run, "tp long, fp long, fn long")
+def bootstrap(counts: DataFrame, seed_label: str, replicates: int = REPLICATES) -> DataFrame:
+    """Percentile intervals (2.5%, 97.5%) of precision, recall and f1 when
+    the articles of counts (article_id, tp, fp, fn) are drawn anew: one row."""
     c = F.col
+    sums = replicate_sums(counts, seed_label, replicates)
     rated = sums.select(ratio(c("tp"), c("tp") + c("fp"), 0.0).alias("precision"), ratio(c("tp"), c("tp") + c("fn"), 0.0).alias("recall")).withColumn("f1", f1(c("precision"), c("recall"), 0.0))
     return rated.agg(*(F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(m) for m in ("precision", "recall", "f1")))
 

@@ -4,9 +4,9 @@ One pass over batches of texts, without a shuffle. All phrases of a lexicon are
 one automaton over words: states are the beginnings of phrases, and a failure
 link leads from each to the longest other beginning that its end is, so every
 word of a text is looked at once, whatever the number of phrases. Where the
-words of a phrase stand in a row, its own pattern says whether what lies between
-them fits, too. Each phrase counts with its first match; overlaps are resolved
-by a fold over the matches in order.
+words of a phrase first stand in a row, its own pattern finds its first match,
+if what lies between them fits, too. Each phrase counts with its first match;
+overlaps are resolved by a fold over the matches in order.
 """
 
 from __future__ import annotations
@@ -45,14 +45,10 @@ class Match(NamedTuple):
     term: str
 
 
-def lower(text: str) -> str:
-    """In lower case, place by place; what matches an ASCII letter without
-    regard to case becomes it."""
-    return text.translate(ALIKE).lower()
-
-
 def words_of(text: str) -> list[str]:
-    return WORD.findall(lower(text))
+    """The runs of ASCII letters and digits, in lower case; what matches such
+    a letter without regard to case is one."""
+    return WORD.findall(text.translate(ALIKE).lower() if not text.isascii() else text.lower())
 
 
 def _pattern(phrase: str) -> re.Pattern:
@@ -67,10 +63,7 @@ class Lexicon:
         self.phrases = list(phrases)
         self.patterns = [_pattern(p.text) for p in self.phrases]
         spelt = [words_of(p.text) for p in self.phrases]
-        self.sizes = [len(w) for w in spelt]
-        self.wordless = [i for i, n in enumerate(self.sizes) if not n]
-        #: Those that begin with something else than their first word.
-        self.inner = {i for i, p in enumerate(self.phrases) if not WORD.match(lower(p.text.strip()))}
+        self.wordless = [i for i, words in enumerate(spelt) if not words]
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         for i, words in enumerate(spelt):
@@ -104,22 +97,14 @@ class Lexicon:
         for i in self.wordless:
             if m := self.patterns[i].search(text):
                 yield i, m
-        if self.vocabulary.isdisjoint(words):
-            return
-        state, known, starts = 0, set(), []
-        for at, word in enumerate(words):
-            state = self._step(state, word) if word in self.vocabulary else 0
+        state, last, known = 0, -2, set()
+        for at in [i for i, word in enumerate(words) if word in self.vocabulary]:
+            state, last = self._step(state if at == last + 1 else 0, words[at]), at
             for i in self.ends[state]:
-                if i in known:
-                    continue
-                if i in self.inner:
-                    m = self.patterns[i].search(text)
-                else:
-                    starts = starts or [w.start() for w in WORD.finditer(lower(text))]
-                    m = self.patterns[i].match(text, starts[at + 1 - self.sizes[i]])
-                if m:
+                if i not in known:
                     known.add(i)
-                    yield i, m
+                    if m := self.patterns[i].search(text):
+                        yield i, m
 
     def occur(self, text: str, words: list[str]) -> bool:
         """Whether any phrase does."""

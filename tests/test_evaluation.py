@@ -119,11 +119,24 @@ def test_bootstrap_draws(spark):
     assert E.bootstrap(df, "seed", 200).first().precision == pytest.approx([quantile(0.025), quantile(0.975)])
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
-def test_draws_are_those_of_the_seeded_sequence(n):
+@pytest.mark.parametrize("n, step", [(1, 1024), (2, 700), (7, 100), (64, 1 << 16), (1000, 999)])
+def test_draws_are_those_of_the_seeded_sequence(n, step):
+    """From every state on, whatever the steps of the scan and the blocks."""
     generator = random.Random(int(hashlib.sha256(b"label").hexdigest()[:16], 16))
-    rows = [row.tolist() for block in E.draws(n, "label", 40, 3000) for row in block]
-    assert rows == [[generator.randrange(n) for _ in range(n)] for _ in range(40)]
+    rows = {}
+    for first, count, *state in E.replicate_states(n, "label", 45, each=10, step=step):
+        for at, places in E.replicate_places(n, count, *state, block=300):
+            rows.setdefault(first + at, []).extend(places.tolist())
+    assert [rows[i] for i in range(45)] == [[generator.randrange(n) for _ in range(n)] for _ in range(45)]
+
+
+def test_bootstrap_sums_in_chunks_of_articles(spark):
+    counts = spark.createDataFrame([(f"A{i:03d}", i % 3, i % 5, i % 2) for i in range(100)], "article_id string, tp long, fp long, fn long")
+    whole = sorted(map(tuple, E.replicate_sums(counts, "label", 130).collect()))
+    assert whole == sorted(map(tuple, E.replicate_sums(counts, "label", 130, chunk=33).collect())) and len(whole) == 130
+    generator, values = random.Random(int(hashlib.sha256(b"label").hexdigest()[:16], 16)), [(i % 3, i % 5, i % 2) for i in range(100)]
+    draws = [[values[generator.randrange(100)] for _ in range(100)] for _ in range(130)]
+    assert whole == [(i, *map(sum, zip(*d))) for i, d in enumerate(draws)]
 
 
 def test_scoring_writes_everything(spark, tmp_path):
