@@ -594,7 +594,48 @@ def percentiles(spark, sf_dir):
     return p.select("source", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
 
 
-@query()
+# The Mersenne Twister's words, shifts and masks.
+WORDS, SHIFTED, MATRIX = 624, 397, 2567483615
+UPPER, LOWER = 2147483648, 2147483647
+TEMPER_B, TEMPER_C = 2636928640, 4022730752
+
+
+def bootstrap_sql(counts: str, label: str, replicates: int = E.REPLICATES) -> str:
+    """The intervals of the cluster bootstrap over ``counts`` (article_id, tp,
+    fp, fn), in SQL: a recursion over the generator's states from the seeded
+    one on, whose words are tempered, cut to the bits of a place, filtered,
+    numbered, and dealt to replicates in order."""
+    key = ", ".join(map(str, E.seeded(label)["state"]["key"]))
+    new = lambda a, b: f"xor((({a} & {UPPER}) | ({b} & {LOWER})) >> 1, CASE WHEN {b} & 1 = 1 THEN {MATRIX}::UBIGINT ELSE 0::UBIGINT END)"
+    # A state's words depend on older ones, or on new ones of the part before.
+    part = lambda first, last, other: f"list_transform(range({first}, {last + 1}), lambda k: xor({new('mt[k]', 'mt[k + 1]')}, {other}))"
+    n, m = WORDS, WORDS - SHIFTED
+    low_high = ((0.025, "low"), (0.975, "high"))
+    return f"""
+WITH RECURSIVE counts AS ({counts}),
+p AS (SELECT count(*) AS n, length(bin(count(*))) AS bits, {replicates} AS replicates FROM counts),
+twists AS (
+  SELECT 0 AS i, [{key}]::UBIGINT[] AS mt
+  UNION ALL SELECT i + 1, list_concat(list_concat(a, b), list_append(c, xor({new(f"mt[{n}]", "a[1]")}, b[{SHIFTED - m}])))
+  FROM (SELECT *, {part(2 * m + 1, n - 1, f"b[k - {2 * m}]")} AS c FROM (SELECT *, {part(m + 1, 2 * m, f"a[k - {m}]")} AS b FROM (SELECT *, {part(1, m, f"mt[k + {SHIFTED}]")} AS a FROM twists)))
+  WHERE i < (SELECT 2 + replicates * (1 << bits) * 21 // (20 * {n}) FROM p)),
+words AS (SELECT i, generate_subscripts(mt, 1) AS j, unnest(mt) AS w FROM twists WHERE i > 0),
+first AS (SELECT i, j, xor(w, w >> 11) AS w FROM words), second AS (SELECT i, j, xor(w, (w << 7) & {TEMPER_B}) AS w FROM first),
+third AS (SELECT i, j, xor(w, (w << 15) & {TEMPER_C}) AS w FROM second), tempered AS (SELECT i, j, xor(w, w >> 18) AS w FROM third),
+places AS (SELECT w >> (32 - bits) AS place, row_number() OVER (ORDER BY i, j) - 1 AS k, n, replicates FROM tempered, p WHERE w >> (32 - bits) < n),
+sums AS (
+  SELECT k // n AS replicate, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn
+  FROM places JOIN (SELECT row_number() OVER (ORDER BY article_id) - 1 AS place, tp, fp, fn FROM counts) USING (place) WHERE k < n * replicates GROUP BY ALL),
+rated AS (SELECT CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM sums),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN precision * recall * 2 / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM rated)
+SELECT {", ".join(f"round(quantile_cont({x}, {q}), 12) AS {x}_{b}" for x in ("precision", "recall", "f1") for q, b in low_high)} FROM f
+"""
+
+
+SOURCE_COUNTS_SQL = f"SELECT source AS article_id, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM ({SIGNALS_SQL}) GROUP BY source"
+
+
+@query(bootstrap_sql(SOURCE_COUNTS_SQL, "documents"))
 def bootstrap_intervals(spark, sf_dir):
     """Cluster bootstrap over sources; its draws are a seeded sequence."""
     s = _signals(spark, sf_dir)

@@ -17,7 +17,7 @@ from factloom.operators import governance as G
 from factloom.operators import selection
 from factloom.operators.written import folder
 from factloom.plans import queueing
-from factloom.plans.catalog import SEED, query, queue_sql, table
+from factloom.plans.catalog import SEED, bootstrap_sql, query, queue_sql, table
 from factloom.plans.catalog_articles import local_path, pick, text
 from factloom.plans.scoring import score
 from factloom.sources import sinks, tabular
@@ -106,12 +106,15 @@ def event_errors(spark, sf_dir):
     return positives.select(F.lit("FP").alias("kind"), F.col("prediction_id").alias("id"), "article_id").unionByName(negatives.select(F.lit("FN").alias("kind"), F.col("event_id").alias("id"), "article_id"))
 
 
-@query(
+ARTICLE_COUNTS_SQL = (
     EVENTS_SQL
     + """
 SELECT CAST(c_custkey AS VARCHAR) AS article_id, (SELECT count(*) FROM m WHERE c = c_custkey) AS tp, (SELECT count(*) FROM positives WHERE c = c_custkey) AS fp, (SELECT count(*) FROM negatives WHERE c = c_custkey) AS fn FROM customer WHERE c_custkey % 4 <> 0
 """
 )
+
+
+@query(ARTICLE_COUNTS_SQL)
 def article_scores(spark, sf_dir):
     """The same counts of each eligible article."""
     return E.article_counts(_articles(spark, sf_dir), *_outcomes(spark, sf_dir))
@@ -136,10 +139,10 @@ def field_scores(spark, sf_dir):
     return rows.select("m.metric", "m.a.correct", "m.a.eligible", *(F.round(F.col("m.a")[x], 10).alias(x) for x in ("accuracy",)), *(F.round(F.col("m.a.ci95")[b], 10).alias(b) for b in ("low", "high")))
 
 
-@query()
+@query(bootstrap_sql(ARTICLE_COUNTS_SQL, "orders"))
 def bootstrap_articles(spark, sf_dir):
     """Intervals of the event scores when articles are drawn anew, 10,000
-    times; the draws are a seeded sequence, held to it by tests."""
+    times, by a seeded sequence."""
     b = E.bootstrap(E.article_counts(_articles(spark, sf_dir), *_outcomes(spark, sf_dir)), "orders")
     return b.select(*(F.round(F.col(m)[i], 12).alias(f"{m}_{n}") for m in ("precision", "recall", "f1") for i, n in enumerate(("low", "high"))))
 
