@@ -20,7 +20,7 @@ from factloom.operators.predictions import COLUMNS, first_wins, numbered, predic
 from factloom.operators.tables import table_facts
 from factloom.operators.tagging import hits, matches
 from factloom.plans import adapters
-from factloom.sources import html, layout, sinks
+from factloom.sources import coordinates, html, layout, sinks
 from factloom.sources.rules import Rules, from_document
 
 SEED = "factloom-queue"
@@ -727,5 +727,4 @@ def word_clusters(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     word = F.struct(F.col("l_partkey").cast("string").alias("text"), (F.col("l_quantity") * 4).alias("x0"), (F.col("l_quantity") * 4 + 3).alias("x1"), (F.col("l_discount") * 100 + F.col("l_linenumber") * 0.7).alias("top"), (F.col("l_discount") * 100 + 9).alias("bottom"))
     pages = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    lines: Column = layout.word_lines(F.col("words"))
-    return pages.select("l_orderkey", F.posexplode(F.transform(lines, lambda line: layout.line_cells(line))).alias("line", "cells"))
+    return pages.select("l_orderkey", F.posexplode(coordinates.word_cells(F.col("words"))).alias("line", "cells"))

@@ -19,7 +19,7 @@ from factloom.operators.tables import table_facts
 from factloom.operators.written import folder
 from factloom.plans import adapters, extraction
 from factloom.plans.catalog import query, table
-from factloom.sources import articles, html, layout, pdf, sinks, tabular
+from factloom.sources import articles, coordinates, html, layout, pdf, sinks, tabular
 from factloom.sources.rules import Rules, from_document
 
 #: A small lexicon of what happens to orders.
@@ -418,7 +418,7 @@ def ruled_tables(spark, sf_dir):
     edge = lambda x0, x1, top: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(top).alias("top"))
     edges = F.array(edge(50.0, 200.0, 120.0), edge(200.0, 400.0, 120.0), edge(50.0, 400.0, 200.0), edge(55.0, 80.0, 140.0), edge(50.0, 120.0, 500.0))
     pages = o.select(F.col("o_orderkey").cast("string").alias("article_id"), F.lit(3).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), words.alias("words"), edges.alias("edges"))
-    found = layout.coordinate_tables(pages)
+    found = coordinates.coordinate_tables(pages)
     return found.select("article_id", "page", "label", "caption", "header_rows", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("cells"), "box.x0", "box.top", "box.x1", "box.bottom")
 
 
@@ -459,5 +459,5 @@ def pdf_texts(spark, sf_dir):
 @query("SELECT printf('AH-V%03d', s_suppkey % 1000) AS article_id, 2 AS page, 'Table 1' AS label, 'Variable,Group,A;early,' || s_suppkey || ',;late,3,' AS cells FROM supplier")
 def pdf_tables(spark, sf_dir):
     """The same by the words and rules of their pages."""
-    found = layout.coordinate_tables(pdf.pages(_pdf_files(spark, sf_dir), _words))
+    found = coordinates.coordinate_tables(pdf.pages(_pdf_files(spark, sf_dir), _words))
     return found.select("article_id", "page", "label", F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";").alias("cells"))

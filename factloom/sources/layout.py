@@ -1,7 +1,8 @@
-"""Extracted PDF text and words: sections, and tables by layout or rules.
+"""Extracted PDF text: sections, and tables by layout.
 
 Text and word extraction themselves lie outside; inputs are columns: plain
-text, layout text (pages parted by form feeds), or words and edges of a page.
+text, or layout text (pages parted by form feeds). ``coordinates`` has the
+tables of words and edges.
 """
 
 from __future__ import annotations
@@ -58,17 +59,18 @@ def plain_sections(texts: DataFrame) -> DataFrame:
 
 # ---- layout text to tables ----
 
-def _clean(text: str) -> str:
+def clean_text(text: str) -> str:
+    """As ``T.pdf_clean``."""
     text = text.translate({0x00AD: None, 0xFB01: "fi", 0xFB02: "fl"})
     return " ".join("".join(c for c in text if c in "\t\n\r" or 0x20 <= ord(c) <= 0xD7FF or 0xE000 <= ord(c) <= 0xFFFD or ord(c) >= 0x10000).split())
 
 
 def _cells(line: str) -> list[str]:
-    return [c for c in map(_clean, re.split(r"\s{2,}", line.strip())) if c]
+    return [c for c in map(clean_text, re.split(r"\s{2,}", line.strip())) if c]
 
 
 def _compact(line: str) -> str:
-    text = _clean(line)
+    text = clean_text(line)
     letters = [c for c in text if c.isalpha()]
     return "".join(text.split()) if letters and sum(map(str.isupper, letters)) >= 0.8 * len(letters) else text
 
@@ -90,8 +92,9 @@ def _is_prose(cells: list[str]) -> bool:
     return len(cells) == 2 and min(len(c.split()) for c in cells) >= 8 and not _digits(cells)
 
 
-def _caption(text: str) -> str:
-    text = _clean(text)
+def caption_from(text: str) -> str:
+    """As ``T.clean_caption``."""
+    text = clean_text(text)
     starts = [m.start() for m in re.finditer(T.CAPTION_CUES, text, re.I)]
     return text[starts[-1] :] if starts and starts[-1] > 20 else text
 
@@ -102,7 +105,7 @@ def _block(lines: list[str], at: int) -> tuple[list[str], int]:
     two empty lines end it."""
     held, rows, empty = [], False, 0
     while at < len(lines):
-        text, cells = _clean(lines[at]), _cells(lines[at])
+        text, cells = clean_text(lines[at]), _cells(lines[at])
         if rows and (_is_label(lines[at]) or text.lower() in T.HEADINGS or _is_prose(cells)):
             break
         rows = rows or len(cells) >= 2
@@ -126,7 +129,7 @@ def _rows(block: list[str]) -> tuple[str, list[list[str]]]:
             rows[-1][0] += f" {cells[0]}"
         elif cells:
             caption.append(cells[0])
-    return _caption(" ".join(caption)), rows
+    return caption_from(" ".join(caption)), rows
 
 
 def layout_tables(text: str) -> Iterator[dict]:
@@ -137,7 +140,7 @@ def layout_tables(text: str) -> Iterator[dict]:
             if not _is_label(lines[at]):
                 at += 1
                 continue
-            label = _clean(lines[at])
+            label = clean_text(lines[at])
             block, at = _block(lines, at + 1)
             caption, rows = _rows(block)
             if len(rows) < 2:
@@ -171,123 +174,3 @@ def parsed_layout(texts: DataFrame) -> DataFrame:
                     yield {"article_id": article, "table_seq": i, **table}
 
     return texts.select("article_id", "layout_text").mapInArrow(lambda b: as_batches(rows(b), TABLE_SCHEMA), TABLES)
-
-
-# ---- words and edges of a page to tables ----
-
-
-def clustered(items: Column, tolerance: float) -> Column:
-    """Items (structs with top and x0) in runs: an item begins a run when it
-    lies further than ``tolerance`` below the run's first."""
-    ordered = F.array_sort(items, lambda a, b: F.when(a["top"] != b["top"], F.signum(a["top"] - b["top"])).otherwise(F.signum(a["x0"] - b["x0"])).cast("int"))
-    empty = F.slice(F.transform(ordered, lambda w: F.array(w)), 1, 0)
-
-    def step(runs: Column, w: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        fresh = last.isNull() | (F.abs(last[0]["top"] - w["top"]) > tolerance)
-        grown = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.array_append(last, w)))
-        return F.when(fresh, F.array_append(runs, F.array(w))).otherwise(grown)
-
-    return F.aggregate(ordered, empty, step)
-
-
-def word_lines(words: Column, tolerance: float = 2.2) -> Column:
-    """Words (text, x0, x1, top, bottom) by baseline, each line by x0."""
-    by_x = lambda line: F.array_sort(line, lambda a, b: F.signum(a["x0"] - b["x0"]).cast("int"))
-    return F.transform(clustered(words, tolerance), by_x)
-
-
-def edge_spans(edges: Column, tolerance: float = 1.5) -> Column:
-    """Horizontal edges (x0, x1, top) drawn together to top, x0, x1, span."""
-
-    def span(run: Column) -> Column:
-        x0, x1 = F.array_min(F.transform(run, lambda e: e["x0"])), F.array_max(F.transform(run, lambda e: e["x1"]))
-        top = F.aggregate(run, F.lit(0.0), lambda s, e: s + e["top"]) / F.size(run)
-        return F.struct(top.alias("top"), x0.alias("x0"), x1.alias("x1"), (x1 - x0).alias("span"), F.size(run).alias("segments"))
-
-    return F.transform(clustered(edges, tolerance), span)
-
-
-def line_cells(line: Column, gap: float = 12.0) -> Column:
-    """The cells of a line of words: a new one begins ``gap`` behind all that
-    came before. Blank cells are left out."""
-    state = "struct<cells:array<string>,right:double>"
-    start = F.from_json(F.lit('{"cells":[]}'), state)
-
-    def step(s: Column, w: Column) -> Column:
-        text, apart = T.pdf_clean(w["text"]), s["right"].isNull() | (w["x0"] - s["right"] >= gap)
-        last = F.concat(F.try_element_at(s["cells"], F.lit(-1)), F.lit(" "), text)
-        grown = F.concat(F.slice(s["cells"], 1, F.greatest(F.size(s["cells"]) - 1, F.lit(0))), F.array(last))
-        return F.struct(F.when(apart, F.array_append(s["cells"], text)).otherwise(grown).alias("cells"), F.greatest(s["right"], w["x1"]).alias("right"))
-
-    return F.filter(F.transform(F.aggregate(line, start, step, lambda s: s["cells"]), T.pdf_clean), lambda c: c != "")
-
-
-def mentions(line: Column) -> Column:
-    """Where a line says Table N: x0, top and bottom of the line, number."""
-    top, bottom = F.array_min(F.transform(line, lambda w: w["top"])), F.array_max(F.transform(line, lambda w: w["bottom"]))
-
-    def mention(w: Column, i: Column) -> Column:
-        word = F.lower(F.regexp_replace(w["text"], "[^A-Za-z.]", ""))
-        number = F.regexp_replace(F.coalesce(F.get(line, i + 1)["text"], F.lit("")), "[^0-9A-Za-z]", "")
-        found = word.isin("table", "tab.") & number.rlike("(?i)^(?:[0-9]+|[ivxlcdm]+)$")
-        return F.when(found, F.struct(w["x0"].alias("x0"), top.alias("top"), bottom.alias("bottom"), number.alias("number")))
-
-    return F.array_compact(F.transform(line, mention))
-
-
-def table_box(mention: Column, edges: Column, width: Column, height: Column) -> Column:
-    """The ruled box under a mention: x0, top, x1, bottom; null if none."""
-    least = F.least(F.lit(150.0), width * 0.25)
-    near = F.filter(
-        edges,
-        lambda e: (e["span"] >= least) & (e["top"] >= mention["top"] - 8) & (e["top"] <= mention["bottom"] + 125) & (mention["x0"] >= e["x0"] - 20) & (mention["x0"] <= e["x1"] + 20),
-    )
-    below = F.filter(near, lambda e: e["top"] >= mention["bottom"] - 1)
-
-    def ranked(es: Column) -> Column:
-        named = {"d": lambda e: F.abs(e["top"] - mention["bottom"]), **{c: (lambda e, c=c: e[c]) for c in ("top", "x0", "x1", "span")}}
-        return F.array_min(F.transform(es, lambda e: F.named_struct(*(x for name, f in named.items() for x in (F.lit(name), f(e))))))
-
-    def box(head: Column) -> Column:
-        aligned = F.filter(
-            edges,
-            lambda e: (e["top"] >= head["top"] - 2)
-            & (e["top"] <= F.least(height - 5, head["top"] + 620))
-            & (F.abs(e["x0"] - head["x0"]) <= 18)
-            & (F.abs(e["x1"] - head["x1"]) <= 18)
-            & (e["span"] >= head["span"] * 0.8),
-        )
-        foot = F.array_max(F.transform(aligned, lambda e: e["top"]))
-        found = (F.size(aligned) >= 2) & (foot - head["top"] >= 18)
-        return F.when(found, F.struct(head["x0"].alias("x0"), head["top"].alias("top"), head["x1"].alias("x1"), foot.alias("bottom")))
-
-    return T.let(F.when(F.size(below) > 0, ranked(below)).otherwise(ranked(near)), box)
-
-
-def coordinate_tables(pages: DataFrame) -> DataFrame:
-    """Ruled tables of pages (article_id, page, width, height, words, edges):
-    article_id, page, label, caption, header_rows, grid, box.
-
-    The words that lie inside a box make its rows; a table has two rows of two
-    cells or more and one with a digit. A box that is mentioned twice on a
-    page counts once, by its first mention.
-    """
-    lines = word_lines(F.col("words"))
-    spanned = pages.select("article_id", "page", "width", "height", "words", edge_spans(F.col("edges")).alias("edges"))
-    found = spanned.select("*", F.posexplode(lines).alias("line_seq", "line"))
-    boxed = found.select("*", F.posexplode(mentions(F.col("line"))).alias("mention_seq", "mention")).withColumn("box", table_box(F.col("mention"), F.col("edges"), F.col("width"), F.col("height"))).where("box is not null")
-    key = F.struct(*(F.round(F.col(f"box.{c}"), 1).alias(c) for c in ("x0", "top", "x1", "bottom")))
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("article_id", "page", key).orderBy("line_seq", "mention_seq")
-    once = boxed.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    inside = F.filter("words", lambda w: (w["x0"] >= F.col("box.x0")) & (w["x1"] <= F.col("box.x1")) & (w["top"] >= F.col("box.top") + 0.5) & (w["bottom"] <= F.col("box.bottom") - 0.5))
-    rows = F.filter(F.transform(word_lines(F.col("inside")), lambda line: line_cells(line)), lambda r: F.size(r) > 0)
-    gridded = once.withColumn("inside", inside).withColumn("rows", rows)
-    good = (F.size("rows") >= 2) & (F.size(F.filter("rows", lambda r: F.size(r) >= 2)) >= 2) & F.exists("rows", lambda r: F.exists(r, lambda c: c.rlike(r"(?U)\d")))
-    wide = F.array_max(F.transform("rows", F.size))
-    grid = F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))))
-    said = F.array_join(F.transform("line", lambda w: w["text"]), " ")
-    caption = F.call_function("regexp_extract", said, F.concat(F.lit(r"(?iU)^[\s\S]*?\btable\s+"), F.col("mention.number"), F.lit(r"\b([\s\S]*)$")), F.lit(1))
-    return gridded.where(good).select("article_id", "page", F.concat(F.lit("Table "), "mention.number").alias("label"), T.clean_caption(caption).alias("caption"), F.lit(1).alias("header_rows"), grid.alias("grid"), "box")

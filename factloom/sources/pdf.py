@@ -76,7 +76,7 @@ def texts(found: DataFrame, plain: Callable[[bytes], str], layout: Callable[[byt
 
 def pages(found: DataFrame, read: Callable[[bytes], Iterable[dict]] = pdf_pages) -> DataFrame:
     """The PAGES of files (article_id, content), counted from 1: inputs of
-    ``layout.coordinate_tables``."""
+    ``coordinates.coordinate_tables``."""
 
     def rows(batches):
         for batch in batches:

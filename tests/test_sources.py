@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.sources import articles, html, layout
+from factloom.functions import text as T
+from factloom.sources import articles, coordinates, html, layout
 from factloom.sources.sinks import article_xml
 
 PAGE = """<html><body><h1 data-test="article-title">A  title</h1>
@@ -81,24 +82,56 @@ def test_layout_tables(spark):
     assert [(r.article_id, r.table_seq, r.page) for r in layout.parsed_layout(df).collect()] == [("A", 0, 1)]
 
 
-def plain_clusters(items, tolerance):
-    runs = []
+def plain_lines(items, tolerance=2.2):
+    found = []
     for w in sorted(items, key=lambda w: (w["top"], w["x0"])):
-        if not runs or abs(runs[-1][0]["top"] - w["top"]) > tolerance:
-            runs.append([w])
+        if not found or w["top"] - found[-1][0]["top"] > tolerance:
+            found.append([w])
         else:
-            runs[-1].append(w)
-    return [sorted(r, key=lambda w: w["x0"]) for r in runs]
+            found[-1].append(w)
+    return [sorted(r, key=lambda w: w["x0"]) for r in found]
 
 
-def test_clusters_compare_with_the_first_of_a_run(spark):
+def plain_cells(line, gap=12.0):
+    out, right = [], None
+    for w in line:
+        if right is None or w["x0"] - right >= gap:
+            out.append(w["text"])
+        else:
+            out[-1] += " " + w["text"]
+        right = max(w["x1"], w["x1"] if right is None else right)
+    return [c for c in (" ".join(c.split()) for c in out) if c]
+
+
+WORDS = "words array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>"
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 2000])
+def test_lines_and_cells_equal_plain_loops(spark, n):
+    """Pages of up to 2,000 words, several a batch, some without."""
     import random
 
-    rnd = random.Random(2)
-    words = [{"text": str(i), "x0": rnd.random() * 99, "x1": 100.0, "top": rnd.random() * 20, "bottom": 30.0} for i in range(40)]
-    schema = "words array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>"
-    got = spark.createDataFrame([(words,)], schema).select(layout.word_lines(F.col("words")).alias("v")).first().v
-    assert [[w.text for w in line] for line in got] == [[w["text"] for w in line] for line in plain_clusters(words, 2.2)]
+    rnd = random.Random(n)
+    pages = []
+    for _ in range(5):
+        words = []
+        for i in range(n):
+            x0, top = round(rnd.random() * 600, 1), round(rnd.random() * 900, 1)
+            words.append({"text": rnd.choice([f"w{i}", " ", "a\u00adb \ufb01"]), "x0": x0, "x1": x0 + rnd.choice([2.0, 9.0, 40.0]), "top": top, "bottom": top + 8})
+        pages.append((words,))
+    pages.append((None,))
+    got = [r.v for r in spark.createDataFrame(pages, WORDS).coalesce(1).select(coordinates.word_cells(F.col("words")).alias("v")).collect()]
+    clean = lambda words: [{**w, "text": layout.clean_text(w["text"])} for w in words or ()]
+    assert got == [[plain_cells(line) for line in plain_lines(clean(words))] for (words,) in pages]
+
+
+def test_rules_written_twice_agree(spark):
+    """Columns and plain functions of the same rules."""
+    texts = ["", " a\u00a0b\tc ", "so\u00adft of\ufb01ce \ufb02ow \x00\x0b x", "T A B L E 1 Events", "T a b l e 1", "Table 2. Outcomes", "tab. IV", "Events of the Table", "TABLE3", "Some words over twenty characters in all. Adverse events", "Baseline characteristics of the patients Comparison of outcomes after 3 weeks", "RESULTS", "a  b   c d  ", "1  2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    t = F.col("t")
+    got = rows.select(T.pdf_clean(t).alias("clean"), T.display_compact(t).alias("compact"), T.table_label(t).isNotNull().alias("label"), T.clean_caption(t).alias("caption"), T.split_columns(t).alias("cells")).collect()
+    assert [tuple(r) for r in got] == [(layout.clean_text(x), layout._compact(x), layout._is_label(x), layout.caption_from(x), layout._cells(x)) for x in texts]
 
 
 @pytest.fixture(scope="module")
@@ -112,11 +145,24 @@ def page(spark):
 
 
 def test_coordinate_tables(page):
-    rows = layout.coordinate_tables(page).collect()
+    rows = coordinates.coordinate_tables(page).collect()
     assert [(r.article_id, r.label, r.caption, r.grid) for r in rows] == [("A", "Table 1", "Events", [["Event", "Group A"], ["deep clot", "3"]])]
     assert (rows[0].box.x0, rows[0].box.x1, rows[0].box.bottom) == (50.0, 300.0, 190.0)
 
 
+def test_coordinate_tables_of_awkward_pages(spark, page):
+    """Nulls, words without a place, a box said twice, a page of 2,000 words,
+    no pages."""
+    first = page.where("article_id = 'A'").first().asDict(recursive=True)
+    word = lambda t, x0, top: {"text": t, "x0": x0, "x1": None if x0 is None else x0 + 6.0 * len(t or ""), "top": top, "bottom": top + 8}
+    noise = [word(f"n{i}", 310.0 + i % 200, 200.0 + i % 500) for i in range(2000)]
+    again = [word("Table", 200.0, 100.0), word("2", 235.0, 100.0)]
+    rows = [("N", 1, 600.0, 800.0, None, first["edges"]), ("M", 1, 600.0, 800.0, first["words"], None), ("W", 1, None, 800.0, first["words"], first["edges"]), ("P", 2, 600.0, 800.0, [*first["words"], *noise, *again, word("x", None, 3.0), word(None, 3.0, 3.0)], first["edges"])]
+    got = coordinates.coordinate_tables(spark.createDataFrame(rows, page.schema)).collect()
+    assert [(r.article_id, r.page, r.label, r.grid) for r in got] == [("P", 2, "Table 1", [["Event", "Group A"], ["deep clot", "3"]])]
+    assert coordinates.coordinate_tables(page.where("false")).collect() == []
+
+
 def test_article_xml_parses_back():
     xml = article_xml("T", [("Methods", ["m"]), ("Results", ["r"])], [{"label": "Table 1", "caption": "c", "header_rows": 1, "grid": [["a", "b"], ["1", "2"]], "page": 3}])
     rows = list(articles.items_of(xml))
