@@ -1,16 +1,20 @@
 """Words and ruled lines of PDF pages to tables.
 
 One pass over Arrow batches of pages, without a shuffle. The words of a batch
-are sorted once by page, baseline and place, and swept page by page: a baseline
+are sorted at once by page, top and place, and swept page by page: a baseline
 ends where the next word lies too far below its first one. Rules are swept the
-same way, boxes are chosen by masks over a page's rules, and cells by the gaps
-between the words of a line.
+same way, and cells end at the gaps between the words of a line, so a page
+costs as much as it has words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from math import inf
+from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,121 +32,125 @@ MENTION, NUMBER = re.compile("[^A-Za-z.]").sub, re.compile("[^0-9A-Za-z]").sub
 NUMBERED = re.compile("[0-9]+|[ivxlcdm]+", re.IGNORECASE).fullmatch
 
 
-class Items:
-    """The items of all pages of a batch, from a column of lists of structs,
-    sorted by page, top and x0. Items without a place are left out."""
+class Word(NamedTuple):
+    x0: float
+    x1: float
+    top: float
+    bottom: float
+    text: str
 
-    def __init__(self, column: pa.ListArray, numbers: tuple[str, ...]):
-        values, offsets = column.values, column.offsets.to_numpy()
-        places = {c: values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
-        page = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        kept = np.arange(offsets[0], offsets[-1])
-        whole = ~np.any([np.isnan(p[kept]) for p in places.values()], axis=0)
-        kept, page = kept[whole], page[whole]
-        order = np.lexsort((places["x0"][kept], places["top"][kept], page))
-        self.at, page = kept[order], page[order]
-        self.starts = np.searchsorted(page, np.arange(len(offsets)))
-        self.places = {c: p[self.at] for c, p in places.items()}
 
-    def of(self, page: int) -> dict[str, np.ndarray]:
-        some = slice(self.starts[page], self.starts[page + 1])
-        return {"at": self.at[some], **{c: p[some] for c, p in self.places.items()}}
+class Edge(NamedTuple):
+    x0: float
+    x1: float
+    top: float
 
+    @property
+    def span(self) -> float:
+        return self.x1 - self.x0
 
-def runs(top: np.ndarray, tolerance: float) -> Iterator[slice]:
+
+def items_of(column: pa.ListArray, kind: type) -> list[list]:
+    """The words or edges of each page of a batch, from a column of lists of
+    structs, in order of top and x0. Those without a place are left out."""
+    values, offsets = column.values, column.offsets.to_numpy()
+    places = {c: values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in kind._fields if c != "text"}
+    page, kept = np.repeat(np.arange(len(column)), np.diff(offsets)), np.arange(offsets[0], offsets[-1])
+    whole = ~np.any([np.isnan(p[kept]) for p in places.values()], axis=0)
+    kept, page = kept[whole], page[whole]
+    order = np.lexsort((places["x0"][kept], places["top"][kept], page))
+    kept, page = kept[order], page[order]
+    parts = [p[kept].tolist() for p in places.values()]
+    if kind is Word:
+        parts.append([clean_text(t or "") for t in values.field("text").take(pa.array(kept)).to_pylist()])
+    found, starts = list(map(kind, *parts)), np.searchsorted(page, np.arange(len(column) + 1)).tolist()
+    return [found[i:j] for i, j in zip(starts, starts[1:])]
+
+
+def runs(items: list, tolerance: float) -> Iterator[list]:
     """Of items sorted by top, the runs that begin where one lies further
     than ``tolerance`` below the first of the run before."""
     begin = 0
-    while begin < len(top):
-        end = begin + 1 + int(np.searchsorted(top[begin + 1 :] - top[begin] > tolerance, True))
-        yield slice(begin, end)
-        begin = end
+    for i in range(1, len(items) + 1):
+        if i == len(items) or items[i].top - items[begin].top > tolerance:
+            yield items[begin:i]
+            begin = i
 
 
-def lines(words: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
+def lines(words: list[Word]) -> list[list[Word]]:
     """Words by baseline, each line by x0."""
-    found = []
-    for run in runs(words["top"], BASELINE):
-        order = np.argsort(words["x0"][run], kind="stable")
-        found.append({c: v[run][order] for c, v in words.items()})
-    return found
+    return [sorted(run, key=lambda w: w.x0) for run in runs(words, BASELINE)]
 
 
-def spans(edges: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Horizontal rules drawn together: the mean top, the ends, their span."""
-    found = [(np.cumsum(edges["top"][run])[-1] / (run.stop - run.start), edges["x0"][run].min(), edges["x1"][run].max()) for run in runs(edges["top"], RULE)]
-    top, x0, x1 = np.array(found).T if found else np.empty((3, 0))
-    return {"top": top, "x0": x0, "x1": x1, "span": x1 - x0}
+def rules_of(edges: list[Edge]) -> list[Edge]:
+    """Horizontal edges drawn together: the ends, and the mean top."""
+    return [Edge(min(e.x0 for e in run), max(e.x1 for e in run), reduce(add, (e.top for e in run)) / len(run)) for run in runs(edges, RULE)]
 
 
-def cells(line: dict[str, np.ndarray], text: list[str]) -> list[str]:
+def cells(line: list[Word]) -> list[str]:
     """The cells of a line: a new one begins GAP behind all that came before.
     Blank cells are left out."""
-    before = np.maximum.accumulate(line["x1"])[:-1]
-    begins = np.flatnonzero(np.r_[True, line["x0"][1:] - before >= GAP]) if len(line["at"]) else []
-    said = [clean_text(text[i]) for i in line["at"]]
-    joined = (clean_text(" ".join(said[a:b])) for a, b in zip(begins, [*begins[1:], len(said)]))
+    found, right = [], -inf
+    for w in line:
+        if w.x0 - right >= GAP:
+            found.append([])
+        found[-1].append(w.text)
+        right = max(right, w.x1)
+    joined = (clean_text(" ".join(c)) for c in found)
     return [c for c in joined if c]
 
 
-def mentions(line: dict[str, np.ndarray], text: list[str]) -> Iterator[tuple[float, str]]:
+def mentions(line: list[Word]) -> Iterator[tuple[float, str]]:
     """Where a line says Table N: x0 and the number."""
-    said = [text[i] for i in line["at"]]
-    for i, word in enumerate(said):
-        if MENTION("", word).lower() in ("table", "tab."):
-            number = NUMBER("", said[i + 1] if i + 1 < len(said) else "")
+    for i, word in enumerate(line):
+        if MENTION("", word.text).lower() in ("table", "tab."):
+            number = NUMBER("", line[i + 1].text if i + 1 < len(line) else "")
             if NUMBERED(number):
-                yield line["x0"][i], number
+                yield word.x0, number
 
 
-def box_of(x0: float, top: float, bottom: float, rules: dict[str, np.ndarray], width: float, height: float) -> tuple[float, ...] | None:
+def box_of(x0: float, top: float, bottom: float, rules: list[Edge], width: float, height: float) -> tuple[float, ...] | None:
     """The ruled box under a mention: x0, top, x1, bottom; None if none. Its
     head is the long rule next to the mention, below it if there is one; its
     foot the last rule that is aligned with the head."""
-    near = (rules["span"] >= min(150.0, width * 0.25)) & (rules["top"] >= top - 8) & (rules["top"] <= bottom + 125) & (x0 >= rules["x0"] - 20) & (x0 <= rules["x1"] + 20)
-    below = near & (rules["top"] >= bottom - 1)
-    some = np.flatnonzero(below if below.any() else near)
-    if not len(some):
+    least = min(150.0, width * 0.25)
+    near = [e for e in rules if e.span >= least and top - 8 <= e.top <= bottom + 125 and e.x0 - 20 <= x0 <= e.x1 + 20]
+    near = [e for e in near if e.top >= bottom - 1] or near
+    if not near:
         return None
-    order = [rules[c][some] for c in ("span", "x1", "x0", "top")] + [np.abs(rules["top"][some] - bottom)]
-    head = {c: v[some[np.lexsort(order)[0]]] for c, v in rules.items()}
-    aligned = (rules["top"] >= head["top"] - 2) & (rules["top"] <= min(height - 5, head["top"] + 620)) & (np.abs(rules["x0"] - head["x0"]) <= 18) & (np.abs(rules["x1"] - head["x1"]) <= 18) & (rules["span"] >= head["span"] * 0.8)
-    if aligned.sum() < 2 or rules["top"][aligned].max() - head["top"] < 18:
+    head = min(near, key=lambda e: (abs(e.top - bottom), e.top, e.x0, e.x1))
+    aligned = [e.top for e in rules if head.top - 2 <= e.top <= min(height - 5, head.top + 620) and abs(e.x0 - head.x0) <= 18 and abs(e.x1 - head.x1) <= 18 and e.span >= head.span * 0.8]
+    if len(aligned) < 2 or max(aligned) - head.top < 18:
         return None
-    return tuple(map(float, (head["x0"], head["top"], head["x1"], rules["top"][aligned].max())))
+    return head.x0, head.top, head.x1, max(aligned)
 
 
-def page_tables(words: dict[str, np.ndarray], text: list[str], edges: dict[str, np.ndarray], width: float, height: float) -> Iterator[tuple]:
+def page_tables(words: list[Word], edges: list[Edge], width: float, height: float) -> Iterator[tuple]:
     """label, caption, header rows, grid and box of a page's tables."""
-    rules, known = None, set()
+    rules, known = rules_of(edges), set()
     for line in lines(words):
-        for x0, number in mentions(line, text):
-            rules = spans(edges) if rules is None else rules
-            box = box_of(x0, line["top"].min(), line["bottom"].max(), rules, width, height)
+        for x0, number in mentions(line):
+            box = box_of(x0, min(w.top for w in line), max(w.bottom for w in line), rules, width, height)
             key = box and tuple(round(c, 1) for c in box)
             if not box or key in known:
                 continue
             known.add(key)
-            inside = (words["x0"] >= box[0]) & (words["x1"] <= box[2]) & (words["top"] >= box[1] + 0.5) & (words["bottom"] <= box[3] - 0.5)
-            rows = [r for r in (cells(l, text) for l in lines({c: v[inside] for c, v in words.items()})) if r]
+            left, top, right, bottom = box
+            inside = [w for w in words if w.x0 >= left and w.x1 <= right and w.top >= top + 0.5 and w.bottom <= bottom - 0.5]
+            rows = [r for r in map(cells, lines(inside)) if r]
             if sum(len(r) >= 2 for r in rows) < 2 or not any(re.search(r"\d", c) for r in rows for c in r):
                 continue
-            said = re.search(rf"\btable\s+{number}\b([\s\S]*)$", " ".join(text[i] for i in line["at"]), re.IGNORECASE)
+            said = re.search(rf"\btable\s+{number}\b([\s\S]*)$", " ".join(w.text for w in line), re.IGNORECASE)
             wide = max(map(len, rows))
             yield f"Table {number}", caption_from(said[1] if said else ""), 1, [r + [""] * (wide - len(r)) for r in rows], dict(zip(BOX, box))
 
 
-def _texts(column: pa.ListArray) -> list[str]:
-    return [t or "" for t in column.values.field("text").to_pylist()]
-
-
 def word_cells(words: Column) -> Column:
     """The lines of an array of words (text, x0, x1, top, bottom), each as
     its cells. Null has none."""
 
     def found(column: pa.Array) -> pa.Array:
-        items, text = Items(column, ("x0", "x1", "top")), _texts(column)
-        return pa.array([[cells(line, text) for line in lines(items.of(page))] for page in range(len(column))], pa.list_(pa.list_(pa.string())))
+        return pa.array([list(map(cells, lines(page))) for page in items_of(column, Word)], pa.list_(pa.list_(pa.string())))
 
     return F.arrow_udf(found, "array<array<string>>")(words)
 
@@ -164,9 +172,8 @@ def coordinate_tables(pages: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, edges, text = Items(batch.column("words"), BOX), Items(batch.column("edges"), ("x0", "x1", "top")), _texts(batch.column("words"))
-            width, height = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("width", "height"))
-            found = [(page, *table) for page in range(batch.num_rows) for table in page_tables(words.of(page), text, edges.of(page), width[page], height[page])]
+            pages = zip(items_of(batch.column("words"), Word), items_of(batch.column("edges"), Edge), batch.column("width").to_pylist(), batch.column("height").to_pylist())
+            found = [(i, *table) for i, page in enumerate(pages) for table in page_tables(*page)]
             page, *columns = zip(*found) if found else ([],) * 6
             own = pa.array(page, pa.int64())
             yield pa.record_batch([batch.column("article_id").take(own), batch.column("page").take(own), *map(pa.array, columns, TABLE_TYPES)], names=["article_id", "page", *names])

@@ -61,6 +61,8 @@ def plain_sections(texts: DataFrame) -> DataFrame:
 
 def clean_text(text: str) -> str:
     """As ``T.pdf_clean``."""
+    if text.isascii() and text.isprintable():
+        return " ".join(text.split())
     text = text.translate({0x00AD: None, 0xFB01: "fi", 0xFB02: "fl"})
     return " ".join("".join(c for c in text if c in "\t\n\r" or 0x20 <= ord(c) <= 0xD7FF or 0xE000 <= ord(c) <= 0xFFFD or ord(c) >= 0x10000).split())
 
