@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.written import written
+from factloom.operators.numbering import with_place
 from factloom.sources.rules import Rules
 
 #: Internal name -> name in sinks, in the order of sinks.
@@ -57,20 +57,10 @@ def first_wins(records: DataFrame) -> DataFrame:
 
 
 def numbered(records: DataFrame, prefix: str = "AH12", order: tuple[str, ...] = ("article_id", "emit_seq")) -> DataFrame:
-    """prediction_id: the prefix and each record's place, four digits or more.
-
-    Places come from counts of the range partitions of the order, one row per
-    partition, not from a sort of all records in one task. The records are
-    written first, as finding the ranges reads them once and dealing them once
-    more, and so are the partitions, so that counts and records see the same.
-    """
-    parts = written(records, "records").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    parts = written(parts, "numbered")
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counts.select("_part", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift"))
-    place = F.col("_id") + F.col("_shift") + 1
-    return parts.join(starts, "_part").withColumn("prediction_id", F.concat(F.lit(f"{prefix}-"), F.when(place < 10_000, F.lpad(place.cast("string"), 4, "0")).otherwise(place.cast("string")))).drop("_part", "_id", "_shift")
+    """prediction_id: the prefix and each record's place, four digits or more."""
+    place = F.col("_place")
+    number = F.when(place < 10_000, F.lpad(place.cast("string"), 4, "0")).otherwise(place.cast("string"))
+    return with_place(records, order, "_place").withColumn("prediction_id", F.concat(F.lit(f"{prefix}-"), number)).drop("_place")
 
 
 def for_sink(records: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.numbering import with_place, with_place_in
+from factloom.operators.written import written
 
 # Statuses in candidate lists.
 ELIGIBLE = "ELIGIBLE_ALL_PREFREEZE_GATES"
@@ -54,8 +59,7 @@ def audited(pool: DataFrame, pdf: DataFrame, enriched: DataFrame, seed: str) ->
 def round_robin(rows: DataFrame, seed: str, family: str = "publisher_family", key: str = "selection_key") -> DataFrame:
     """rows with turn (1-based place in their family by key) and family_key;
     (turn, family_key) is the order of a round-robin over families."""
-    turn = F.row_number().over(Window.partitionBy(family).orderBy(key))
-    return rows.withColumn("turn", turn).withColumn("family_key", T.seeded_key(seed, "family", F.col(family)))
+    return with_place_in(rows, family, (key,), "turn").withColumn("family_key", T.seeded_key(seed, "family", F.col(family)))
 
 
 def first_per_family(ordered: DataFrame, n: int = 5) -> DataFrame:
@@ -63,53 +67,61 @@ def first_per_family(ordered: DataFrame, n: int = 5) -> DataFrame:
     return ordered.where("turn = 1").orderBy("family_key").limit(n)
 
 
+def _behind(row: Row, order: list[str]) -> Column:
+    """Whether a row comes after ``row`` in ``order``."""
+    behind = F.lit(False)
+    for c in reversed(order):
+        behind = (F.col(c) > row[c]) | ((F.col(c) == row[c]) & behind)
+    return behind
+
+
 def capped(ordered: DataFrame, size: int = 50, family_cap: int = 20, journal_cap: int = 5, aip_cap: int = 5) -> DataFrame:
     """The rows that a pass in order selects: one is skipped once its family,
     journal or AIP status is at its cap, and the pass ends at ``size``; fewer
-    is an error.
+    is an error. ``ordered`` is a written table.
 
-    A row skipped for a cap stays skipped, as caps only fill, and with it all
-    later rows equal in family, journal and status. Of each such class only
-    the first journal_cap rows can be selected, and the fold sees only those.
+    The pass reads the first rows in order, four times as many as are wanted,
+    and counts what it takes by family, journal and status. What is at its cap
+    then stays so, so the next read leaves its rows out and goes on behind the
+    last one seen; the first row of every read is taken, so there are ``size``
+    reads at most, each of a few hundred rows, however long the list.
     """
-    aip = F.col("publication_version") == AIP
-    order = ["turn", "family_key"]
-    within = Window.partitionBy("publisher_family", "journal", aip).orderBy(*order)
-    few = ordered.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= journal_cap)
-    rows = few.agg(F.array_sort(F.collect_list(F.struct(*order, "source_candidate_id", "publisher_family", "journal", F.coalesce(aip, F.lit(False)).alias("aip")))).alias("rows"))
-    count = lambda a, f: F.size(F.filter(a, f))
-
-    def step(taken: Column, r: Column) -> Column:
-        full = (
-            (F.size(taken) >= size)
-            | (count(taken, lambda t: t["publisher_family"] == r["publisher_family"]) >= family_cap)
-            | (count(taken, lambda t: t["journal"] == r["journal"]) >= journal_cap)
-            | (r["aip"] & (count(taken, lambda t: t["aip"]) >= aip_cap))
-        )
-        return F.when(full, taken).otherwise(F.array_append(taken, r))
-
-    taken = rows.select(F.aggregate("rows", F.slice("rows", 1, 0), step).alias("taken"))
-    message = F.concat(F.lit(f"unable to select {size} under caps; selected "), F.size("taken").cast("string"))
-    checked = taken.select(F.when(F.size("taken") == size, F.col("taken")).otherwise(F.raise_error(message)).alias("taken"))
-    chosen = checked.select(F.explode("taken").alias("t")).select("t.source_candidate_id")
-    return ordered.join(chosen, "source_candidate_id", "left_semi")
+    caps = {"publisher_family": family_cap, "journal": journal_cap, "aip": aip_cap}
+    order = ["turn", "family_key", "source_candidate_id"]
+    aip = F.coalesce(F.col("publication_version") == AIP, F.lit(False))
+    rows = ordered.select(*order, *(F.coalesce(c, F.lit("")).alias(c) for c in ("publisher_family", "journal")), F.when(aip, "aip").alias("aip"))
+    taken, counts, last = [], {c: Counter() for c in caps}, None
+    while len(taken) < size:
+        left = rows if last is None else rows.where(_behind(last, order))
+        for c, cap in caps.items():
+            if full := [v for v, n in counts[c].items() if n >= cap]:
+                left = left.where(F.col(c).isNull() | ~F.col(c).isin(full))
+        seen = left.orderBy(*order).limit(4 * size).collect()
+        if not seen:
+            raise ValueError(f"unable to select {size} under caps; selected {len(taken)}")
+        for row in seen:
+            if len(taken) < size and all(row[c] is None or counts[c][row[c]] < cap for c, cap in caps.items()):
+                taken.append(row.source_candidate_id)
+                for c in caps:
+                    if row[c] is not None:
+                        counts[c][row[c]] += 1
+        last = seen[-1]
+    return ordered.where(F.col("source_candidate_id").isin(taken))
 
 
 def queue(eligible: DataFrame, seed: str, calibration: int = 5, size: int = 50, **caps: int) -> DataFrame:
     """queue_role (CALIBRATION, MAIN_EXTERNAL, RESERVE) and role_order before
     the columns of the eligible rows."""
     columns = eligible.columns
-    ordered = round_robin(eligible, seed)
+    ordered = written(round_robin(eligible, seed), "queue-order")
     first = first_per_family(ordered, calibration)
-    rest = ordered.join(first.select("source_candidate_id"), "source_candidate_id", "left_anti")
+    rest = written(ordered.join(first.select("source_candidate_id"), "source_candidate_id", "left_anti"), "queue-rest")
     main = capped(rest, size, **caps)
     reserve = rest.join(main.select("source_candidate_id"), "source_candidate_id", "left_anti")
-    out = None
-    for role, rows in (("CALIBRATION", first), ("MAIN_EXTERNAL", main), ("RESERVE", reserve)):
-        place = F.row_number().over(Window.partitionBy("queue_role").orderBy("turn", "family_key"))
-        part = rows.withColumn("queue_role", F.lit(role)).withColumn("role_order", place).select("queue_role", "role_order", *columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    order = ("turn", "family_key")
+    place = F.row_number().over(Window.orderBy(*order))  # of a few rows
+    parts = {"CALIBRATION": first.withColumn("role_order", place), "MAIN_EXTERNAL": main.withColumn("role_order", place), "RESERVE": with_place(reserve, order, "role_order")}
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(role).alias("queue_role"), F.col("role_order").cast("int").alias("role_order"), *columns) for role, rows in parts.items()))
 
 
 def role_counts(queued: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.numbering import with_place
 from factloom.operators.written import written
 from factloom.sources import html, layout
 from factloom.sources.sinks import article_xml, new_folder, records, sha256, write_csv, write_files, write_json
@@ -19,13 +20,9 @@ def slug(doi: Column) -> Column:
 
 def usable_pages(downloads: DataFrame) -> DataFrame:
     """Downloads (doi, download_status, local_file, ...) that succeeded as
-    HTML, with candidate_id by the order of their doi.
-
-    The numbering sorts all rows at once: it is meant for a candidate list,
-    not for a corpus.
-    """
+    HTML, with candidate_id by the order of their doi."""
     good = downloads.where((F.col("download_status") == "success") & F.col("local_file").endswith(".html"))
-    return good.withColumn("candidate_id", F.format_string("AH-S2C-%03d", F.row_number().over(Window.orderBy("doi"))))
+    return with_place(good, ("doi", "local_file"), "_place").withColumn("candidate_id", F.format_string("AH-S2C-%03d", "_place")).drop("_place")
 
 
 def html_articles(downloads: DataFrame, table_pages: DataFrame) -> DataFrame:

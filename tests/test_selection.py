@@ -7,6 +7,7 @@ import pytest
 
 from factloom.operators import selection as S
 from factloom.operators.governance import check_lock, check_roles, check_seal, file_hashes, freeze, mismatches, same_rows, seal, verify
+from factloom.operators.numbering import with_place, with_place_in
 from factloom.sources.sinks import sha256, write_json
 from factloom.sources.tabular import read_csv, with_row_no
 
@@ -50,6 +51,35 @@ def test_too_few(spark):
         S.queue(frame(spark, candidates(20, journals=2)), SEED).collect()
 
 
+def test_a_long_list_is_read_from_its_front(spark, monkeypatch):
+    """Thousands of journals, one family of most rows, caps that bind: as the
+    pass over all rows, by reads of a few hundred."""
+    rnd = random.Random(11)
+    rows = [(f"c{i}", "big" if rnd.random() < 0.8 else f"f{rnd.randrange(4)}", f"j{rnd.choice([0, 1, rnd.randrange(3000)])}", rnd.choice([S.AIP, "VOR"]), f"{rnd.random():.12f}") for i in range(6000)]
+    caps, reads = {"family_cap": 20, "journal_cap": 2, "aip_cap": 3}, []
+    df = frame(spark, rows)
+    collect = type(df).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: reads.append(len(out := collect(self))) or out)
+        queued = S.queue(df, SEED, size=25, **caps)
+    assert reads and max(reads) <= 100 and len(reads) <= 25
+    got = {}
+    for r in queued.orderBy("queue_role", "role_order").collect():
+        got.setdefault(r.queue_role, []).append(r.source_candidate_id)
+    assert got == {k: [r[0] for r in v] for k, v in sequential(rows, 25, caps).items()}
+
+
+def test_places(spark):
+    """Of all rows and in groups, one of which has most; ties, nulls, none."""
+    rows = [("g" if i % 10 else None, i % 7, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, a int, b int")
+    assert [r.place for r in with_place(df, ("a", "b")).orderBy("a", "b").collect()] == list(range(1, 501))
+    got = with_place_in(df, "g", ("a", "b")).orderBy("a", "b").collect()
+    for g in ("g", None):
+        assert [r.place for r in got if r.g == g] == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert with_place(df.where("false"), ("a",)).collect() == [] and with_place_in(df.where("false"), "g", ("a",)).collect() == []
+
+
 def test_audit(spark, tmp_path):
     (tmp_path / "pool.csv").write_text(
         "﻿source_candidate_id,doi,title,journal,source_route,normalized_file,normalized_sha256,document_gate,old_20_plus_60_overlap_status,trial_family_status,publication_version,source_sha256\r\n"
