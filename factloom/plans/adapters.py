@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from factloom.operators.numbering import with_place
 from factloom.operators.written import written
 from factloom.sources import html, layout
-from factloom.sources.sinks import article_xml, new_folder, records, sha256, write_csv, write_files, write_json
+from factloom.sources.sinks import article_xml, write_files
+from factloom.sources.store import new_folder, write_csv, write_json
 
 
 def slug(doi: Column) -> Column:
@@ -107,7 +106,7 @@ def audit_summary(articles: DataFrame, *statuses: str) -> DataFrame:
     return articles.groupBy(*(statuses or ("structural_status",))).agg(F.count(F.lit(1)).alias("articles"), F.sum("table_count").alias("tables"))
 
 
-def write_normalised(articles: DataFrame, folder: str, audit: str | Path, *statuses: str) -> dict:
+def write_normalised(articles: DataFrame, folder: str, audit: object, *statuses: str) -> dict:
     """Write the xml of ``articles`` (normalized_file, xml, ...) into
     ``folder``, a file each, by the tasks, and into a new folder ``audit`` the
     rows without xml (audit.csv) and their summary (summary.json), which is
@@ -117,10 +116,10 @@ def write_normalised(articles: DataFrame, folder: str, audit: str | Path, *statu
     wrong = rows.join(files, (F.col("normalized_file") == F.col("name")) & (F.col("normalized_sha256") == F.col("sha256")), "left_anti").count()
     if wrong:
         raise OSError(f"{wrong} files are not what was made")
-    write_csv(out / "audit.csv", records(rows.drop("xml").orderBy("normalized_file")))
+    digest = write_csv(out / "audit.csv", rows.drop("xml"), "normalized_file")
     summary = {"normalized_articles": files.count(), "total_tables": rows.agg(F.coalesce(F.sum("table_count"), F.lit(0))).first()[0]}
     for status in statuses or ("structural_status",):
         summary[status] = {r[status]: r["count"] for r in rows.groupBy(status).count().orderBy(status).collect()}
-    summary |= {"label_free": True, "audit_sha256": sha256(out / "audit.csv")}
+    summary |= {"label_free": True, "audit_sha256": digest}
     write_json(out / "summary.json", summary)
     return summary

@@ -7,8 +7,6 @@ SQL can say what must come out. Every query runs over its whole tables.
 
 from __future__ import annotations
 
-from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from factloom.plans import adapters, extraction
 from factloom.plans.catalog import query, table
 from factloom.sources import articles, coordinates, html, layout, pdf, sinks, tabular
 from factloom.sources.rules import Rules, from_document
+from factloom.sources.store import Place, sha256, write_json
 
 #: A small lexicon of what happens to orders.
 ORDER_DOCUMENT = {
@@ -66,14 +65,6 @@ def grid(*rows: tuple[Column | str, ...]) -> Column:
     return F.array(*(F.array(*(text(c) for c in row)) for row in rows))
 
 
-def local_path(uri: str) -> Path:
-    """The path of a folder that the driver's own file system holds."""
-    parsed = urlparse(uri)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError(f"{uri} is not a path of the driver's file system")
-    return Path(parsed.path)
-
-
 # ---- paragraphs ----
 
 
@@ -255,13 +246,12 @@ def _records_xml() -> Column:
     )
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> tuple[dict, Path]:
+def _extracted(spark: SparkSession, sf_dir: str) -> tuple[dict, Place]:
     """Summary and folder of a whole extraction by rules with a base."""
-    rules = local_path(folder(spark, "rules"))
-    rules.mkdir(parents=True)
-    sinks.write_json(rules / "base.json", {**ORDER_DOCUMENT, "rules_version": "base", "quote_character_limit": 10})
-    sinks.write_json(rules / "rules.json", {"base_rules_file": "base.json", "rules_version": "orders-2", "quote_character_limit": 60})
-    out = local_path(folder(spark, "extracted"))
+    rules = Place(folder(spark, "rules")).make()
+    write_json(rules / "base.json", {**ORDER_DOCUMENT, "rules_version": "base", "quote_character_limit": 10})
+    write_json(rules / "rules.json", {"base_rules_file": "base.json", "rules_version": "orders-2", "quote_character_limit": 60})
+    out = Place(folder(spark, "extracted"))
     return extraction.run(spark, _article_folder(spark, sf_dir, _records_xml()), rules / "rules.json", out, "development"), out
 
 
@@ -274,7 +264,7 @@ UNION ALL SELECT printf('AH12-%04d', 2 * i), article_id, 'Table', 'Table 1 Probl
 def extracted_predictions(spark, sf_dir):
     """A folder of articles to numbered, distinct predictions in a JSON file,
     read back from it."""
-    back = tabular.read_predictions(spark, f"file://{_extracted(spark, sf_dir)[1]}/predictions.json")
+    back = tabular.read_predictions(spark, f"{_extracted(spark, sf_dir)[1]}/predictions.json")
     return back.select("prediction_id", "article_id", "source_type", "evidence_location", "evidence_quote", "raw_event_term", "arm", "numerator", "denominator", "rule_id")
 
 
@@ -282,8 +272,8 @@ def extracted_predictions(spark, sf_dir):
 def extraction_summary(spark, sf_dir):
     """What an extraction says of itself, and its CSV read back."""
     summary, out = _extracted(spark, sf_dir)
-    rows = tabular.read_csv(spark, f"file://{out}/predictions.csv", ["Prediction ID", "Input SHA256"])
-    hashes = all(sinks.sha256(out / f"predictions.{kind}") == summary[f"{kind}_sha256"] for kind in ("json", "csv"))
+    rows = tabular.read_csv(spark, f"{out}/predictions.csv", ["Prediction ID", "Input SHA256"])
+    hashes = all(sha256(out / f"predictions.{kind}") == summary[f"{kind}_sha256"] for kind in ("json", "csv"))
     said = [F.lit(summary[k]).alias(k) for k in ("rules_version", "run_mode", "development_only")] + [F.lit(summary[k]).cast("long").alias(k) for k in ("xml_files", "predictions")]
     return rows.agg(F.count(F.lit(1)).alias("csv_rows")).select(*said, "csv_rows", F.lit(hashes).alias("hashes_hold"))
 
@@ -331,7 +321,7 @@ SELECT normalized_file AS name, count(*) FILTER (kind = 'p') AS paragraphs, coun
 def normalised_files(spark, sf_dir):
     """The same articles as files, with their audit, and scanned again."""
     path = folder(spark, "normalised")
-    adapters.write_normalised(adapters.html_articles(*_downloads(spark, sf_dir)), path, local_path(folder(spark, "audit")))
+    adapters.write_normalised(adapters.html_articles(*_downloads(spark, sf_dir)), path, folder(spark, "audit"))
     cells = F.array_join(F.transform("grid", lambda r: F.array_join(r, ",")), ";")
     return articles.parsed(articles.files(spark, path)).groupBy("name").agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "table").alias("tables"), F.max(cells).alias("cells"))
 
@@ -344,10 +334,10 @@ SELECT CASE WHEN has_results AND paragraph_count >= 5 THEN 'PASS' ELSE 'REVIEW'
 )
 def normalisation_audit(spark, sf_dir):
     """The audit of those files, read back from its CSV."""
-    out = local_path(folder(spark, "audit"))
+    out = Place(folder(spark, "audit"))
     summary = adapters.write_normalised(adapters.html_articles(*_downloads(spark, sf_dir)), folder(spark, "normalised"), out)
-    rows = tabular.read_csv(spark, f"file://{out}/audit.csv").withColumn("table_count", F.col("table_count").cast("long"))
-    return adapters.audit_summary(rows).withColumn("hash_holds", F.lit(sinks.sha256(out / "audit.csv") == summary["audit_sha256"]))
+    rows = tabular.read_csv(spark, f"{out}/audit.csv").withColumn("table_count", F.col("table_count").cast("long"))
+    return adapters.audit_summary(rows).withColumn("hash_holds", F.lit(sha256(out / "audit.csv") == summary["audit_sha256"]))
 
 
 @query("""

@@ -18,9 +18,10 @@ from factloom.operators import selection
 from factloom.operators.written import folder
 from factloom.plans import queueing
 from factloom.plans.catalog import SEED, bootstrap_sql, query, queue_sql, table
-from factloom.plans.catalog_articles import local_path, pick, text
+from factloom.plans.catalog_articles import pick, text
 from factloom.plans.scoring import score
 from factloom.sources import sinks, tabular
+from factloom.sources.store import Place, read_json, sha256
 
 # ---- events against a reference ----
 
@@ -208,14 +209,13 @@ def scoring_files(spark, sf_dir):
     blank = lambda *names: [F.lit("").alias(x) for x in names]
     gold = p.where(key % 3 != 0).select(text("G", key).alias("event_id"), "article_id", said.alias("evidence_quote_raw"), text("t", key, "q").alias("event_term_raw"), F.lit("C").alias("category_canonical"), *blank("numerator_value", "denominator_value", "arm_raw", "arm_canonical", "time_raw", "time_canonical", "poolability"))
     predicted = p.where(key % 5 != 0).select(text("P", key).alias("prediction_id"), F.concat("article_id", F.lit("_doi")).alias("article_id"), said.alias("evidence_quote"), text("t", key, "q").alias("raw_event_term"), F.lit("C").alias("predicted_category"), *blank("arm", "time_window", "poolability"), *(F.lit(1).cast("bigint").alias(x) for x in ("numerator", "denominator")))
-    out = local_path(folder(spark, "scoring")) / "out"
-    out.parent.mkdir(parents=True)
+    out = Place(folder(spark, "scoring"))
     score(articles, gold, predicted, out, "parts")
-    lock, rows = json.loads((out / "scoring_lock.json").read_text()), []
+    lock, rows = read_json(out / "scoring_lock.json"), []
     for part in ("main", "vor", "aip"):
-        level = json.loads((out / f"{part}_metrics.json").read_text())["event_level"]
-        counts = [tabular.read_csv(spark, f"file://{out}/{part}_{kind}.csv").count() for kind in ("matches", "false_positives", "false_negatives")]
-        rows.append((part, level["TP"], level["FP"], level["FN"], *counts, sinks.sha256(out / f"{part}_metrics.json") == lock[f"{part}_metrics.json_sha256"]))
+        level = read_json(out / f"{part}_metrics.json")["event_level"]
+        counts = [tabular.read_csv(spark, f"{out}/{part}_{kind}.csv").count() for kind in ("matches", "false_positives", "false_negatives")]
+        rows.append((part, level["TP"], level["FP"], level["FN"], *counts, sha256(out / f"{part}_metrics.json") == lock[f"{part}_metrics.json_sha256"]))
     return spark.createDataFrame(rows, "part string, tp long, fp long, fn long, match_rows long, positive_rows long, negative_rows long, hash_holds boolean")
 
 
@@ -286,12 +286,12 @@ UNION ALL SELECT 'queue', role, CASE role WHEN 'CALIBRATION' THEN 5 WHEN 'MAIN_E
 )
 def queue_files(spark, sf_dir):
     """The files of a queue, read back."""
-    out = local_path(folder(spark, "queue-files"))
+    out = Place(folder(spark, "queue-files"))
     summary = queueing.write_queue(*_pool(spark, sf_dir), out, SEED)
     parts = []
     for name, file in (("audit", "eligibility_audit"), ("excluded", "excluded"), ("queue", "queue")):
-        rows = tabular.read_csv(spark, f"file://{out}/{file}.csv", ["source_candidate_id", "selection_key"])
-        holds = sinks.sha256(out / f"{file}.csv") == summary[f"{file}_sha256"]
+        rows = tabular.read_csv(spark, f"{out}/{file}.csv", ["source_candidate_id", "selection_key"])
+        holds = sha256(out / f"{file}.csv") == summary[f"{file}_sha256"]
         if name == "queue":
             counted = selection.role_counts(rows).select(F.lit(name).alias("file"), F.col("queue_role").alias("role"), F.col("count").alias("n"))
         else:
@@ -328,12 +328,9 @@ UNION ALL SELECT 'guarded', 'a path resembles reference or adjudication material
 """)
 def capsule_checks(spark, sf_dir):
     """A capsule of files by nation: frozen, sealed, verified, tampered with."""
-    root = local_path(folder(spark, "capsule"))
-    (root / "sources").mkdir(parents=True)
-    inputs = {}
-    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
-        inputs[f"{r.n_nationkey}.txt"] = root / "sources" / f"{r.n_nationkey}.txt"
-        inputs[f"{r.n_nationkey}.txt"].write_text(r.n_name)
+    root = Place(folder(spark, "capsule"))
+    made = sinks.write_files(table(spark, sf_dir, "nation").select(F.concat("n_nationkey", F.lit(".txt")).alias("name"), F.encode("n_name", "UTF-8").alias("content")), f"{root}/sources")
+    inputs = {r.name: root / "sources" / r.name for r in made.select("name").collect()}
     (root / "rules.json").write_text("[1, 2]")
     manifest = G.freeze(root / "frozen", inputs, {"rules.json": root / "rules.json"})
     said = list(manifest["files"].items())
@@ -348,7 +345,7 @@ def capsule_checks(spark, sf_dir):
         said.append(("kept", "refused"))
     seal = G.check_seal(root / "seal.json", root / "rules.json", root / "frozen" / "MANIFEST.json")
     said.append(("seal", f"{seal['status']} {seal['prediction_count']}"))
-    rerun = lambda capsule, out: (out / "0.txt").write_bytes((capsule / "inputs/0.txt").read_bytes())
+    rerun = lambda capsule, out: (out / "0.txt").write((capsule / "inputs/0.txt").chunks())
     expected = {"0.txt": manifest["files"]["inputs/0.txt"]}
     said.append(("verified", G.verify(root / "frozen", rerun, expected, root / "first")["status"]))
     (root / "frozen/inputs/0.txt").write_text("other")

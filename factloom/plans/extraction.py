@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators.body import body_facts
@@ -32,7 +30,7 @@ def extract(spark: SparkSession, folder: str, rules: Rules, version: str = "1.2"
     return numbered(records, prefix or ("AH11" if version == "1.1" else "AH12"), ("name", "emit_seq"))
 
 
-def run(spark: SparkSession, folder: str, rules_path: str | Path, out: str | Path, run_mode: str, version: str = "1.2") -> dict:
+def run(spark: SparkSession, folder: str, rules_path: object, out: object, run_mode: str, version: str = "1.2") -> dict:
     """Extract a folder by a rule document and write the predictions beside
     their summary, which is returned. No path may look like reference
     material, nor ``out`` hold anything."""

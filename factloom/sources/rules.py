@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
-from pathlib import Path
+
+from factloom.sources.store import Place, read_json
 
 
 @dataclass(frozen=True)
@@ -79,11 +79,10 @@ def from_document(document: dict) -> Rules:
     return Rules(document.get("rules_version", ""), tuple(Phrase(i, *x) for i, x in enumerate(listed)), quote_limit=int(document.get("quote_character_limit", 800)), source=document, **lists)
 
 
-def load_rules(path: str | Path) -> Rules:
+def load_rules(path: object) -> Rules:
     """Read a rule document; where it names a ``base_rules_file`` beside it,
     its keys replace the base's."""
-    path = Path(path)
-    document = json.loads(path.read_text(encoding="utf-8"))
+    document = read_json(path)
     if base := document.get("base_rules_file"):
-        document = json.loads((path.parent / base).read_text(encoding="utf-8")) | document
+        document = read_json(Place(path).parent / base) | document
     return from_document(document)

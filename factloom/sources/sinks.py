@@ -1,19 +1,15 @@
-"""Outputs: single files with exact bytes, and Spark tables.
+"""Outputs: predictions with their summary, many files, article XML, tables.
 
-A single file is written row by row from an ordered ``toLocalIterator``, so
-the driver holds one partition at a time. Many files are written by the tasks
-(``write_files``). Where bytes don't matter, use ``write_table``.
+``store`` has the single files with exact bytes; many files are written by the
+tasks (``write_files``); where bytes don't matter, use ``write_table``.
 """
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import json
 import posixpath
 import uuid
-from collections.abc import Iterable, Iterator
-from pathlib import Path
+from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -22,16 +18,12 @@ from pyspark.sql import functions as F
 
 from factloom.operators.predictions import for_sink
 from factloom.operators.written import written
+from factloom.sources.store import CsvFile, JsonArray, new_folder, write_json, write_ordered
 
 # Words of paths that extraction must not touch.
 GUARDED = ("final_reference", "reference_standard", "裁决", "医生a", "医生b")
 
 
-def sha256(path: str | Path) -> str:
-    with Path(path).open("rb") as file:
-        return hashlib.file_digest(file, "sha256").hexdigest()
-
-
 def guard_paths(*paths: object) -> None:
     """Refuse paths that look like reference or adjudication material."""
     joined = " ".join(map(str, paths)).lower()
@@ -39,88 +31,6 @@ def guard_paths(*paths: object) -> None:
         raise PermissionError("a path resembles reference or adjudication material")
 
 
-def new_folder(path: str | Path, allow_empty: bool = False) -> Path:
-    """Make the folder; one that exists (and, if ``allow_empty``, holds
-    anything) is refused."""
-    path = Path(path)
-    if path.exists() and not (allow_empty and path.is_dir() and not any(path.iterdir())):
-        raise FileExistsError(f"refusing to overwrite {path}")
-    path.mkdir(parents=True, exist_ok=True)
-    return path
-
-
-def records(df: DataFrame) -> Iterator[dict]:
-    """Rows as dictionaries, nulls as "", nested rows as dictionaries."""
-    for row in df.toLocalIterator():
-        yield {k: "" if v is None else v for k, v in row.asDict(recursive=True).items()}
-
-
-def write_json(path: str | Path, payload: object) -> None:
-    Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-
-
-class JsonArray:
-    """One array in a file, indented by 2, written row by row."""
-
-    def __init__(self, path: str | Path):
-        self.file, self.n = Path(path).open("w", encoding="utf-8"), 0
-
-    def add(self, row: dict) -> None:
-        body = json.dumps(row, ensure_ascii=False, indent=2).replace("\n", "\n  ")
-        self.file.write(("[\n  " if not self.n else ",\n  ") + body)
-        self.n += 1
-
-    def close(self) -> None:
-        self.file.write("\n]\n" if self.n else "[]\n")
-        self.file.close()
-
-
-class CsvFile:
-    """UTF-8 with a byte-order mark and CRLF. Without ``columns`` the first
-    row's make the header, and no row an empty file; ``columns`` also leaves
-    out others."""
-
-    def __init__(self, path: str | Path, columns: list[str] | None = None):
-        self.path, self.columns, self.file, self.n = Path(path), columns, None, 0
-
-    def _open(self, columns: list[str]) -> None:
-        self.file = self.path.open("w", encoding="utf-8-sig", newline="")
-        self.writer = csv.DictWriter(self.file, columns, extrasaction="ignore", restval="")
-        self.writer.writeheader()
-
-    def add(self, row: dict) -> None:
-        if self.file is None:
-            self._open(self.columns or list(row))
-        self.writer.writerow(row)
-        self.n += 1
-
-    def close(self) -> None:
-        if self.file is None and self.columns is None:
-            self.path.write_bytes(b"")
-            return
-        if self.file is None:
-            self._open(self.columns)
-        self.file.close()
-
-
-def write_rows(rows: Iterable[dict], *sinks: JsonArray | CsvFile) -> int:
-    """Every row to every sink, in one pass; their number."""
-    for row in rows:
-        for sink in sinks:
-            sink.add(row)
-    for sink in sinks:
-        sink.close()
-    return sinks[0].n
-
-
-def write_json_array(path: str | Path, rows: Iterable[dict]) -> int:
-    return write_rows(rows, JsonArray(path))
-
-
-def write_csv(path: str | Path, rows: Iterable[dict], columns: list[str] | None = None) -> int:
-    return write_rows(rows, CsvFile(path, columns))
-
-
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """A file per row of ``rows`` (name, content) in ``folder``, written by the
     tasks that hold the rows: name, sha256, n_bytes of each. A file appears
@@ -156,17 +66,16 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("errorifexists").format(format).save(path)
 
 
-def write_predictions(predictions: DataFrame, folder: str | Path, name: str, rules_version: str, run_mode: str, xml_files: int) -> dict:
+def write_predictions(predictions: DataFrame, folder: object, name: str, rules_version: str, run_mode: str, xml_files: int) -> dict:
     """JSON, CSV and run_summary.json of numbered predictions, by one pass
     over them; the summary."""
     guard_paths(folder)
-    folder = new_folder(folder, allow_empty=True)
-    ordered = for_sink(predictions.orderBy(F.length("prediction_id"), "prediction_id"))
-    json_path, csv_path = folder / f"{name}.json", folder / f"{name}.csv"
-    n = write_rows(records(ordered), JsonArray(json_path), CsvFile(csv_path))
+    folder, rows = new_folder(folder, allow_empty=True), for_sink(predictions)
+    key, columns = "Prediction ID", tuple(rows.columns)
+    (n, array), (_, table) = write_ordered(rows, (F.length(key), key), JsonArray(f"{folder}/{name}.json", columns), CsvFile(f"{folder}/{name}.csv", columns))
     summary = {
         "rules_version": rules_version, "run_mode": run_mode, "development_only": run_mode == "development", "xml_files": xml_files,
-        "predictions": n, "json_sha256": sha256(json_path), "csv_sha256": sha256(csv_path),
+        "predictions": n, "json_sha256": array, "csv_sha256": table,
     }
     write_json(folder / "run_summary.json", summary)
     return summary

@@ -1,16 +1,19 @@
 """Files that plans write, and PDF files by a tool that is handed in."""
 
+import csv
+import hashlib
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators.governance import freeze, input_records
+from factloom.operators.governance import REFERENCE_LOCKED, freeze, input_records, seal
 from factloom.operators.predictions import COLUMNS
-from factloom.plans import adapters, extraction, queueing
+from factloom.plans import adapters, extraction, queueing, scoring
 from factloom.plans import catalog_scoring as C
 from factloom.plans.catalog_articles import ORDER_DOCUMENT, ORDER_RULES
-from factloom.sources import layout, pdf, sinks
+from factloom.sources import coordinates, layout, pdf, sinks, store
 from factloom.sources.articles import files, parsed
 from factloom.sources.tabular import read_csv
 
@@ -19,11 +22,72 @@ def test_files_are_written_by_tasks(spark, tmp_path):
     rows = spark.createDataFrame([("a.txt", b"one"), ("b.txt", None), ("c.txt", b"")], "name string, content binary")
     made = {r.name: (r.sha256, r.n_bytes) for r in sinks.write_files(rows, f"file://{tmp_path}/out").collect()}
     assert {p.name for p in (tmp_path / "out").iterdir()} == set(made) == {"a.txt", "b.txt", "c.txt"}
-    assert (tmp_path / "out/a.txt").read_bytes() == b"one" and all(sinks.sha256(tmp_path / "out" / n) == h for n, (h, _) in made.items())
+    assert (tmp_path / "out/a.txt").read_bytes() == b"one" and all(store.sha256(tmp_path / "out" / n) == h for n, (h, _) in made.items())
     again = sinks.write_files(rows.withColumn("content", F.lit(b"new")), f"file://{tmp_path}/out")
     assert again.count() == 3 and (tmp_path / "out/b.txt").read_bytes() == b"new"
 
 
+def as_csv(rows, columns):
+    text = io.StringIO(newline="")
+    writer = csv.DictWriter(text, columns, extrasaction="ignore")
+    writer.writeheader()
+    writer.writerows(rows)
+    return text.getvalue().encode("utf-8-sig")
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_single_files_are_written_by_tasks(spark, tmp_path, n):
+    """Byte for byte what one writer gives, from many pieces, in order."""
+    rows = [(i * 7919 % 1009, 'a "q", \n é' * (i % 3), None if i % 4 else i / 3, i % 2 == 0, (i, None)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, t string, x double, b boolean, s struct<i:int,j:string>").repartition(7)
+    plain = [{"k": k, "t": t, "x": "" if x is None else x, "b": b, "s": {"i": s[0], "j": s[1]}} for k, t, x, b, s in sorted(rows)]
+    folder = tmp_path / "some place"
+    folder.mkdir()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        (count, array), (_, table) = store.write_ordered(df, ["k"], store.JsonArray(f"{folder}/a.json", tuple(df.columns)), store.CsvFile(f"{folder}/a.csv", ("t", "k", "x"), n == 0))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert count == n and (folder / "a.json").read_text() == json.dumps(plain, ensure_ascii=False, indent=2) + "\n"
+    assert (folder / "a.csv").read_bytes() == as_csv(plain, ["t", "k", "x"])
+    assert (array, table) == (store.sha256(folder / "a.json"), store.sha256(f"file://{folder}/a.csv")) and len(list(folder.iterdir())) == 2
+    assert store.write_csv(folder / "none.csv", df.where("false"), "k") == hashlib.sha256(b"").hexdigest() and (folder / "none.csv").read_bytes() == b""
+
+
+def test_files_are_copied_and_hashed_by_tasks(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "b").write_bytes(b"")
+    copied = store.copy_files({"one": tmp_path / "a", "two": f"file://{tmp_path}/b"}, store.Place(tmp_path / "to"))
+    assert copied == {"one": store.sha256(tmp_path / "a"), "two": hashlib.sha256(b"").hexdigest()} and (tmp_path / "to/one").read_bytes() == b"x" * 3_000_000
+    assert store.hashes({"one": tmp_path / "to/one", "none": tmp_path / "none"}) == {"one": copied["one"], "none": None} and store.hashes({}) == {}
+    with pytest.raises(Exception):
+        store.copy_files({"none": tmp_path / "none"}, store.Place(tmp_path / "to"))
+
+
+def test_scoring_wants_a_lock_and_a_seal(spark, tmp_path):
+    """Checked before anything is read; then a run, once."""
+    harm = {"event_id": "G1", "article_id": "AH-S2C-001", "evidence_quote_raw": "alpha beta gamma", "event_term_raw": "alpha", "category_canonical": "C", "numerator_value": "2"}
+    document = {"status": REFERENCE_LOCKED, "articles": [{"article_id": "AH-S2C-001", "eligible": "yes", "harms_status": "Yes", "publication_version": "VOR"}], "harms": [harm]}
+    paths = {n: tmp_path / f"{n}.json" for n in ("reference", "lock", "predictions", "seal")}
+    store.write_json(paths["reference"], document)
+    values = {"prediction_id": "P1", "article_id": "AH-S2C-001_x", "evidence_quote": "alpha beta gamma", "raw_event_term": "alpha", "predicted_category": "C", "numerator": 2}
+    store.write_json(paths["predictions"], [{v: values.get(k, "") for k, v in COLUMNS.items()}])
+    seal(paths["predictions"], [], paths["seal"])
+    run = lambda out: scoring.score_locked(spark, paths["reference"], paths["lock"], paths["predictions"], paths["seal"], out, "label", replicates=20)
+    store.write_json(paths["lock"], {"status": REFERENCE_LOCKED, "files": {"reference.json": "0"}})
+    with pytest.raises(ValueError, match="locked"):
+        run(tmp_path / "early")
+    store.write_json(paths["lock"], {"status": REFERENCE_LOCKED, "files": {"reference.json": store.sha256(paths["reference"])}})
+    out = run(tmp_path / "out")
+    assert out["main"]["event_level"]["TP"] == 1 and out["main"]["event_level"]["recall"] == 1.0 and out["aip"]["event_level"]["TP"] == 0
+    with pytest.raises(FileExistsError):
+        run(tmp_path / "out")
+    paths["predictions"].write_text("[]")
+    with pytest.raises(ValueError, match="sealed"):
+        run(tmp_path / "late")
+    assert not (tmp_path / "early").exists() and not (tmp_path / "late").exists()
+
+
 def test_extraction_refuses_reference_paths(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps(ORDER_DOCUMENT))
     (tmp_path / "in").mkdir()
@@ -70,7 +134,7 @@ def test_manifest_records_every_input(spark, tmp_path):
     inputs = {"x.nxml": tmp_path / "x.nxml", "y.nxml": tmp_path / "y.nxml"}
     columns = "source_candidate_id string, doi string, queue_role string, role_order int, publication_version string, publisher_family string, journal string, final_normalized_file string, final_normalized_sha256 string, source_sha256 string"
     row = lambda i, file, digest: (f"C{i}", "10/x", "MAIN", i, "VOR", "F", "J", file, digest, "s")
-    good = [row(2, "y.nxml", sinks.sha256(tmp_path / "y.nxml")), row(1, "x.nxml", sinks.sha256(tmp_path / "x.nxml"))]
+    good = [row(2, "y.nxml", store.sha256(tmp_path / "y.nxml")), row(1, "x.nxml", store.sha256(tmp_path / "x.nxml"))]
     manifest = freeze(tmp_path / "capsule", inputs, {}, spark.createDataFrame(good, columns), {"MAIN": 2})
     assert manifest["input_count"] == 2 and [r["input_file"] for r in manifest["inputs"]] == ["x.nxml", "y.nxml"] and manifest["queue_roles"] == {"MAIN": 2}
     for bad, error in (([row(1, "z.nxml", "")], FileNotFoundError), ([row(1, "x.nxml", "0")], ValueError), ([good[0], good[0]], ValueError)):
@@ -100,7 +164,7 @@ def test_pdf_files_by_a_tool_handed_in(spark, tmp_path):
 
     pages = pdf.pages(found, read)
     assert [r.page for r in pages.orderBy("page").collect()] == [1, 2]
-    table = layout.coordinate_tables(pages).first()
+    table = coordinates.coordinate_tables(pages).first()
     assert (table.article_id, table.page, table.label, table.grid) == ("AH-V001", 2, "Table 2", [["a", "b"], ["c", "7"]])
     with pytest.raises(Exception):
         pdf.pdftotext("no-such-command")(b"")

@@ -8,7 +8,7 @@ import pytest
 from factloom.operators import selection as S
 from factloom.operators.governance import check_lock, check_roles, check_seal, file_hashes, freeze, mismatches, same_rows, seal, verify
 from factloom.operators.numbering import with_place, with_place_in
-from factloom.sources.sinks import sha256, write_json
+from factloom.sources.store import sha256, write_json
 from factloom.sources.tabular import read_csv, with_row_no
 
 SEED = "seed"
