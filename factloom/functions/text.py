@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the rule language has it: Unicode's, and four separators.
@@ -101,12 +101,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def once(value: Column) -> Column:
-    """``value`` as a column of its own that is computed once: a condition on
-    it stays above it, where the optimiser would else compute it in the
-    condition as well, once for each time it is written there. What keeps it
-    from doing so is a random number below 1, which is never 2."""
-    return F.when(F.rand(0) != 2, value)
+def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` as a column that is computed once, in a node of
+    its own: the only element of an array that is taken apart. A condition on
+    it stays above that node, where the optimiser would else compute the value
+    in the condition as well; conditions on other columns go below."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c != name]
+    return rows.select(*others, F.explode(F.array(value)).alias(name))
 
 
 def clean(text: Column) -> Column:

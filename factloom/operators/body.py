@@ -40,9 +40,11 @@ def body_facts(nodes: DataFrame, rules: Rules, version: str = "1.2") -> DataFram
     s, new = F.col("sentence"), version != "1.1"
     found = reported_hits(s, rules, new, RESULT_NUMBER if new else None)
     tagged = sentence_rows(nodes.where(section_allowed(F.coalesce("location", F.lit("Body")), rules))).select("*", F.posexplode(found).alias("hit_seq", "hit"))
-    counted = tagged.withColumn("clause", T.once(T.clause_of(s, F.col("hit.start")))).withColumn("numbers", T.once(T.clause_numbers(F.col("clause"))))
+    clauses = T.with_once(tagged, "clause", T.clause_of(s, F.col("hit.start")))
+    counted = T.with_once(clauses, "numbers", T.clause_numbers(F.col("clause")))
     if new:
-        counted = counted.withColumn("numbers", T.once(F.when(F.col("numbers.rule") == "NUM_NONE", T.sentence_numbers(s, F.col("hit.start"))).otherwise(F.col("numbers")))).where("numbers.rule <> 'NUM_NONE'")
+        whole = F.when(F.col("numbers.rule") == "NUM_NONE", T.sentence_numbers(s, F.col("hit.start"))).otherwise(F.col("numbers"))
+        counted = T.with_once(counted, "numbers", whole).where("numbers.rule <> 'NUM_NONE'")
     arm = T.arm(s)
     if new:
         arm = F.when(s.rlike(f"(?iU){T.OVERALL_ARM}"), "Overall").otherwise(arm)

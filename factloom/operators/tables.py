@@ -56,6 +56,12 @@ def _data_rows(tables: DataFrame) -> DataFrame:
     return rows.select(*names, F.col("m.row").alias("row"), (F.col("m.i") + F.col("header_rows") + 1).alias("row_no"), F.col("m.repeated").alias("repeated"), F.coalesce(above["text"], F.lit("")).alias("active"))
 
 
+def _valued(cells: DataFrame, rules: Rules) -> DataFrame:
+    """Cells (value, ...) that say something, with their numbers."""
+    numbers = T.cell_value(F.col("value"), rules.missing_cells, rules.zero_cells)
+    return T.with_once(cells, "numbers", numbers).where(~F.col("numbers.rule").isin(*SKIPPED))
+
+
 def _facts(rows: DataFrame) -> DataFrame:
     one = F.lit(1)
     return rows.select(
@@ -77,9 +83,8 @@ def _transposed(tables: DataFrame, rules: Rules) -> DataFrame:
         .select("*", F.explode("event_columns").alias("e"))
         .select("*", F.col("e.col").alias("col"), F.col("e.hits").alias("hits"))
         .withColumn("value", F.get("row", F.col("col")))
-        .withColumn("numbers", T.once(T.cell_value(F.col("value"), rules.missing_cells, rules.zero_cells)))
-        .where(~F.col("numbers.rule").isin(*SKIPPED, "TABLE_DESCRIPTIVE_NUMERIC"))
     )
+    named = _valued(named, rules).where(F.col("numbers.rule") != "TABLE_DESCRIPTIVE_NUMERIC")
     quote = F.concat(F.get("headers", F.col("col")), F.lit(" | "), "arm", F.lit(" | "), "arm", F.lit(": "), "value")
     return _facts(
         named.withColumn("quote", quote)
@@ -102,7 +107,7 @@ def _plain(tables: DataFrame, rules: Rules) -> DataFrame:
     sizes = F.coalesce(F.try_element_at(F.filter(sizes, lambda s: F.size(s) > 0), F.lit(1)), F.array().cast("array<bigint>"))
     groups = F.filter(columns, lambda c: ~T.is_sizes_header(c["header"]) & ~T.is_statistical_header(c["header"], rules.statistical))
     cells = rows.withColumn("sizes", sizes).select("*", F.posexplode(groups).alias("position", "g")).select("*", F.col("g.col").alias("col"), F.col("g.header").alias("header"))
-    cells = cells.withColumn("value", F.get("row", F.col("col"))).withColumn("numbers", T.once(T.cell_value(F.col("value"), rules.missing_cells, rules.zero_cells))).where(~F.col("numbers.rule").isin(*SKIPPED))
+    cells = _valued(cells.withColumn("value", F.get("row", F.col("col"))), rules)
     cells = cells.withColumn("fields", T.header_fields(F.col("header"), rules.times, rules.arm_noise)).withColumn("denominator", F.coalesce("fields.denominator", F.get("sizes", F.col("position"))))
     described = F.col("numbers.rule") == "TABLE_DESCRIPTIVE_NUMERIC"
     complement = T.complement_count(F.col("value"), F.col("denominator"))
@@ -152,7 +157,7 @@ def _first_version(tables: DataFrame, rules: Rules) -> DataFrame:
     unknown = (F.size("row_hits") == 0) & opened & (text != "")
     rows = rows.withColumn("by_caption", by_caption).withColumn("hits", F.when(by_caption, F.col("caption_hits")).when(unknown, _event_row(text)).otherwise(F.col("row_hits"))).where("size(hits) > 0")
     cells = rows.select("*", F.posexplode("headers").alias("col", "header")).where("col > 0").withColumn("value", F.get("row", F.col("col")))
-    cells = cells.withColumn("numbers", T.once(T.cell_value(F.col("value"), rules.missing_cells, rules.zero_cells))).where(~F.col("numbers.rule").isin(*SKIPPED))
+    cells = _valued(cells, rules)
     cells = cells.withColumn("fields", T.header_fields(F.col("header"), rules.times, rules.arm_noise, bare_sizes=False)).withColumn("quote", _quote())
     time = F.coalesce(F.when(F.col("by_caption"), F.col("row_time")), F.col("fields.time"))
     return _facts(

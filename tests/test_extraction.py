@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators.body import body_facts
 from factloom.operators.tagging import hits
 from factloom.plans.extraction import extract
 from factloom.sources import sinks
@@ -178,3 +179,14 @@ def test_sinks_round_trip(spark, run, tmp_path):
         sinks.write_predictions(records, tmp_path / "out", "predictions", "test", "development", 1)
     with pytest.raises(PermissionError):
         sinks.guard_paths("/x/Final_Reference/y")
+
+
+def test_conditions_reach_the_scan(spark, tmp_path):
+    """Costly columns are nodes of their own: a condition on the article goes
+    below them, and no random number keeps them in place."""
+    rows = [(f"A{i}", "", 0, "Results", "Infection occurred in 2 of 9 patients.", False) for i in range(4)]
+    spark.createDataFrame(rows, "article_id string, input_sha256 string, node_seq int, location string, text string, in_table boolean").write.parquet(str(tmp_path / "nodes"))
+    facts = body_facts(spark.read.parquet(str(tmp_path / "nodes")), RULES).where("article_id = 'A1'")
+    plan = facts._jdf.queryExecution().toString()
+    assert "EqualTo(article_id,A1)" in plan.split("PushedFilters")[1].split("\n")[0] and "rand(" not in plan
+    assert [(r.article_id, r.numerator, r.denominator) for r in facts.collect()] == [("A1", 2, 9)]
