@@ -170,7 +170,7 @@ def test_pdf_files_by_a_tool_handed_in(spark, tmp_path):
         pdf.pdftotext("no-such-command")(b"")
 
 
-@pytest.mark.parametrize("name", ["pdf_tables"])
+@pytest.mark.parametrize("name", ["pdf_texts", "pdf_tables"])
 def test_files_of_one_article_are_all_read(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     rows = [(k, f"Supplier {k}", k % 25) for k in (7, 1007, 2007, 12)]
