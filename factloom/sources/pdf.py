@@ -28,11 +28,12 @@ _edge = pa.struct([(n, pa.float64()) for n in ("x0", "x1", "top")])
 PAGE_SCHEMA = pa.schema([("article_id", pa.string()), ("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("words", pa.list_(_word)), ("edges", pa.list_(_edge))])
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """article_id, name, content, sha256 of a folder's PDF files."""
+def files(spark: SparkSession, folder: str, pattern: str = T.ARTICLE_ID) -> DataFrame:
+    """article_id, name, content, sha256 of a folder's PDF files; ``pattern``
+    is that of the id in a name."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    return found.select(T.article_id_of(name).alias("article_id"), name.alias("name"), "content", F.sha2("content", 256).alias("sha256"))
+    return found.select(T.article_id_of(name, pattern).alias("article_id"), name.alias("name"), "content", F.sha2("content", 256).alias("sha256"))
 
 
 def pdftotext(binary: str = "pdftotext", layout: bool = False) -> Callable[[bytes], str]:

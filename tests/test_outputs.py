@@ -179,3 +179,14 @@ def test_files_of_one_article_are_all_read(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS FROM '{tmp_path}/supplier.parquet/*.parquet'")
     assert sorted(found) == sorted(con.execute(catalog.ORACLE_SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["pdf_texts", "pdf_tables"])
+def test_files_of_equal_keys_and_odd_names_are_all_read(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    said = [(7, "same"), (7, "same"), (7, "other"), (8, None), (9, ""), (10, " a  b "), (11, "a\nb"), (12, "x\n\nReferences\ny"), (13, "a\fb"), (14, "o\ufb03ce\xad\u2028\xa0\x01"), (15, "100% ~+%41"), (-5, "n"), (2**40, "big"), (None, "no key")]
+    spark.createDataFrame([(k, n, 3) for k, n in said], "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert sorted(found, key=repr) == sorted(con.execute(catalog.ORACLE_SQL[name]).fetchall(), key=repr)
